@@ -8,7 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +28,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Arrow batches bounded in rows and, where Spark can, in bytes, so that a Python worker's memory is bounded."""
+    """Arrow batches bounded in rows and, where Spark can, in bytes, so that a Python worker's memory is bounded; executors get the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package's source to the executors, once a SparkContext, so that they need no path to it."""
+    if getattr(ship, "sent", None) != spark.sparkContext.applicationId:
+        package = Path(__file__).resolve().parents[1]
+        target = Path(tempfile.mkdtemp(prefix="ledgerloom-")) / f"{package.name}.zip"
+        with zipfile.ZipFile(target, "w") as z:
+            for source in sorted(package.rglob("*.py")):
+                z.write(source, source.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(target))
+        ship.sent = spark.sparkContext.applicationId
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir; a folder of this machine only where that is unset, as in tests."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

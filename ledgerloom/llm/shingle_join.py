@@ -16,6 +16,9 @@ any class function gives the same links.
 No bucket is expanded into all pairs. Equal sets are one class. In each bucket every member is verified against the
 bucket's smallest member; then buckets whose members are still in different components are gone through pair by pair,
 leaving out pairs that the distances to that smallest member (a metric) rule out.
+
+Candidates are first held against a parity bitmap of each set (about one bit a token): every token in which two sets
+differ flips one bit, so the bits that differ bound the difference from below. Only pairs that pass fetch their sets.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, prepare, shingle_sets, slices, utf8
+from .common import cut, mix, prepare, release, shingle_sets, slices, utf8
 from .components import components
 
 #: A bound on the broadcast list of frequent tokens (8 bytes each).
@@ -37,6 +40,8 @@ MOST_FREQUENT = 1 << 20
 LEAST_FREQUENT = 32
 #: Tokens that a task gathers before it counts them.
 CHUNK_TOKENS = 1 << 22
+#: Slots of the broadcast filter that says whose sets are needed; it only saves work.
+SLOTS = 1 << 23
 
 _A, _B = np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95)
 
@@ -141,19 +146,46 @@ def _index(size: int, percent: int, listed):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
-                    ["doc_id", "n", "entries"],
+                    [ids.slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
+                    ["doc_id", "n", "bits", "entries"],
                 )
 
-    return run, "doc_id long, n long, entries array<long>"
+    return run, "doc_id long, n long, bits binary, entries array<long>"
+
+
+def parity(tokens: np.ndarray) -> bytes:
+    """A bitmap of 8 bits or the largest power of two up to the set's size; a bit is the parity of the tokens that hash to it."""
+    size = max(8, 1 << (max(1, len(tokens)).bit_length() - 1))
+    return np.packbits((np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
+
 
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound of the tokens that are in one of two sets only, from their bitmaps (the longer is folded)."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(a) > len(b):
+        a, b = b, a
+    folded = np.bitwise_xor.reduce(b.reshape(-1, len(a)), axis=0) if len(b) > len(a) else b
+    return int(np.bitwise_count(a ^ folded).sum())
+
+
+def _could_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``low``, a lower bound of the distance of each pair."""
+    for batch in batches:
+        differ = [least_difference(x, y) for x, y in zip(batch.column("bits_a").to_pylist(), batch.column("bits_b").to_pylist(), strict=True)]
+        both = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
+        differ = np.maximum(np.array(differ, float), np.abs(batch.column("na").to_numpy() - batch.column("nb").to_numpy()))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(2 * differ / (both + differ))], ["a", "b", "low"])
 
-def _blobs(size: int):
+
+def _blobs(size: int, wanted):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
-            for lo, sets in _sets(batch, size):
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "tokens"])
+            batch = batch.filter(pa.array(bits[batch.column("slot").to_numpy()]))
+            if batch.num_rows:
+                ids = batch.column("doc_id").cast(pa.int64())
+                for lo, sets in _sets(batch, size):
+                    yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "tokens"])
 
     return run, "doc_id long, tokens binary"
 
@@ -197,46 +229,59 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
     run, schema = _index(size, percent, listed)
-    entries = docs.where("doc_id IS NOT NULL").mapInArrow(run, schema).where("n > 0").join(reps, "doc_id", "left_semi")
-    entries = entries.select("doc_id", F.col("n").cast("int").alias("n"), F.explode("entries").alias("entry"))
-    entries = cut(entries, "shingle-entries")
+    indexed = cut(docs.where("doc_id IS NOT NULL").mapInArrow(run, schema).where("n > 0").join(reps, "doc_id", "left_semi"), "shingle-index")
+    entries = indexed.select("doc_id", F.col("n").cast("int").alias("n"), F.explode("entries").alias("entry"))
     pivots = entries.groupBy("entry").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("entry", "pivot")
     buckets = cut(entries.join(pivots, "entry"), "shingle-buckets")
+    release(spark)
 
-    pairs = cut(buckets.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct(), "shingle-pairs")
-    needed = buckets.select("doc_id").distinct()
-    run, schema = _blobs(size)
-    blobs = cut(docs.join(needed, "doc_id", "left_semi").mapInArrow(run, schema), "shingle-blobs")
+    far = 1.0 - percent / 100.0 + 1e-9
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS))
+
+    def bounded(pairs: DataFrame, what: str) -> DataFrame:
+        left = indexed.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+        right = indexed.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_could_link, "a long, b long, low double"), what)
 
     def verified(pairs: DataFrame, what: str) -> DataFrame:
+        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        filled = needed.select(slot.alias("slot")).groupBy((F.col("slot") / 8).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1, cast(slot % 8 as int)))").alias("byte")).toArrow()
+        wanted = np.zeros(SLOTS // 8, np.uint8)
+        wanted[filled.column("at").to_numpy()] = filled.column("byte").to_numpy()
+        run, schema = _blobs(size, spark.sparkContext.broadcast(wanted.tobytes()))
+        blobs = cut(docs.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(run, schema).join(needed, "doc_id", "left_semi"), "shingle-blobs")
         left = blobs.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
         right = blobs.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
         return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_overlap, "a long, b long, shared long, every long"), what)
 
-    tried = verified(pairs, "shingle-tried")
+    pairs = buckets.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
+    bounds = bounded(pairs, "shingle-bounds")
+    tried = verified(bounds.where(F.col("low") <= far).select("a", "b"), "shingle-tried")
     close = F.col("shared") * 100 >= F.col("every") * percent
     several = known.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low <> high").select("doc_id")
     same = known.join(several, "doc_id", "left_semi").join(classes, "key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     links = tried.where(close).select("a", "b").union(same)
     first = components(links, "shingle-first")
+    release(spark)
 
     # buckets that still hold several components: pairs that the distances to the bucket's pivot leave open
-    far = 1.0 - percent / 100.0 + 1e-9
-    distance = tried.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), (1.0 - F.col("shared") / F.col("every")).alias("d"))
+    exact = tried.groupBy("a", "b").agg(F.min(1.0 - F.col("shared") / F.col("every")).alias("d"))
+    distance = bounds.groupBy("a", "b").agg(F.min("low").alias("low")).join(exact, ["a", "b"], "left")
+    distance = distance.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
     placed = buckets.join(first.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    open_buckets = placed.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.approx_count_distinct("root", 0.05).alias("roots")).where("low < high").select("entry")
-    members = cut(placed.where("doc_id <> pivot").join(open_buckets, "entry", "left_semi").join(distance.dropDuplicates(["pivot", "doc_id"]), ["pivot", "doc_id"]).select("entry", "doc_id", "n", "root", "d"), "shingle-open")
+    open_buckets = placed.where("doc_id <> pivot").groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("entry")
+    members = cut(placed.where("doc_id <> pivot").join(open_buckets, "entry", "left_semi").join(distance, ["pivot", "doc_id"]).select("entry", "doc_id", "n", "root", "low", "high"), "shingle-open")
     x, y = members.alias("x"), members.alias("y")
     rest = x.join(
         y,
         (F.col("x.entry") == F.col("y.entry")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
-        & (F.abs(F.col("x.d") - F.col("y.d")) <= far)
+        & (F.col("x.low") - F.col("y.high") <= far) & (F.col("y.low") - F.col("x.high") <= far)
         & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent),
     ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    more = verified(cut(rest, "shingle-rest"), "shingle-retried").where(close).select("a", "b")
+    open_pairs = bounded(rest, "shingle-rest").where(F.col("low") <= far).select("a", "b")
     final = first
-    if more.limit(1).count():
-        final = components(links.union(more), "shingle-final")
+    if open_pairs.limit(1).count():
+        final = components(links.union(verified(open_pairs, "shingle-retried").where(close).select("a", "b")), "shingle-final")
 
     placed_classes = classes.join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").select("key", F.coalesce("root", "rep").alias("component_id"))
     in_sets = info.where("n > 0").join(placed_classes, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
