@@ -9,13 +9,16 @@ pair after c - 2 of them are missing, so the prefix goes on until those c - 1 al
 lack. The number of classes follows the size of the set (by powers of two; a set near a border indexes both sides), so
 the pairs stay linear in the prefix.
 
-Frequent tokens are heavy hitters over all documents: at most ``MOST_FREQUENT`` tokens can reach the share of all
-occurrences that makes a token frequent, which bounds the one list that is broadcast. The choice steers only work:
+A token is frequent if ``FREQUENT`` sets or more hold it (an equal set counts once in a chunk). All tokens are counted,
+in packed blocks by hash range, by as many leading bits of their hashes as tell them apart at the size of the input. At
+most ``MOST_FREQUENT`` of them are listed, the most frequent, which bounds what is broadcast. The choice steers only work:
 any class function gives the same links.
 
 No bucket is expanded into all pairs. Equal sets are one class. In each bucket every member is verified against the
-bucket's smallest member; then buckets whose members are still in different components are gone through pair by pair,
-leaving out pairs that the distances to that smallest member (a metric) rule out.
+bucket's smallest member; then buckets whose members are still in different components are joined with themselves,
+leaving out pairs that the distances to that smallest member (a metric) rule out, and in buckets of frequent tokens pairs
+that would have to share a rare token: who is indexed by frequent tokens has all its rare ones indexed, so a pair that
+meets in no rare token's bucket differs in all rare tokens of both, and in the numbers of their frequent ones.
 
 Candidates are first held against a parity bitmap of each set (about one bit a token): every token in which two sets
 differ flips one bit, so the bits that differ bound the difference from below. Only pairs that pass fetch their sets.
@@ -23,7 +26,6 @@ differ flips one bit, so the bits that differ bound the difference from below. O
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,15 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, prepare, release, shingle_sets, slices, utf8
+from .common import cut, mix, pack, pack_counts, prepare, release, shingle_sets, slices, unpack, unpack_counts, utf8
 from .components import components
 
 #: A bound on the broadcast list of frequent tokens (8 bytes each).
 MOST_FREQUENT = 1 << 20
-#: A token seen in fewer sets than this is never frequent.
-LEAST_FREQUENT = 32
-#: Tokens that a task gathers before it counts them.
-CHUNK_TOKENS = 1 << 22
+#: Sets that must hold a token to make it frequent.
+FREQUENT = 8
+#: Tokens that a task gathers before it counts them, and text bytes to a hash range.
+CHUNK_TOKENS, RANGE_BYTES = 1 << 21, 8 << 20
 #: Slots of the broadcast filter that says whose sets are needed; it only saves work.
 SLOTS = 1 << 23
 
@@ -53,22 +55,26 @@ def _sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.ndarr
         yield lo, shingle_sets(data[part[0] : part[-1]], part - part[0], size)
 
 
-def _describe(size: int):
-    """Rows of two kinds: 0 a document with the size and the 128-bit key of its set, 1 a token that repeats in a chunk of sets."""
+def _describe(size: int, bits: int, short: int):
+    """Rows of two kinds: 0 a document with the size and the 128-bit key of its set; 1 the counted tokens of a chunk of sets in one hash range."""
     from hashlib import blake2b
 
+    names = ["kind", "doc_id", "n", "key", "range", "ids", "counts"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "doc_id", "n", "key", "token", "found"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
         seen: set[bytes] = set()
         held: list[np.ndarray] = []
         count = 0
 
         def counted() -> pa.RecordBatch:
-            tokens, found = np.unique(np.concatenate(held), return_counts=True)
-            tokens, found = tokens[found > 2], found[found > 2]
-            none = [None] * len(tokens)
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([1] * len(tokens), none, none, none, tokens.view(np.int64), found), kinds, strict=True)], names)
+            tokens, found = np.unique(np.concatenate(held) >> np.uint64(short), return_counts=True)
+            ranges = (tokens >> np.uint64(64 - short - bits)).astype(np.int64) if bits else np.zeros(len(tokens), np.int64)
+            cuts = [0, *(np.flatnonzero(ranges[1:] != ranges[:-1]) + 1).tolist(), len(tokens)]
+            parts = list(zip(cuts[:-1], cuts[1:], strict=True))
+            none = [None] * len(parts)
+            columns = ([1] * len(parts), none, none, none, [int(ranges[lo]) for lo, _ in parts], [pack(tokens[lo:hi]) for lo, hi in parts], [pack_counts(found[lo:hi]) for lo, hi in parts])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names)
 
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
@@ -87,11 +93,25 @@ def _describe(size: int):
                             seen.clear()
                             count = 0
             none = [None] * len(n)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), kinds[0]), ids, pa.array(n, kinds[2]), pa.array(key, kinds[3]), pa.array(none, kinds[4]), pa.array(none, kinds[5])], names)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) if x is not ids else ids for x, t in zip(([0] * len(n), ids, n, key, none, none, none), kinds, strict=True)], names)
         if held:
             yield counted()
 
-    return run, "kind int, doc_id long, n long, key binary, token long, found long"
+    return run, "kind int, doc_id long, n long, key binary, range long, ids binary, counts binary"
+
+
+def _frequent(least: int):
+    def run(table: pa.Table) -> pa.Table:
+        ids = np.concatenate([unpack(x) for x in table.column("ids").to_pylist()])
+        counts = np.concatenate([unpack_counts(x) for x in table.column("counts").to_pylist()])
+        order = np.argsort(ids, kind="stable")
+        ids, counts = ids[order], counts[order]
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        total = np.add.reduceat(counts, first)
+        often = total >= least
+        return pa.table({"token": pa.array(ids[first][often].view(np.int64)), "found": pa.array(total[often], pa.int64())})
+
+    return run, "token long, found long"
 
 
 def missing(n: int, percent: int) -> int:
@@ -106,9 +126,9 @@ def bands(n: int, percent: int) -> list[int]:
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The index entries of one set: ``tokens`` sorted, ``frequent`` their flags."""
+    """The index entries of one set: ``tokens`` sorted, ``frequent`` their flags. The lowest bit tells pairs from single tokens."""
     need = missing(len(tokens), percent) + 1
-    rare = tokens[~frequent][:need]
+    rare = tokens[~frequent][:need] & ~np.uint64(1)
     need -= len(rare)
     if need <= 0:
         return rare
@@ -123,21 +143,23 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
                 break
             if hi - lo > 1:
                 i, j = np.triu_indices(hi - lo, 1)
-                out.append(mix(mix(often[lo:hi][i] * _A + np.uint64(band)) + often[lo:hi][j] * _B))
+                out.append(mix(mix(often[lo:hi][i] * _A + np.uint64(band)) + often[lo:hi][j] * _B) | np.uint64(1))
                 left -= hi - lo - 1
     return np.unique(np.concatenate(out))
 
 
-def _index(size: int, percent: int, listed):
+def _index(size: int, percent: int, short: int, listed):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = listed.value
         gate = np.zeros(1 << 22, bool)
-        gate[hot >> np.uint64(42)] = True
+        cut_off, coarse = np.uint64(short), np.uint64(max(0, 42 - short))
+        gate[hot >> coarse] = True
         for batch in batches:
             ids = batch.column("doc_id").cast(pa.int64())
             for lo, sets in _sets(batch, size):
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-                flag = gate[every >> np.uint64(42)]
+                every >>= cut_off
+                flag = gate[every >> coarse]
                 if len(hot) and flag.any():
                     at = np.flatnonzero(flag)
                     flag[at] = hot[np.minimum(np.searchsorted(hot, every[at]), len(hot) - 1)] == every[at]
@@ -146,11 +168,11 @@ def _index(size: int, percent: int, listed):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
-                    ["doc_id", "n", "bits", "entries"],
+                    [ids.slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(len(s) - flag[e - len(s) : e].sum()) for s, e in zip(sets, ends.tolist(), strict=True)], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
+                    ["doc_id", "n", "rare", "bits", "entries"],
                 )
 
-    return run, "doc_id long, n long, bits binary, entries array<long>"
+    return run, "doc_id long, n long, rare long, bits binary, entries array<long>"
 
 
 def parity(tokens: np.ndarray) -> bytes:
@@ -212,15 +234,23 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     prepare(spark)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    run, schema = _describe(size)
+    length = docs.agg(F.sum(F.octet_length("text")).alias("s")).first().s or 0
+    short = max(0, 64 - max(32, int(length).bit_length() + 10))  # bits of a hash that counting leaves out
+    run, schema = _describe(size, max(0, (int(length) // RANGE_BYTES).bit_length()), short)
     described = cut(docs.mapInArrow(run, schema), "shingle-sets", ["kind"])
     info = described.where("kind = 0").select("doc_id", "n", "key")
 
-    # frequent tokens, their list bounded by the share of all occurrences that they need
-    total = info.where("n > 0").agg(F.sum("n").alias("s")).first().s or 0
-    least = max(LEAST_FREQUENT, math.ceil(total / MOST_FREQUENT))
-    frequent = described.where("kind = 1").groupBy("token").agg(F.sum("found").alias("found")).where(F.col("found") >= least).select("token")
-    hot = np.sort(np.asarray(frequent.toArrow().column("token").to_numpy(), np.int64).view(np.uint64))
+    # frequent tokens, the list bounded: where more qualify, the bar is raised
+    run, schema = _frequent(FREQUENT)
+    frequent = cut(described.where("kind = 1").select("range", "ids", "counts").groupBy("range").applyInArrow(run, schema), "shingle-frequent")
+    steps = frequent.groupBy(F.floor(F.log2("found") * 4).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()
+    bar, listed_so_far = None, 0
+    for r in steps:
+        if listed_so_far + r["count"] > MOST_FREQUENT:
+            break
+        bar, listed_so_far = r.step, listed_so_far + r["count"]
+    chosen = frequent.where(F.floor(F.log2("found") * 4).cast("int") >= F.lit(bar if bar is not None else 1 << 30)).select("token")
+    hot = np.sort(np.asarray(chosen.toArrow().column("token").to_numpy(), np.int64).view(np.uint64))
     listed = spark.sparkContext.broadcast(hot)
 
     # one class per set; its smallest doc_id stands for it
@@ -228,9 +258,9 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     classes = cut(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "shingle-classes")
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
-    run, schema = _index(size, percent, listed)
+    run, schema = _index(size, percent, short, listed)
     indexed = cut(docs.where("doc_id IS NOT NULL").mapInArrow(run, schema).where("n > 0").join(reps, "doc_id", "left_semi"), "shingle-index")
-    entries = indexed.select("doc_id", F.col("n").cast("int").alias("n"), F.explode("entries").alias("entry"))
+    entries = indexed.select("doc_id", F.col("n").cast("int").alias("n"), F.col("rare").cast("int").alias("rare"), F.explode("entries").alias("entry"))
     pivots = entries.groupBy("entry").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("entry", "pivot")
     buckets = cut(entries.join(pivots, "entry"), "shingle-buckets")
     release(spark)
@@ -270,13 +300,15 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     distance = distance.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
     placed = buckets.join(first.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     open_buckets = placed.where("doc_id <> pivot").groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("entry")
-    members = cut(placed.where("doc_id <> pivot").join(open_buckets, "entry", "left_semi").join(distance, ["pivot", "doc_id"]).select("entry", "doc_id", "n", "root", "low", "high"), "shingle-open")
+    members = cut(placed.where("doc_id <> pivot").join(open_buckets, "entry", "left_semi").join(distance, ["pivot", "doc_id"]).select("entry", "doc_id", "n", "rare", "root", "low", "high"), "shingle-open")
     x, y = members.alias("x"), members.alias("y")
+    differ = F.col("x.rare") + F.col("y.rare") + F.abs((F.col("x.n") - F.col("x.rare")) - (F.col("y.n") - F.col("y.rare")))
     rest = x.join(
         y,
         (F.col("x.entry") == F.col("y.entry")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
         & (F.col("x.low") - F.col("y.high") <= far) & (F.col("y.low") - F.col("x.high") <= far)
-        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent),
+        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
+        & ((F.col("x.entry").bitwiseAND(F.lit(1)) == 0) | (differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))),
     ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     open_pairs = bounded(rest, "shingle-rest").where(F.col("low") <= far).select("a", "b")
     final = first
