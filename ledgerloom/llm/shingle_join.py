@@ -41,7 +41,7 @@ MOST_FREQUENT = 1 << 20
 #: Sets that must hold a token to make it frequent.
 FREQUENT = 8
 #: Tokens that a task gathers before it counts them, and text bytes to a hash range.
-CHUNK_TOKENS, RANGE_BYTES = 1 << 21, 8 << 20
+CHUNK_TOKENS, RANGE_BYTES = 1 << 20, 8 << 20
 #: Slots of the broadcast filter that says whose sets are needed; it only saves work.
 SLOTS = 1 << 23
 
@@ -168,11 +168,11 @@ def _index(size: int, percent: int, short: int, listed):
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 flat = np.concatenate(found) if found else np.zeros(0, np.uint64)
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(len(s) - flag[e - len(s) : e].sum()) for s, e in zip(sets, ends.tolist(), strict=True)], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
-                    ["doc_id", "n", "rare", "bits", "entries"],
+                    [ids.slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(len(s) - flag[e - len(s) : e].sum()) for s, e in zip(sets, ends.tolist(), strict=True)], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), *[pa.array(x) for x in folded(sets)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
+                    ["doc_id", "n", "rare", "bits", "p0", "p1", "entries"],
                 )
 
-    return run, "doc_id long, n long, rare long, bits binary, entries array<long>"
+    return run, "doc_id long, n long, rare long, bits binary, p0 long, p1 long, entries array<long>"
 
 
 def parity(tokens: np.ndarray) -> bytes:
@@ -181,6 +181,13 @@ def parity(tokens: np.ndarray) -> bytes:
     return np.packbits((np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(bool)).tobytes()
 
 
+def folded(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each set the parities of 128 hash classes as two numbers, a bound that the JVM can evaluate."""
+    words = [np.frombuffer(np.packbits((np.bincount((s & np.uint64(127)).astype(np.int64), minlength=128) & 1).astype(bool)).tobytes(), np.int64) for s in sets]
+    both = np.array(words, np.int64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
+
+
 def least_difference(x: bytes, y: bytes) -> int:
     """A lower bound of the tokens that are in one of two sets only, from their bitmaps (the longer is folded)."""
     a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
@@ -214,11 +221,11 @@ def _blobs(size: int, wanted):
 
 def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        shared = [
-            len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-            for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)
-        ]
-        sizes = [(len(x) + len(y)) // 8 for x, y in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True)]
+        shared, sizes = [], []
+        for x, y in zip(batch.column("ta"), batch.column("tb"), strict=True):
+            a, b = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+            shared.append(len(np.intersect1d(a, b, assume_unique=True)))
+            sizes.append(len(a) + len(b))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array([n - s for n, s in zip(sizes, shared, strict=True)], pa.int64())], ["a", "b", "shared", "every"])
 
 
@@ -260,8 +267,8 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
 
     run, schema = _index(size, percent, short, listed)
     indexed = cut(docs.where("doc_id IS NOT NULL").mapInArrow(run, schema).where("n > 0").join(reps, "doc_id", "left_semi"), "shingle-index")
-    entries = indexed.select("doc_id", F.col("n").cast("int").alias("n"), F.col("rare").cast("int").alias("rare"), F.explode("entries").alias("entry"))
-    pivots = entries.groupBy("entry").agg(F.min("doc_id").alias("pivot"), F.max("doc_id").alias("last")).where("pivot < last").select("entry", "pivot")
+    entries = indexed.select("doc_id", F.explode("entries").alias("entry"))
+    pivots = entries.groupBy("entry").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("held")).where("held > 1").select("entry", "pivot")
     buckets = cut(entries.join(pivots, "entry"), "shingle-buckets")
     release(spark)
 
@@ -300,15 +307,18 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     distance = distance.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
     placed = buckets.join(first.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     open_buckets = placed.where("doc_id <> pivot").groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("entry")
-    members = cut(placed.where("doc_id <> pivot").join(open_buckets, "entry", "left_semi").join(distance, ["pivot", "doc_id"]).select("entry", "doc_id", "n", "rare", "root", "low", "high"), "shingle-open")
+    members = cut(placed.where("doc_id <> pivot").join(open_buckets, "entry", "left_semi").join(distance, ["pivot", "doc_id"]).join(indexed.select("doc_id", "n", "rare", "p0", "p1"), "doc_id").select("entry", "doc_id", "n", "rare", "p0", "p1", "root", "low", "high"), "shingle-open")
     x, y = members.alias("x"), members.alias("y")
+    bits_differ = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
+    allowed = (F.col("x.n") + F.col("y.n")) * (100 - percent)
     differ = F.col("x.rare") + F.col("y.rare") + F.abs((F.col("x.n") - F.col("x.rare")) - (F.col("y.n") - F.col("y.rare")))
     rest = x.join(
         y,
         (F.col("x.entry") == F.col("y.entry")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
         & (F.col("x.low") - F.col("y.high") <= far) & (F.col("y.low") - F.col("x.high") <= far)
         & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-        & ((F.col("x.entry").bitwiseAND(F.lit(1)) == 0) | (differ * (100 + percent) <= (F.col("x.n") + F.col("y.n")) * (100 - percent))),
+        & ((F.col("x.entry").bitwiseAND(F.lit(1)) == 0) | (differ * (100 + percent) <= allowed))
+        & (bits_differ * (100 + percent) <= allowed),
     ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
     open_pairs = bounded(rest, "shingle-rest").where(F.col("low") <= far).select("a", "b")
     final = first
