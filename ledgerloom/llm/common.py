@@ -135,12 +135,17 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[ends[ends > 0] - 1] = True
     start = np.flatnonzero(~space & before)
     end = np.flatnonzero(~space & after) + 1
+    return start, end, hash_spans(low, start, end), np.searchsorted(start, offsets)
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes: a polynomial from prefix sums, and the length, mixed."""
+    n = len(data)
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * _power_table("p", _P, n), out=sums[1:])
-    hashed = (sums[end] - sums[start]) * _power_table("i", _P_INV, n)[start]
-    hashed = mix(hashed + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return start, end, hashed, np.searchsorted(start, offsets)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table("p", _P, n), out=sums[1:])
+    hashed = (sums[end] - sums[start]) * _power_table("i", _P_INV, max(1, n))[np.minimum(start, max(0, n - 1))]
+    return mix(hashed + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 _K = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]

@@ -20,25 +20,25 @@ from __future__ import annotations
 
 import bisect
 import os
-import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, prepare
+from .common import cut, hash_spans, new_folder, prepare, slices, utf8
 
 MAGIC = b"LLSST\x01\x00\x00"
 FOOTER = struct.Struct("<QQQQQQII8s")
 #: Raw bytes after which a block is closed, and text bytes that a shard is meant to hold.
 BLOCK_BYTES, SHARD_BYTES = 1 << 18, 32 << 20
-#: Pieces of text whose ids a worker remembers.
-REMEMBERED = 200_000
+#: Pieces whose ids a worker remembers (about 40 bytes each), and text bytes that are encoded at once.
+REMEMBERED, PIECE_BYTES = 2_000_000, 1 << 20
 #: The id that ends every document.
 END = 0
 
@@ -47,54 +47,162 @@ END = 0
 
 
 class Encoder:
-    """Encodes whole texts with a byte-level BPE of the tokenizers library, piece by piece.
+    """Encodes whole texts with a byte-level BPE of the tokenizers library, and remembers the ids of pieces.
 
     The tokenizer's pre-tokeniser never joins across a place where a non-space is followed by one space and a
-    non-space, nor around a single line feed between non-spaces, so ids of such pieces can be remembered and joined.
-    Texts that hold one of the tokenizer's added tokens are encoded in one go.
+    non-space, nor around a single line feed between non-spaces, so the ids of the pieces between such places can be
+    joined. Pieces are told apart by 64-bit hashes. Unknown ones are encoded many at a time, one after the other, and
+    told apart by the byte lengths of their ids. Texts with any other white space, or with one of the tokenizer's added
+    tokens, are encoded in one go.
     """
 
-    _safe = re.compile(r"(?<=\S)(?= \S)")
-    _doubled = re.compile(r"\s\s|^\s|\s$")
-
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        if any(t in text for t in self.added):
-            return [text]
-        if self._doubled.search(text):
-            return self._safe.split(text)
-        lines = text.split("\n")
-        out: list[str] = []
-        for k, line in enumerate(lines):
-            if k:
-                out.append("\n")
-            head, *rest = line.split(" ")
-            out.append(head)
-            out.extend([" " + x for x in rest])
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character a byte
+        for token, k in vocabulary.items():
+            self.lengths[k] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        # sorted hashes with start and count of their ids: many, and those since the last merge
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.main, self.recent = empty, empty
+        self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, ids: np.ndarray) -> int:
+        """Where ``ids`` now stand."""
+        at, self.used = self.used, self.used + len(ids)
+        if self.used > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids), self.used), self.dtype)])
+        self.ids[at : self.used] = ids
+        return at
+
+    def _learn(self, data: np.ndarray, hashed: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        """Encodes unknown pieces; those that begin with a space follow one another, the others a line feed each."""
+        starts, counts = np.zeros(len(hashed), np.int64), np.zeros(len(hashed), np.int64)
+        spaced = data[start] == 0x20
+        for mine, extra in ((np.flatnonzero(spaced), 0), (np.flatnonzero(~spaced), 1)):
+            for lo in range(0, len(mine), 4096):
+                some = mine[lo : lo + 4096]
+                size = end[some] - start[some] + extra
+                stop = np.cumsum(size)
+                text = np.full(int(stop[-1]), 0x0A, np.uint8)
+                inner = np.repeat(start[some] - extra - (stop - size), size) + np.arange(len(text))
+                take = np.ones(len(text), bool)
+                if extra:
+                    take[stop - size] = False
+                text[take] = data[inner[take]]
+                ids = self._whole([text.tobytes().decode()])[0]
+                at = np.cumsum(self.lengths[ids])
+                to = np.searchsorted(at, stop)
+                first = np.r_[0, to[:-1] + 1] + extra
+                if len(at) and at[-1] == stop[-1] and (at[to] == stop).all() and (not extra or (self.lengths[ids[first - 1]] == 1).all()):
+                    starts[some], counts[some] = self._keep(ids) + first, to + 1 - first
+                else:
+                    for k, own in zip(some.tolist(), self._whole([data[start[k] : end[k]].tobytes().decode() for k in some.tolist()]), strict=True):
+                        starts[k], counts[k] = self._keep(own), len(own)
+        self.recent = _merged(self.recent, (hashed, starts, counts))
+        if len(self.recent[0]) > max(1 << 16, len(self.main[0]) // 4):
+            self.main, self.recent = _merged(self.main, self.recent), _merged(None, None)
+
+    def _find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and count of each piece's ids; the count is -1 where it is not known."""
+        starts, counts = np.zeros(len(hashed), np.int64), np.full(len(hashed), -1)
+        for table in (self.main, self.recent):
+            if len(table[0]):
+                at = np.minimum(np.searchsorted(table[0], hashed), len(table[0]) - 1)
+                hit = table[0][at] == hashed
+                starts[hit], counts[hit] = table[1][at[hit]], table[2][at[hit]]
+        return starts, counts
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids of each text of a buffer; empty texts have none."""
+        rows = len(offsets) - 1
+        plain = _plain(data, offsets)
+        if self.added:
+            for k in np.flatnonzero(plain & (np.diff(offsets) > 0)).tolist():
+                text = data[offsets[k] : offsets[k + 1]].tobytes()
+                if any(a in text for a in self.added):
+                    plain[k] = False
+        mark = np.zeros(len(data) + 1, bool)
+        mark[offsets] = True
+        feed = np.flatnonzero(data == 0x0A)
+        mark[np.flatnonzero(data == 0x20)] = True
+        mark[feed] = True
+        mark[feed + 1] = True
+        cuts = np.flatnonzero(mark)
+        start, end = cuts[:-1], cuts[1:]
+        owner = np.searchsorted(offsets, start, "right") - 1
+        use = plain[owner]
+        start, end, owner = start[use], end[use], owner[use]
+        if len(self.main[0]) > REMEMBERED:
+            self.forget()
+        hashed, first, inverse = np.unique(hash_spans(data, start, end), return_index=True, return_inverse=True)
+        starts, counts = self._find(hashed)
+        unknown = counts < 0
+        if unknown.any():
+            self._learn(data, hashed[unknown], start[first[unknown]], end[first[unknown]])
+            starts, counts = self._find(hashed)
+        count = counts[inverse]
+        total = np.cumsum(count)
+        flat = self.ids[np.repeat(starts[inverse] - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)]
+        bounds = np.r_[0, np.cumsum(np.bincount(owner, count, rows).astype(np.int64))]
+        out = [flat[lo:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        whole = np.flatnonzero(~plain).tolist()
+        for k, ids in zip(whole, self._whole([data[offsets[k] : offsets[k + 1]].tobytes().decode() for k in whole]), strict=True):
+            out[k] = ids
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text as bytes; null and empty texts have none."""
-        split = [self.pieces(t) if t else [] for t in texts]
-        fresh = {p for pieces in split for p in pieces} - self.known.keys()
-        if fresh:
-            if len(self.known) + len(fresh) > REMEMBERED:
-                keep = {p: self.known[p] for pieces in split for p in pieces if p in self.known}
-                self.known = keep
-            order = list(fresh)
-            for k in range(0, len(order), 4096):
-                some = order[k : k + 4096]
-                for piece, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    self.known[piece] = np.array(e.ids, self.dtype).tobytes()
-        return [b"".join([self.known[p] for p in pieces]) for pieces in split]
+
+def _merged(a: tuple | None, b: tuple | None) -> tuple:
+    if a is None or b is None:
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    both = [np.concatenate([x, y]) for x, y in zip(a, b, strict=True)]
+    order = np.argsort(both[0], kind="stable")
+    return tuple(x[order] for x in both)
+
+
+def _plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts whose only white space is single spaces and line feeds between other characters."""
+    n = len(data)
+    odd = np.zeros(n + 1, bool)
+    white = (data == 0x20) | (data == 0x0A)
+    odd[:n] = (data >= 0x09) & (data <= 0x0D) & (data != 0x0A)
+    odd[1:n] |= white[1:] & white[:-1]
+    edges = offsets[:-1][np.diff(offsets) > 0]
+    odd[edges] |= white[edges]
+    edges = offsets[1:][np.diff(offsets) > 0] - 1
+    odd[edges] |= white[edges]
+    # The UTF-8 forms of other white space.
+    for lead in (0xC2, 0xE1, 0xE2, 0xE3):
+        at = np.flatnonzero(data == lead)
+        if len(at):
+            b, c = data[np.minimum(at + 1, n - 1)], data[np.minimum(at + 2, n - 1)]
+            if lead == 0xC2:
+                odd[at] |= (b == 0x85) | (b == 0xA0)
+            elif lead == 0xE1:
+                odd[at] |= (b == 0x9A) & (c == 0x80)
+            elif lead == 0xE2:
+                odd[at] |= (b == 0x80) & (((c >= 0x80) & (c <= 0x8A)) | (c == 0xA8) | (c == 0xA9) | (c == 0xAF)) | (b == 0x81) & (c == 0x9F)
+            else:
+                odd[at] |= (b == 0x80) & (c == 0x80)
+    sums = np.r_[0, np.cumsum(odd[:n])]
+    return sums[offsets[1:]] == sums[offsets[:-1]]
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder a worker, so that what one task has learned serves the next."""
+    return Encoder(path)
 
 
 # --- the format -----------------------------------------------------------------------------------------------------
@@ -267,15 +375,17 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame
         temporary = f"{root}/_{shard:07d}-{uuid.uuid4().hex}"
         for batch in batches:
             if writer is None and batch.num_rows:
-                encoder = Encoder(tokenizer)
-                end = np.array([END], encoder.dtype).tobytes()
+                coder = encoder(tokenizer)
+                end = np.array([END], coder.dtype)
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(temporary)
-                writer = Writer(out, encoder.dtype.itemsize)
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for k in range(0, len(ids), 128):
-                for doc_id, value in zip(ids[k : k + 128], encoder.encode(texts[k : k + 128]), strict=True):
-                    writer.add(encode_key(doc_id), value + end)
+                writer = Writer(out, coder.dtype.itemsize)
+            ids = batch.column("doc_id").to_pylist()
+            data, offsets = utf8(batch.column("text"))
+            for lo, hi in slices(offsets, PIECE_BYTES):
+                part = offsets[lo : hi + 1]
+                for doc_id, value in zip(ids[lo:hi], coder.encode(data[part[0] : part[-1]], part - part[0]), strict=True):
+                    writer.add(encode_key(doc_id), value.tobytes() + end.tobytes())
         if writer is not None:
             writer.close()
             out.close()
