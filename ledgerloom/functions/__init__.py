@@ -1 +1 @@
-"""Part of the ledger engine."""
+"""Column functions: hashes, bits, codecs, and order-dependent helpers."""

@@ -1 +1 @@
-"""Part of the ledger engine."""
+"""Tables, domain views over them, and the file formats of the ledger."""
