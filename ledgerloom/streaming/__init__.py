@@ -1 +1 @@
-"""Part of the ledger engine."""
+"""Structured Streaming forms: in-order application of out-of-order tasks, per-height commits, maintenance."""
