@@ -1,4 +1,4 @@
-"""Queries by name, gathered from the operator modules."""
+"""Queries by name with their DuckDB oracles; query modules fill it."""
 
 from __future__ import annotations
 
@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name; ``sql`` is what DuckDB must answer alike."""
 
+    def add(function: Query) -> Query:
+        QUERIES[function.__name__] = function
+        if sql:
+            ORACLES[function.__name__] = sql
+        return function
 
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return add
