@@ -269,6 +269,7 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     indexed = cut(docs.where("doc_id IS NOT NULL").mapInArrow(run, schema).where("n > 0").join(reps, "doc_id", "left_semi"), "shingle-index")
     entries = indexed.select("doc_id", F.explode("entries").alias("entry"))
     pivots = entries.groupBy("entry").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("held")).where("held > 1").select("entry", "pivot")
+    pivots = cut(pivots, "shingle-pivots")  # else the join could not split a large bucket
     buckets = cut(entries.join(pivots, "entry"), "shingle-buckets")
     release(spark)
 
