@@ -86,7 +86,7 @@ def chat_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     ordered = numbers.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
     turns = cut(ordered.mapInArrow(_paths, "conv long, depth long, path binary, formatted string, chars long, loss_from long, loss_to long"), "chat-turns")
 
-    owners = turns.groupBy("path").agg(F.min("conv").alias("owner"))
+    owners = cut(turns.groupBy("path").agg(F.min("conv").alias("owner")), "chat-owners")  # else the joins could not split a shared turn
     owned = cut(turns.select("conv", "depth", "path", "chars").join(owners, "path").select("conv", "depth", "chars", "owner"), "chat-owned")
     # relative end of each node in its owner's chain
     mine = owned.where("conv = owner")
