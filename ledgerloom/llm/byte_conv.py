@@ -2,7 +2,8 @@
 
 A filter of width w is w tables of 256 weights, one for each byte, so a convolution is w table look-ups and additions.
 Texts are laid out in one buffer, each followed by zeros up to a whole number of windows; a window reads the first bytes
-of the next, so windows overlap by the widest filter less one and cover the whole text.
+of the next, so windows overlap by the widest filter less one and cover the whole text. The last window of a text leaves
+out the places from which a filter would reach into the next text; they hold nothing but zeros.
 """
 
 from __future__ import annotations
@@ -40,25 +41,28 @@ class ByteConv:
         self.weight = (rng.standard_normal((total, classes)) * 0.1).astype(np.float32)
         self.offset = np.zeros(classes, np.float32)
 
-    def _responses(self, buffer: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    def _responses(self, buffer: np.ndarray, n: int, last: np.ndarray) -> Iterator[np.ndarray]:
         for w, table in self.tables.items():
             out = table[0][buffer[:n]]
             for k in range(1, w):
                 out += table[k][buffer[k : k + n]]
-            yield out.reshape(n // self.window, self.window, -1)
+            out = out.reshape(n // self.window, self.window, -1)
+            out[last, self.window - w + 1 :] = -np.inf
+            yield out
 
-    def features(self, buffer: np.ndarray) -> np.ndarray:
-        """Max-pooled rectified responses of every window."""
+    def features(self, buffer: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        """Max-pooled rectified responses of every window; ``owner`` is the text of each."""
         n = len(buffer) - self.widest
-        parts = []
+        parts, last = [], np.r_[owner[1:] != owner[:-1], True]
         step = max(1, BUFFER_BYTES // self.window) * self.window
         for at in range(0, n, step):
             m = min(step, n - at)
-            parts.append(np.concatenate([r.max(axis=1) for r in self._responses(buffer[at : at + m + self.widest], m)], axis=1))
+            ends = last[at // self.window : (at + m) // self.window]
+            parts.append(np.concatenate([r.max(axis=1) for r in self._responses(buffer[at : at + m + self.widest], m, ends)], axis=1))
         return np.maximum(np.concatenate(parts) + self.bias, 0)
 
-    def logits(self, buffer: np.ndarray) -> np.ndarray:
-        return self.features(buffer) @ self.weight + self.offset
+    def logits(self, buffer: np.ndarray, owner: np.ndarray) -> np.ndarray:
+        return self.features(buffer, owner) @ self.weight + self.offset
 
     def fit(self, windows: np.ndarray, labels: np.ndarray, weights: np.ndarray, steps: int, batch: int = 96, rate: float = 0.02, seed: int = 11) -> None:
         """Softmax regression through the pooled responses by Adam; ``windows`` are rows of window + widest bytes."""

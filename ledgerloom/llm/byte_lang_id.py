@@ -64,7 +64,7 @@ def _predict(model):
             for _, texts in batches_of(*utf8(batch.column("text"))):
                 if net is not None:
                     buffer, owner = lay_out(texts, net.window, net.widest)
-                    z = net.logits(_LOWER[buffer])
+                    z = net.logits(_LOWER[buffer], owner)
                     z -= z.max(axis=1, keepdims=True)
                     p = np.exp(z)
                     p /= p.sum(axis=1, keepdims=True)

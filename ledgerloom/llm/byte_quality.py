@@ -53,7 +53,7 @@ def train(labelled: DataFrame) -> tuple[ByteConv, np.ndarray] | tuple[None, floa
     labels = y[of_doc[of]]
     net.fit(windows, labels, 1.0 / np.sqrt(np.bincount(labels, minlength=2)[labels]), STEPS, batch=64)
     buffer, owner = lay_out([t.encode() for t in texts], net.window, net.widest)
-    z = net.logits(buffer)
+    z = net.logits(buffer, owner)
     return net, _logistic(_combine(z[:, 1] - z[:, 0], of_doc[owner]), y.astype(float))
 
 
@@ -67,7 +67,7 @@ def _score(model):
                     scores.append(np.full(len(texts), weights))
                     continue
                 buffer, owner = lay_out(texts, net.window, net.widest)
-                z = net.logits(buffer)
+                z = net.logits(buffer, owner)
                 scores.append(1 / (1 + np.exp(-np.clip(_combine(z[:, 1] - z[:, 0], owner) @ weights, -30, 30))))
             score = np.concatenate(scores) if scores else np.zeros(0)
             columns = {n: batch.column(n) for n in batch.schema.names if n not in ("text", "score", "predicted")}
