@@ -19,9 +19,7 @@ BROADCAST_ROWS = 1_000_000
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents whose predicted quality is 0."""
     prepare(spark)
-    model = byte_quality.quality_model(docs, table(spark, sf_dir, "labels"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", score double, predicted int"
-    return byte_quality.score_rows(docs, model, schema).where("predicted = 1").select(docs.columns)
+    return byte_quality.accepted_rows(docs, byte_quality.quality_model(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +44,10 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Samples documents by their calibrated probabilities."""
-    return raking.sampled_documents(docs).where("kept").select(docs.columns)
+    mine = [c for c in docs.columns if c in ("n_tokens", "topic", "weight", "probability", "kept")]
+    named = docs.withColumnsRenamed({c: f"own {c}" for c in mine})
+    kept = raking.sampled_documents(named).where("kept").select(named.columns)
+    return kept.withColumnsRenamed({f"own {c}": c for c in mine})
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

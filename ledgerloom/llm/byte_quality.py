@@ -87,18 +87,16 @@ def quality_model(documents: DataFrame, labels: DataFrame, folds: int = 3, held_
     return spark.sparkContext.broadcast(train(labelled))
 
 
-def score_rows(rows: DataFrame, model, schema: str) -> DataFrame:
-    """``rows`` with score and predicted; ``schema`` is that of the result. Columns of those names are replaced."""
+def accepted_rows(rows: DataFrame, model) -> DataFrame:
+    """Those of ``rows``, with whatever columns, whose text is predicted to be of quality 1."""
     run = _score(model)
 
-    def keep_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for out in run(iter([batch])):
-                columns = {n: batch.column(n) for n in batch.schema.names if n not in ("score", "predicted")}
-                columns |= {"score": out.column("score"), "predicted": out.column("predicted")}
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+            for out in run(iter([pa.RecordBatch.from_arrays([batch.column("text").cast(pa.string())], ["text"])])):
+                yield batch.filter(pa.array(out.column("predicted").to_numpy() == 1))
 
-    return rows.mapInArrow(keep_text, schema)
+    return rows.mapInArrow(keep, rows.schema)
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1) -> DataFrame:
