@@ -18,7 +18,8 @@ No bucket is expanded into all pairs. Equal sets are one class. In each bucket e
 bucket's smallest member; then buckets whose members are still in different components are joined with themselves,
 leaving out pairs that the distances to that smallest member (a metric) rule out, and in buckets of frequent tokens pairs
 that would have to share a rare token: who is indexed by frequent tokens has all its rare ones indexed, so a pair that
-meets in no rare token's bucket differs in all rare tokens of both, and in the numbers of their frequent ones.
+meets in no rare token's bucket differs in all rare tokens of both, and in the numbers of their frequent ones. Members of
+such buckets are joined by the bucket's smallest member, once for all buckets it is the smallest of.
 
 Candidates are first held against a parity bitmap of each set (about one bit a token): every token in which two sets
 differ flips one bit, so the bits that differ bound the difference from below. Only pairs that pass fetch their sets.
@@ -308,19 +309,21 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     distance = distance.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
     placed = buckets.join(first.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     open_buckets = placed.where("doc_id <> pivot").groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("entry")
-    members = cut(placed.where("doc_id <> pivot").join(open_buckets, "entry", "left_semi").join(distance, ["pivot", "doc_id"]).join(indexed.select("doc_id", "n", "rare", "p0", "p1"), "doc_id").select("entry", "doc_id", "n", "rare", "p0", "p1", "root", "low", "high"), "shingle-open")
-    x, y = members.alias("x"), members.alias("y")
-    bits_differ = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
+    members = cut(placed.where("doc_id <> pivot").join(open_buckets, "entry", "left_semi").join(distance, ["pivot", "doc_id"]).join(indexed.select("doc_id", "n", "rare", "p0", "p1"), "doc_id").select("entry", "pivot", "doc_id", "n", "rare", "p0", "p1", "root", "low", "high"), "shingle-open")
     allowed = (F.col("x.n") + F.col("y.n")) * (100 - percent)
+    bits_differ = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
     differ = F.col("x.rare") + F.col("y.rare") + F.abs((F.col("x.n") - F.col("x.rare")) - (F.col("y.n") - F.col("y.rare")))
-    rest = x.join(
-        y,
-        (F.col("x.entry") == F.col("y.entry")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
+    possible = (
+        (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
         & (F.col("x.low") - F.col("y.high") <= far) & (F.col("y.low") - F.col("x.high") <= far)
-        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
-        & ((F.col("x.entry").bitwiseAND(F.lit(1)) == 0) | (differ * (100 + percent) <= allowed))
-        & (bits_differ * (100 + percent) <= allowed),
-    ).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+        & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent) & (bits_differ * (100 + percent) <= allowed)
+    )
+    paired = F.col("entry").bitwiseAND(F.lit(1)) == 1
+    single, family = members.where(~paired), members.where(paired).drop("entry").dropDuplicates(["pivot", "doc_id"])
+    ends = [F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")]
+    by_token = single.alias("x").join(single.alias("y"), (F.col("x.entry") == F.col("y.entry")) & possible).select(*ends)
+    by_pivot = family.alias("x").join(family.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & possible & (differ * (100 + percent) <= allowed)).select(*ends)
+    rest = by_token.union(by_pivot).distinct()
     open_pairs = bounded(rest, "shingle-rest").where(F.col("low") <= far).select("a", "b")
     final = first
     if open_pairs.limit(1).count():
