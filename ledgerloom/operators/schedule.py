@@ -5,8 +5,6 @@ Packing is order-dependent within a block, so a block is one group; blocks are i
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,47 +15,59 @@ SCHEMA = "height long, idx long, flush_seq long, frame int, pos int, out_idx lon
 
 
 class Packer:
-    """First-fit packing; ``sketch`` replaces exact key sets by Bloom bits (a list of bit positions a key)."""
+    """First-fit packing. What an open frame holds is one bit of a number kept for each key (or for each of the places that
+    stand for a key in a sketch), so an item is held against all frames at once."""
 
     def __init__(self, frames: int = FRAMES, full: int = FULL, most_keys: int = MOST_KEYS) -> None:
-        self.full, self.most = full, most_keys
+        self.count, self.full, self.most = frames, full, most_keys
         self.items: list[list[int]] = [[] for _ in range(frames)]
-        self.reads: list[set] = [set() for _ in range(frames)]
-        self.writes: list[set] = [set() for _ in range(frames)]
         self.sizes = [[0, 0] for _ in range(frames)]
+        self.held: tuple[dict, dict] = ({}, {})  # frames that read, frames that write, by place
+        self.filled: list[tuple[set, set]] = [(set(), set()) for _ in range(frames)]
         self.rows: list[tuple[int, int, int, int, int, int]] = []
         self.flushes = 0
 
-    def _holds(self, held: set, key: Iterable) -> bool:
-        return all(bit in held for bit in key)
-
-    def _collides(self, f: int, reads: list, writes: list) -> bool:
-        return any(self._holds(self.writes[f], k) for k in reads) or any(self._holds(self.writes[f], k) or self._holds(self.reads[f], k) for k in writes)
+    def _holding(self, kind: int, key: tuple) -> int:
+        """The frames all of whose places for the key are taken."""
+        get, mask = self.held[kind].get, -1
+        for place in key:
+            mask &= get(place, 0)
+        return mask
 
     def flush(self, f: int) -> None:
         start = len(self.rows)
         for pos, item in enumerate(self.items[f]):
             self.rows.append((item, self.flushes, f, pos, len(self.rows), start))
         self.flushes += 1
-        self.items[f], self.reads[f], self.writes[f], self.sizes[f] = [], set(), set(), [0, 0]
+        for held, filled in zip(self.held, self.filled[f], strict=True):
+            for place in filled:
+                held[place] &= ~(1 << f)
+        self.items[f], self.filled[f], self.sizes[f] = [], (set(), set()), [0, 0]
 
     def add(self, item: int, reads: list, writes: list) -> None:
-        """``reads`` and ``writes``: each key as the tuple of what stands for it in a set."""
-        one = len(self.items) == 1
-        f = next((f for f in range(len(self.items)) if not self._collides(f, reads, writes)), None)
-        if f is None:
+        """``reads`` and ``writes``: each key as the tuple of the places that stand for it."""
+        taken = 0
+        for key in reads:
+            taken |= self._holding(1, key)
+        for key in writes:
+            taken |= self._holding(1, key) | self._holding(0, key)
+        f = (~taken & (taken + 1)).bit_length() - 1  # the lowest frame that is free
+        if f >= self.count:
             f = 0
             self.flush(f)
         self.items[f].append(item)
-        for held, keys, k in ((self.reads[f], reads, 0), (self.writes[f], writes, 1)):
+        for kind, keys in enumerate((reads, writes)):
+            held, filled = self.held[kind], self.filled[f][kind]
             for key in keys:
-                held.update(key)
-            self.sizes[f][k] += len(keys)
-        if not one and (f != 0 or self.items[1]) and (len(self.items[f]) >= self.full or max(self.sizes[f]) > self.most):
+                for place in key:
+                    held[place] = held.get(place, 0) | 1 << f
+                filled.update(key)
+            self.sizes[f][kind] += len(keys)
+        if self.count > 1 and (f != 0 or self.items[1]) and (len(self.items[f]) >= self.full or max(self.sizes[f]) > self.most):
             self.flush(f)
 
     def close(self) -> list[tuple[int, int, int, int, int, int]]:
-        for f in range(len(self.items)):
+        for f in range(self.count):
             if self.items[f]:
                 self.flush(f)
         return self.rows
@@ -82,9 +92,18 @@ def packed(access: DataFrame, frames: int = FRAMES, full: int = FULL, most_keys:
     stands = bloom_bits if bloom else (lambda k: (k,))
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
-        packer = Packer(frames, full, most_keys)
-        for idx, rows in block.sort_values(["idx", "k"]).groupby("idx", sort=True):
-            packer.add(int(idx), [stands(k) for k in rows.k[rows.w == 0]], [stands(k) for k in rows.k[rows.w == 1]])
+        packer, known, now, sets = Packer(frames, full, most_keys), {}, None, ([], [])
+        rows = block.sort_values(["idx", "k"])
+        for idx, k, w in zip(rows.idx.tolist(), rows.k.tolist(), rows.w.tolist(), strict=True):
+            if idx != now:
+                if now is not None:
+                    packer.add(now, *sets)
+                now, sets = idx, ([], [])
+            if k not in known:
+                known[k] = stands(k)
+            sets[w].append(known[k])
+        if now is not None:
+            packer.add(now, *sets)
         out = pd.DataFrame(packer.close(), columns=["idx", "flush_seq", "frame", "pos", "out_idx", "task_out_start"])
         out.insert(0, "height", int(block.height.iloc[0]))
         return out
