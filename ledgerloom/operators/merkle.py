@@ -23,8 +23,11 @@ def pair_hash(level: str, a: str, b: str) -> str:
 def twigs(leaves: DataFrame) -> DataFrame:
     """(shard, twig, leaf_hashes): 2048 in order, unused ones null leaves, from (shard, sn, hash)."""
     rows = leaves.select("shard", F.shiftright("sn", TWIG_SHIFT).alias("twig"), F.col("sn").bitwiseAND(F.lit(LEAVES - 1)).cast("int").alias("leaf"), "hash")
-    grouped = rows.groupBy("shard", "twig").agg(F.map_from_entries(F.collect_list(F.struct("leaf", "hash"))).alias("m"))
-    return grouped.select("shard", "twig", F.expr(f"transform(sequence(0, {LEAVES - 1}), i -> coalesce(element_at(m, i), '{NULL_LEAF}'))").alias("leaf_hashes"))
+    grouped = rows.groupBy("shard", "twig").agg(F.sort_array(F.collect_list(F.struct("leaf", "hash"))).alias("l"))
+    # numbers are dense, so only the youngest twig has unused leaves, all at its end; holes are looked up one by one
+    dense = F.expr(f"concat(transform(l, x -> x.hash), array_repeat('{NULL_LEAF}', {LEAVES} - size(l)))")
+    holes = F.expr(f"transform(sequence(0, {LEAVES - 1}), i -> coalesce(element_at(map_from_entries(l), i), '{NULL_LEAF}'))")
+    return grouped.select("shard", "twig", F.when(F.expr("element_at(l, -1).leaf = size(l) - 1"), dense).otherwise(holes).alias("leaf_hashes"))
 
 
 def levels(twig_table: DataFrame) -> DataFrame:
