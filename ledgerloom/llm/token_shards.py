@@ -37,8 +37,8 @@ MAGIC = b"LLSST\x01\x00\x00"
 FOOTER = struct.Struct("<QQQQQQII8s")
 #: Raw bytes after which a block is closed, and text bytes that a shard is meant to hold.
 BLOCK_BYTES, SHARD_BYTES = 1 << 18, 32 << 20
-#: Pieces whose ids a worker remembers (about 40 bytes each), and text bytes that are encoded at once.
-REMEMBERED, PIECE_BYTES = 2_000_000, 1 << 20
+#: Pieces whose ids a worker remembers (about 25 bytes each), and text bytes that are encoded at once.
+REMEMBERED, PIECE_BYTES = 600_000, 1 << 19
 #: The id that ends every document.
 END = 0
 
@@ -71,8 +71,7 @@ class Encoder:
 
     def forget(self) -> None:
         # sorted hashes with start and count of their ids: many, and those since the last merge
-        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        self.main, self.recent = empty, empty
+        self.main, self.recent = _merged(None, None), _merged(None, None)
         self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -88,7 +87,7 @@ class Encoder:
 
     def _learn(self, data: np.ndarray, hashed: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Encodes unknown pieces; those that begin with a space follow one another, the others a line feed each."""
-        starts, counts = np.zeros(len(hashed), np.int64), np.zeros(len(hashed), np.int64)
+        starts, counts = np.zeros(len(hashed), np.int32), np.zeros(len(hashed), np.int32)
         spaced = data[start] == 0x20
         for mine, extra in ((np.flatnonzero(spaced), 0), (np.flatnonzero(~spaced), 1)):
             for lo in range(0, len(mine), 4096):
@@ -144,7 +143,7 @@ class Encoder:
         owner = np.searchsorted(offsets, start, "right") - 1
         use = plain[owner]
         start, end, owner = start[use], end[use], owner[use]
-        if len(self.main[0]) > REMEMBERED:
+        if len(self.main[0]) + len(self.recent[0]) > REMEMBERED:
             self.forget()
         hashed, first, inverse = np.unique(hash_spans(data, start, end), return_index=True, return_inverse=True)
         starts, counts = self._find(hashed)
@@ -165,7 +164,7 @@ class Encoder:
 
 def _merged(a: tuple | None, b: tuple | None) -> tuple:
     if a is None or b is None:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        return (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
     both = [np.concatenate([x, y]) for x, y in zip(a, b, strict=True)]
     order = np.argsort(both[0], kind="stable")
     return tuple(x[order] for x in both)
