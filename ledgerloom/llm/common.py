@@ -6,6 +6,7 @@ work is done on UTF-8 bytes, a slice of a quarter of a megabyte at a time, with
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -69,6 +70,15 @@ def fold(column: str, modulus: int) -> F.Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
+def settle() -> None:
+    """Gives memory that a task has freed back to the system: Spark keeps idle Python workers, sometimes several a core."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- text as bytes --------------------------------------------------------------------------------------------------
 
 _SPACE = np.zeros(256, bool)

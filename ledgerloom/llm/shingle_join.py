@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, pack, pack_counts, prepare, release, shingle_sets, slices, unpack, unpack_counts, utf8
+from .common import cut, mix, pack, pack_counts, prepare, release, settle, shingle_sets, slices, unpack, unpack_counts, utf8
 from .components import components
 
 #: A bound on the broadcast list of frequent tokens (8 bytes each).
@@ -97,6 +97,8 @@ def _describe(size: int, bits: int, short: int):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) if x is not ids else ids for x, t in zip(([0] * len(n), ids, n, key, none, none, none), kinds, strict=True)], names)
         if held:
             yield counted()
+            held.clear()
+        settle()
 
     return run, "kind int, doc_id long, n long, key binary, range long, ids binary, counts binary"
 
@@ -172,6 +174,7 @@ def _index(size: int, percent: int, short: int, listed):
                     [ids.slice(lo, len(sets)), pa.array([len(s) for s in sets], pa.int64()), pa.array([int(len(s) - flag[e - len(s) : e].sum()) for s, e in zip(sets, ends.tolist(), strict=True)], pa.int64()), pa.array([parity(s) for s in sets], pa.binary()), *[pa.array(x) for x in folded(sets)], pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))],
                     ["doc_id", "n", "rare", "bits", "p0", "p1", "entries"],
                 )
+        settle()
 
     return run, "doc_id long, n long, rare long, bits binary, p0 long, p1 long, entries array<long>"
 

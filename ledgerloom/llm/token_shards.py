@@ -24,14 +24,13 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, hash_spans, new_folder, prepare, slices, utf8
+from .common import cut, hash_spans, new_folder, prepare, settle, slices, utf8
 
 MAGIC = b"LLSST\x01\x00\x00"
 FOOTER = struct.Struct("<QQQQQQII8s")
@@ -198,12 +197,6 @@ def _plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] == sums[offsets[:-1]]
 
 
-@cache
-def encoder(path: str) -> Encoder:
-    """One encoder a worker, so that what one task has learned serves the next."""
-    return Encoder(path)
-
-
 # --- the format -----------------------------------------------------------------------------------------------------
 
 
@@ -374,7 +367,7 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame
         temporary = f"{root}/_{shard:07d}-{uuid.uuid4().hex}"
         for batch in batches:
             if writer is None and batch.num_rows:
-                coder = encoder(tokenizer)
+                coder = Encoder(tokenizer)
                 end = np.array([END], coder.dtype)
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(temporary)
@@ -388,6 +381,8 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame
         if writer is not None:
             writer.close()
             out.close()
+            del coder
+            settle()
             if store.type_name != "local" and store.get_file_info(final).is_file:
                 store.delete_file(final)
             store.move(temporary, final)
