@@ -14,8 +14,8 @@ import numpy as np
 
 from .common import slices
 
-#: Bytes that are convolved at once.
-BUFFER_BYTES = 1 << 18
+#: Bytes that are convolved at once: few, so that the responses stay in the processor's cache.
+BUFFER_BYTES = 1 << 15
 
 
 def lay_out(texts: list[bytes], window: int, widest: int) -> tuple[np.ndarray, np.ndarray]:

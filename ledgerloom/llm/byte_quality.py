@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from .byte_conv import ByteConv, batches_of, lay_out, training_windows
 from .byte_lang_id import pieces, sampled
-from .common import fold, prepare, utf8
+from .common import fold, prepare, settle, utf8
 
 #: The bound of the sample of labelled rows, and the pieces of text taken of each.
 TRAINING_ROWS, PIECES, PIECE_CHARS = 2400, 4, 512
@@ -95,6 +95,7 @@ def accepted_rows(rows: DataFrame, model) -> DataFrame:
         for batch in batches:
             for out in run(iter([pa.RecordBatch.from_arrays([batch.column("text").cast(pa.string())], ["text"])])):
                 yield batch.filter(pa.array(out.column("predicted").to_numpy() == 1))
+        settle()
 
     return rows.mapInArrow(keep, rows.schema)
 

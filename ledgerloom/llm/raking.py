@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, prepare, slices, utf8, words
+from .common import cut, prepare, settle, slices, utf8, words
 
 TOPICS = 8
 MARGINS = ("source", "lang", "topic")
@@ -44,6 +44,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = {n: batch.column(n) for n in batch.schema.names if n not in ("n_tokens", "topic")}
         columns |= {"n_tokens": pa.array(np.concatenate(tokens) if tokens else [], pa.int64()), "topic": pa.array((np.concatenate(topics) if topics else np.zeros(0)).astype(np.int32))}
         yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+    settle()
 
 
 def described(documents: DataFrame) -> DataFrame:

@@ -219,6 +219,7 @@ def _blobs(size: int, wanted):
                 ids = batch.column("doc_id").cast(pa.int64())
                 for lo, sets in _sets(batch, size):
                     yield pa.RecordBatch.from_arrays([ids.slice(lo, len(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "tokens"])
+        settle()
 
     return run, "doc_id long, tokens binary"
 
@@ -231,6 +232,7 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shared.append(len(np.intersect1d(a, b, assume_unique=True)))
             sizes.append(len(a) + len(b))
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64()), pa.array([n - s for n, s in zip(sizes, shared, strict=True)], pa.int64())], ["a", "b", "shared", "every"])
+    settle()
 
 
 def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
