@@ -43,8 +43,8 @@ def nodes(level_table: DataFrame) -> DataFrame:
     return flat.select("shard", "level", F.expr(f"shiftleft(twig, {TWIG_SHIFT} - level) + i").cast("bigint").alias("n"), "hash")
 
 
-def active_roots(bits: DataFrame) -> DataFrame:
-    """(shard, twig, l1, l2, l3): the tree over the 256-byte bitmap of active leaves, from (shard, sn) of active entries.
+def active_tree(bits: DataFrame) -> DataFrame:
+    """(shard, twig, bitmap, l1, l2, l3): the tree over the 256-byte bitmap of active leaves, from (shard, sn) of active entries.
 
     Bits are counted from the lowest of a byte. Pages of 32 bytes; pairs hash with level bytes 8, 9 and 10.
     """
@@ -54,7 +54,54 @@ def active_roots(bits: DataFrame) -> DataFrame:
     text = grouped.select("shard", "twig", F.expr("array_join(transform(sequence(0, 255), i -> lower(lpad(hex(coalesce(element_at(m, i), 0)), 2, '0'))), '')").alias("bitmap"))
     pages = text.withColumn("l1", F.expr("transform(sequence(0, 3), i -> " + pair_hash("8", "substr(bitmap, i * 128 + 1, 64)", "substr(bitmap, i * 128 + 65, 64)") + ")"))
     pages = pages.withColumn("l2", F.expr("transform(sequence(0, 1), i -> " + pair_hash("9", "l1[2 * i]", "l1[2 * i + 1]") + ")"))
-    return pages.select("shard", "twig", "bitmap", F.expr(pair_hash("10", "l2[0]", "l2[1]")).alias("l3"))
+    return pages.select("shard", "twig", "bitmap", "l1", "l2", F.expr(pair_hash("10", "l2[0]", "l2[1]")).alias("l3"))
+
+
+def active_roots(bits: DataFrame) -> DataFrame:
+    """(shard, twig, l3): the roots of the active trees."""
+    return active_tree(bits).select("shard", "twig", "l3")
+
+
+def right_paths(asked: DataFrame, tree: DataFrame) -> DataFrame:
+    """(shard, sn, level, own, peer, peer_at_left): the way from the page of active bits that holds a leaf to the active root, levels 8 to 10."""
+    page = "cast(((sn & 2047) div 256) AS int)"
+    steps = [
+        (8, f"substr(bitmap, {page} * 64 + 1, 64)", f"substr(bitmap, ({page} ^ 1) * 64 + 1, 64)", f"({page} & 1) = 1"),
+        (9, f"l1[{page} div 2]", f"l1[cast({page} div 2 AS int) ^ 1]", f"(({page} div 2) & 1) = 1"),
+        (10, f"l2[{page} div 4]", f"l2[cast({page} div 4 AS int) ^ 1]", f"(({page} div 4) & 1) = 1"),
+    ]
+    rows = asked.withColumn("twig", F.shiftright("sn", TWIG_SHIFT)).join(tree, ["shard", "twig"])
+    each = ", ".join(f"struct({level} AS level, {own} AS own, {peer} AS peer, {left} AS peer_at_left)" for level, own, peer, left in steps)
+    return rows.select("shard", "sn", F.expr(f"inline(array({each}))"))
+
+
+def upper_levels(roots: DataFrame, top: int) -> DataFrame:
+    """(shard, level, n, hash) of twig roots (level 12) and all nodes above them up to ``top``."""
+    out = roots.select("shard", F.lit(TWIG_LEVEL).alias("level"), F.col("twig").alias("n"), F.col("root").alias("hash"))
+    for level in range(TWIG_LEVEL + 1, top + 1):
+        out = out.unionByName(upper_nodes(roots, level).select("shard", F.lit(level).alias("level"), "n", "hash"))
+    return out
+
+
+def upper_paths(asked: DataFrame, levels_above: DataFrame, top: int) -> DataFrame:
+    """(shard, twig, level, peer, peer_at_left): the siblings on the way from a twig root to level ``top``; what is not there is an unused subtree."""
+    steps = asked.select("shard", "twig", F.explode(F.sequence(F.lit(TWIG_LEVEL), F.lit(top - 1))).alias("level"))
+    steps = steps.withColumn("own", F.expr(f"shiftright(twig, level - {TWIG_LEVEL})")).withColumn("n", F.col("own").bitwiseXOR(F.lit(1).cast("bigint")))
+    nulls = F.element_at(F.array(*[F.lit(null_root(k)) for k in range(TWIG_LEVEL, top)]), F.col("level") - TWIG_LEVEL + 1)
+    found = steps.join(levels_above, ["shard", "level", "n"], "left")
+    return found.select("shard", "twig", "level", F.coalesce("hash", nulls).alias("peer"), (F.col("n") < F.col("own")).alias("peer_at_left"))
+
+
+def proof_bytes(paths: DataFrame, leaves: DataFrame) -> DataFrame:
+    """(shard, sn, proof): number, leaf and the siblings of levels 0 to 10 as hex; sides follow from the bits of the number."""
+    peers = paths.groupBy("shard", "sn").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("level", "peer"))), lambda p: p["peer"]), "").alias("peers"))
+    return peers.join(leaves.select("shard", "sn", "hash"), ["shard", "sn"]).select("shard", "sn", F.concat(F.lower(F.lpad(F.hex("sn"), 16, "0")), "hash", "peers").alias("proof"))
+
+
+def parse_proofs(proofs: DataFrame) -> DataFrame:
+    """The paths and leaves of serialized proofs again: (shard, sn, hash, level, peer, peer_at_left)."""
+    rows = proofs.select("shard", F.conv(F.substring("proof", 1, 16), 16, 10).cast("bigint").alias("sn"), F.substring("proof", 17, 64).alias("hash"), "proof", F.explode(F.sequence(F.lit(0), F.lit(TWIG_SHIFT - 1))).alias("level"))
+    return rows.select("shard", "sn", "hash", "level", F.expr("substr(proof, 81 + level * 64, 64)").alias("peer"), F.expr("(shiftright(sn, level) & 1) = 1").alias("peer_at_left"))
 
 
 def twig_roots(level_table: DataFrame, active: DataFrame) -> DataFrame:

@@ -66,6 +66,22 @@ class Packer:
         if self.count > 1 and (f != 0 or self.items[1]) and (len(self.items[f]) >= self.full or max(self.sizes[f]) > self.most):
             self.flush(f)
 
+    def offer(self, item: int, reads: list, writes: list) -> int | None:
+        """The frame that takes the item, or None if it collides with all; a frame with too many keys is emptied."""
+        before = self.flushes
+        taken = 0
+        for key in reads:
+            taken |= self._holding(1, key)
+        for key in writes:
+            taken |= self._holding(1, key) | self._holding(0, key)
+        f = (~taken & (taken + 1)).bit_length() - 1
+        if f >= self.count:
+            return None
+        self.add(item, reads, writes)
+        if self.flushes == before and max(self.sizes[f]) > self.most:
+            self.flush(f)
+        return f
+
     def close(self) -> list[tuple[int, int, int, int, int, int]]:
         for f in range(self.count):
             if self.items[f]:
@@ -111,6 +127,24 @@ def packed(access: DataFrame, frames: int = FRAMES, full: int = FULL, most_keys:
     return access.groupBy("height").applyInPandas(run, SCHEMA)
 
 
+def thinned(access: DataFrame, frames: int = 2 * FRAMES) -> DataFrame:
+    """(height, idx, frame): items of each group, in order, that find an open frame by Bloom bits; the others are dropped.
+
+    This is how a mempool is drained when a block is final: what collides with everything must be sent again.
+    """
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        packer, out = Packer(frames, 1 << 30), []
+        for idx, rows in block.sort_values(["idx", "k"]).groupby("idx", sort=True):
+            sets = [[bloom_bits(k) for k, w in zip(rows.k, rows.w, strict=True) if w == kind] for kind in (0, 1)]
+            f = packer.offer(int(idx), *sets)
+            if f is not None:
+                out.append((int(block.height.iloc[0]), int(idx), f))
+        return pd.DataFrame(out, columns=["height", "idx", "frame"])
+
+    return access.groupBy("height").applyInPandas(run, "height long, idx long, frame int")
+
+
 def flush_order(frames: DataFrame) -> DataFrame:
     """out_idx and task_out_start again, from (height, idx, flush_seq, pos) alone."""
     order = Window.partitionBy("height").orderBy("flush_seq", "pos")

@@ -59,3 +59,9 @@ def with_shard(changes: DataFrame) -> DataFrame:
 def change_order(changes: DataFrame) -> list[F.Column]:
     """Shard, key hash, operation; what is left in the order of arrival."""
     return [F.col("shard"), F.col("key_hash"), F.col("op"), F.col("ts"), F.col("event_id")]
+
+
+def checked_writes(rows: DataFrame, most_key_bytes: int = 255) -> DataFrame:
+    """Writes (key, data) with a verdict: EmptyValue, KeyTooLong or ok. Nothing is dropped."""
+    verdict = F.when(F.octet_length("data") == 0, "EmptyValue").when(F.octet_length("key") > most_key_bytes, "KeyTooLong").otherwise("ok")
+    return rows.withColumn("verdict", verdict)

@@ -196,3 +196,19 @@ def first_open_frame(spark: SparkSession, d: str) -> DataFrame:
     masks = rows.where("w = 1").groupBy("height", "k").agg(F.expr("bit_or(shiftleft(1L, cast(idx div 64 AS int)))").alias("frames"))
     mask = rows.join(masks, ["height", "k"], "left").groupBy("height", "idx").agg(F.bit_or(F.coalesce("frames", F.lit(0).cast("bigint"))).alias("mask"))
     return mask.select("height", "idx", F.expr("cast(bit_count(((~mask) & (mask + 1)) - 1) AS bigint)").alias("frame"))
+
+
+@query()
+def mempool_drain(spark: SparkSession, d: str) -> DataFrame:
+    """What is kept of a pool when a block is final."""
+    return schedule.thinned(V.access(spark, d))
+
+
+@query(f"""WITH {TX}, got AS (SELECT height, CAST(('0x' || right(sha256(caller), 2)) AS INT) % 4 AS lane, count(*) AS n FROM tx WHERE tx_id % 211 <> 0 GROUP BY ALL),
+told AS (SELECT height, CAST(('0x' || right(sha256(caller), 2)) AS INT) % 4 AS lane, count(*) AS n FROM tx GROUP BY ALL)
+SELECT told.height, count(*) AS lanes, CAST(sum(told.n) AS BIGINT) AS announced, CAST(sum(coalesce(got.n, 0)) AS BIGINT) AS received, bool_and(coalesce(got.n, 0) = told.n) AS complete FROM told LEFT JOIN got ON got.height = told.height AND got.lane = told.lane GROUP BY told.height""")
+def block_completeness(spark: SparkSession, d: str) -> DataFrame:
+    """A block is complete when every lane has delivered what its end marker announces."""
+    lane = (H.hex_int(F.right(F.sha2("caller", 256), F.lit(2))) % 4).cast("int")
+    per_lane = V.tx(spark, d).groupBy("height", lane.alias("lane")).agg(F.count("*").alias("told"), F.count(F.when(F.col("tx_id") % 211 != 0, 1)).alias("got"))
+    return per_lane.groupBy("height").agg(F.count("*").alias("lanes"), F.sum("told").alias("announced"), F.sum("got").alias("received"), F.min(F.col("told") == F.col("got")).alias("complete"))

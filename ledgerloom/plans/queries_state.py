@@ -210,3 +210,10 @@ def coinbase_credit(spark: SparkSession, d: str) -> DataFrame:
     fees = V.tx(spark, d).groupBy("height").agg(F.sum("value_cents").alias("fee"))
     both = fees.join(V.account(spark, d), F.concat(F.lit("s"), F.col("height") % 200) == F.col("key"), "left")
     return both.select("height", "fee", F.when(F.col("fee") == 0, 0).when(F.col("key").isNull(), 2).otherwise(3).alias("op"), (F.coalesce("balance_cents", F.lit(0)) + F.col("fee")).cast("bigint").alias("balance"))
+
+
+@query(f"""WITH {OPS} SELECT height, event_id, key, CASE WHEN value_cents % 10 = 0 THEN 'EmptyValue' WHEN length(key) > 9 THEN 'KeyTooLong' ELSE 'ok' END AS verdict FROM ops WHERE op IN (2, 3)""")
+def write_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Error rows instead of panics: writes without a value (ending in 0 here), keys over the limit (9 bytes here)."""
+    rows = V.operations(spark, d).where("op IN (2, 3)").withColumn("data", F.when(F.col("value_cents") % 10 == 0, F.lit("")).otherwise(F.col("value_cents").cast("string")))
+    return S.checked_writes(rows, 9).select("height", "event_id", "key", "verdict")

@@ -122,3 +122,33 @@ def edge_nodes(spark: SparkSession, d: str) -> DataFrame:
     """The leftmost node that pruning leaves on each level."""
     nodes = M.nodes(M.levels(M.twigs(leaves(spark, d)))).where("level >= 5").where(F.expr("n >= shiftright(1200, level)"))
     return nodes.groupBy("shard", F.col("level").cast("int").alias("level")).agg(F.min("n").alias("m"), F.min_by("hash", "n").alias("hash")).withColumnRenamed("m", "n")
+
+
+@query(f"""WITH {_LEVELS}, {_ACTIVE}, asked AS (SELECT shard, sn, sn >> 11 AS twig, (sn & 2047) // 256 AS p FROM leaf WHERE sn % 997 = 0)
+SELECT a.shard, a.sn, 8 AS level, o.h AS own, q.h AS peer, q.p < o.p AS peer_at_left FROM asked a JOIN page o ON o.shard = a.shard AND o.twig = a.twig AND o.p = a.p JOIN page q ON q.shard = a.shard AND q.twig = a.twig AND q.p = xor(a.p, 1)
+UNION ALL SELECT a.shard, a.sn, 9, o.h, q.h, q.p < o.p FROM asked a JOIN a1 o ON o.shard = a.shard AND o.twig = a.twig AND o.p = a.p // 2 JOIN a1 q ON q.shard = a.shard AND q.twig = a.twig AND q.p = xor(a.p // 2, 1)
+UNION ALL SELECT a.shard, a.sn, 10, o.h, q.h, q.p < o.p FROM asked a JOIN a2 o ON o.shard = a.shard AND o.twig = a.twig AND o.p = a.p // 4 JOIN a2 q ON q.shard = a.shard AND q.twig = a.twig AND q.p = xor(a.p // 4, 1)""")
+def active_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The way from a leaf's page of active bits to the active root."""
+    rows = leaves(spark, d)
+    return M.right_paths(rows.where("sn % 997 = 0").select("shard", "sn"), M.active_tree(rows.where("active")))
+
+
+@query(f"WITH {_LEVELS}, {_ACTIVE}, {_upper(_TOP)}, asked AS (SELECT shard, twig FROM twig_root), p AS (" + " UNION ALL ".join(
+    f"SELECT a.shard, a.twig, {k} AS level, coalesce(u.hash, '{M.null_root(k)}') AS peer, xor(a.twig >> {k - 12}, 1) < a.twig >> {k - 12} AS peer_at_left FROM asked a LEFT JOIN u{k} u ON u.shard = a.shard AND u.n = xor(a.twig >> {k - 12}, 1)" for k in range(12, _TOP)
+) + ") SELECT shard, twig, level, peer, peer_at_left FROM p")
+def upper_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The siblings on the way from a twig root up."""
+    rows = leaves(spark, d)
+    roots = M.twig_roots(M.levels(M.twigs(rows)), M.active_roots(rows.where("active")))
+    return M.upper_paths(roots.select("shard", "twig"), M.upper_levels(roots, _TOP - 1), _TOP)
+
+
+@query(f"WITH {_LEVELS}, asked AS (SELECT shard, sn, hash FROM leaf WHERE sn % 997 = 0), p AS (" + " UNION ALL ".join(
+    f"SELECT a.shard, a.sn, a.hash AS leaf_hash, {k} AS level, l.hash AS peer FROM asked a JOIN l{k} l ON l.shard = a.shard AND l.n = xor(a.sn >> {k}, 1)" for k in range(11)
+) + ") SELECT shard, sn, printf('%016x', sn) || leaf_hash || string_agg(peer, '' ORDER BY level) AS proof FROM p GROUP BY shard, sn, leaf_hash")
+def serialized_proofs(spark: SparkSession, d: str) -> DataFrame:
+    """Proofs as bytes."""
+    rows = leaves(spark, d)
+    paths = M.left_paths(rows.where("sn % 997 = 0"), M.nodes(M.levels(M.twigs(rows))))
+    return M.proof_bytes(paths, rows)

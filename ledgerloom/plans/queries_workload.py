@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import hashing as H
 from ..operators import metrics, workload as W
 from ..sources import views as V
 from .registry import query
@@ -72,6 +73,18 @@ def bounded_batch(spark: SparkSession, d: str) -> DataFrame:
     return _transfers(spark, d).orderBy("o_orderkey").limit(100)
 
 
+_LE6 = lambda x: "lower(" + " || ".join(f"substr(lpad(to_hex({x}), 12, '0'), {11 - 2 * k}, 2)" for k in range(6)) + ")"
+
+
+@query(f"WITH {_TRANSFERS} SELECT o_orderkey, {_LE6('src')} || repeat('0', 12) || {_LE6('dst')} || repeat('0', 12) AS record, src, dst FROM t")
+def workload_records(spark: SparkSession, d: str) -> DataFrame:
+    """Transfers as 24-byte records and read from them again."""
+    gap = F.unhex(F.lit("0" * 12))
+    rows = _transfers(spark, d).select("o_orderkey", F.concat(H.little_endian(F.col("src"), 6), gap, H.little_endian(F.col("dst"), 6), gap).alias("record"))
+    read = lambda at: H.from_little_endian(F.substring("record", at, F.lit(6)), 6)
+    return rows.select("o_orderkey", F.lower(F.hex("record")).alias("record"), read(F.lit(1)).alias("src"), read(F.lit(13)).alias("dst"))
+
+
 def _samples(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "events").select(F.col("event_type").alias("name"), V.cents("value").alias("value"))
 

@@ -57,3 +57,42 @@ def test_inactive_twig(spark):
     nothing = M.active_roots(df.where("sn < 0"))
     want = h(11, levels.first().levels[11][0], M.active_root_of_zeros())
     assert M.twig_roots(levels, nothing).first().root == want
+
+
+def test_right_and_upper_paths_fold(spark):
+    count = 2048 * 4 + 9
+    leaves = [sha256(f"x{i}".encode()).hexdigest() for i in range(count)]
+    df = spark.createDataFrame([(1, i, x, i % 5 != 0) for i, x in enumerate(leaves)], "shard int, sn long, hash string, active boolean").cache()
+    tree = M.active_tree(df.where("active"))
+    roots = {r.twig: r.l3 for r in tree.collect()}
+    asked = df.where("sn % 700 = 3").select("shard", "sn")
+    found = {}
+    for r in M.right_paths(asked, tree).collect():
+        found.setdefault(r.sn, {})[r.level] = r
+    assert len(found) == asked.count()
+    for sn, path in found.items():
+        for level in (8, 9, 10):
+            p = path[level]
+            up = h(level, p.peer, p.own) if p.peer_at_left else h(level, p.own, p.peer)
+            assert up == (path[level + 1].own if level < 10 else roots[sn // 2048])
+    twig_roots = M.twig_roots(M.levels(M.twigs(df)), M.active_roots(df.where("active"))).cache()
+    root = M.upper_nodes(twig_roots, 16).first().hash
+    steps = {}
+    for r in M.upper_paths(twig_roots.select("shard", "twig"), M.upper_levels(twig_roots, 15), 16).collect():
+        steps.setdefault(r.twig, {})[r.level] = r
+    own = {r.twig: r.root for r in twig_roots.collect()}
+    for twig, path in steps.items():
+        acc = own[twig]
+        for level in range(12, 16):
+            acc = h(level, path[level].peer, acc) if path[level].peer_at_left else h(level, acc, path[level].peer)
+        assert acc == root
+
+
+def test_proofs_round_trip(spark):
+    df = spark.createDataFrame([(2, i, sha256(f"y{i}".encode()).hexdigest()) for i in range(2500)], "shard int, sn long, hash string").cache()
+    paths = M.left_paths(df.where("sn % 300 = 1").select("shard", "sn"), M.nodes(M.levels(M.twigs(df))))
+    proofs = M.proof_bytes(paths, df)
+    assert all(len(r.proof) == 16 + 12 * 64 for r in proofs.collect())
+    back = M.parse_proofs(proofs)
+    key = lambda r: (r.sn, r.level, r.peer, r.peer_at_left)
+    assert sorted(map(key, back.collect())) == sorted(map(key, paths.collect()))
