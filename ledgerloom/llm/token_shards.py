@@ -24,6 +24,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ FOOTER = struct.Struct("<QQQQQQII8s")
 #: Raw bytes after which a block is closed, and text bytes that a shard is meant to hold.
 BLOCK_BYTES, SHARD_BYTES = 1 << 18, 32 << 20
 #: Pieces whose ids a worker remembers (about 25 bytes each), and text bytes that are encoded at once.
-REMEMBERED, PIECE_BYTES = 600_000, 1 << 19
+REMEMBERED, PIECE_BYTES = 500_000, 1 << 19
 #: The id that ends every document.
 END = 0
 
@@ -197,6 +198,12 @@ def _plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return sums[offsets[1:]] == sums[offsets[:-1]]
 
 
+@cache
+def encoder(path: str) -> Encoder:
+    """One encoder a worker: loading the vocabulary takes as long as encoding megabytes."""
+    return Encoder(path)
+
+
 # --- the format -----------------------------------------------------------------------------------------------------
 
 
@@ -367,7 +374,7 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame
         temporary = f"{root}/_{shard:07d}-{uuid.uuid4().hex}"
         for batch in batches:
             if writer is None and batch.num_rows:
-                coder = Encoder(tokenizer)
+                coder = encoder(tokenizer)
                 end = np.array([END], coder.dtype)
                 store.create_dir(root, recursive=True)
                 out = store.open_output_stream(temporary)
@@ -381,7 +388,6 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame
         if writer is not None:
             writer.close()
             out.close()
-            del coder
             settle()
             if store.type_name != "local" and store.get_file_info(final).is_file:
                 store.delete_file(final)
