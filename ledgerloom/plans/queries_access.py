@@ -127,7 +127,7 @@ def frame_packing(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def frame_packing_bloom(spark: SparkSession, d: str) -> DataFrame:
-    """G1 with Bloom bits instead of keys, as the original decides."""
+    """G1 with Bloom bits instead of keys: some collisions are none."""
     return schedule.packed(V.access(spark, d), bloom=True)
 
 
