@@ -38,7 +38,7 @@ FOOTER = struct.Struct("<QQQQQQII8s")
 #: Raw bytes after which a block is closed, and text bytes that a shard is meant to hold.
 BLOCK_BYTES, SHARD_BYTES = 1 << 18, 32 << 20
 #: Pieces whose ids a worker remembers (about 25 bytes each), and text bytes that are encoded at once.
-REMEMBERED, PIECE_BYTES = 500_000, 1 << 19
+REMEMBERED, PIECE_BYTES = 1_200_000, 1 << 19
 #: The id that ends every document.
 END = 0
 
