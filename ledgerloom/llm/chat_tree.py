@@ -86,27 +86,27 @@ def chat_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     ordered = numbers.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
     turns = cut(ordered.mapInArrow(_paths, "conv long, depth long, path binary, formatted string, chars long, loss_from long, loss_to long"), "chat-turns")
 
-    owners = cut(turns.groupBy("path").agg(F.min("conv").alias("owner")), "chat-owners")  # else the joins could not split a shared turn
-    owned = cut(turns.select("conv", "depth", "path", "chars").join(owners, "path").select("conv", "depth", "chars", "owner"), "chat-owned")
+    owners = cut(turns.groupBy("path").agg(F.min("conv").alias("owner")), "chat-owners", few=True)  # else the joins could not split a shared turn
+    owned = cut(turns.select("conv", "depth", "path", "chars").join(owners, "path").select("conv", "depth", "chars", "owner"), "chat-owned", few=True)
     # relative end of each node in its owner's chain
     mine = owned.where("conv = owner")
-    ends = cut(mine.select("owner", "depth", "chars", F.sum("chars").over(Window.partitionBy("owner").orderBy("depth")).alias("end")), "chat-ends")
+    ends = cut(mine.select("owner", "depth", "chars", F.sum("chars").over(Window.partitionBy("owner").orderBy("depth")).alias("end")), "chat-ends", few=True)
     chains = mine.groupBy(F.col("conv").alias("owner")).agg(F.min("depth").alias("branch"), F.sum("chars").alias("total"))
     above = owned.where("conv <> owner").groupBy(F.col("conv").alias("owner")).agg(F.max_by("owner", "depth").alias("parent"))
     chains = chains.join(above, "owner", "left")
     hung = chains.join(ends.select(F.col("owner").alias("parent"), (F.col("depth") + 1).alias("branch"), F.col("end").alias("at")), ["parent", "branch"], "left")
-    hung = cut(hung.select("owner", "parent", "branch", "total", "at"), "chat-chains")
+    hung = cut(hung.select("owner", "parent", "branch", "total", "at"), "chat-chains", few=True)
 
     # hops of each chain, level by level: (parent, where it hangs) from the root; key: the depth-first order
     flip = F.lit((1 << 62)) - F.col("branch")  # deeper branches come first
     step = F.concat(F.lpad(F.hex(flip), 16, "0"), F.lpad(F.hex(F.col("owner").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0"))
     hop_type = "array<struct<chain:long,at:long>>"
-    level = cut(hung.where("parent IS NULL").select("owner", "total", step.alias("key"), F.expr(f"cast(array() AS {hop_type})").alias("hops")), "chat-level")
+    level = cut(hung.where("parent IS NULL").select("owner", "total", step.alias("key"), F.expr(f"cast(array() AS {hop_type})").alias("hops")), "chat-level", few=True)
     levels = [level]
     rest = hung.where("parent IS NOT NULL").withColumn("step", step)
     while True:
         up = level.select(F.col("owner").alias("parent"), F.col("key").alias("above"), F.col("hops").alias("before"))
-        level = cut(rest.join(up, "parent").select("owner", "total", F.concat("above", "step").alias("key"), F.expr(f"concat(before, cast(array(struct(parent, at)) AS {hop_type}))").alias("hops")), "chat-level")
+        level = cut(rest.join(up, "parent").select("owner", "total", F.concat("above", "step").alias("key"), F.expr(f"concat(before, cast(array(struct(parent, at)) AS {hop_type}))").alias("hops")), "chat-level", few=True)
         if not level.limit(1).count():
             break
         levels.append(level)
@@ -126,13 +126,13 @@ def chat_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         offsets = ranged.withColumn("within", within).join(F.broadcast(spark.createDataFrame(sums, "range int, base long")), "range").select("owner", "hops", (F.col("base") + F.col("within")).alias("offset"))
     else:
         offsets = ranged.select("owner", "hops", F.lit(0).cast("long").alias("offset"))
-    offsets = cut(offsets, "chat-offsets")
+    offsets = cut(offsets, "chat-offsets", few=True)
     spots = offsets.select(F.col("owner").alias("chain"), F.col("offset").alias("chain_offset"))
     far = offsets.select("owner", F.posexplode("hops").alias("nth", "hop")).select("owner", "nth", F.col("hop.chain").alias("chain"), F.col("hop.at").alias("at"))
     spans = far.join(spots, "chain").groupBy("owner").agg(F.array_sort(F.collect_list(F.struct("nth", "chain", F.col("chain_offset").alias("start"), (F.col("chain_offset") + F.col("at")).alias("stop")))).alias("far"))
     spans = spans.select("owner", F.expr("transform(far, x -> struct(x.chain AS chain, x.start AS start, x.stop AS stop))").alias("far"))
     none = F.expr("cast(array() AS array<struct<chain:long,start:long,stop:long>>)")
-    chain_table = cut(offsets.select("owner", "offset").join(spans, "owner", "left").withColumn("far", F.coalesce("far", none)), "chat-spans")
+    chain_table = cut(offsets.select("owner", "offset").join(spans, "owner", "left").withColumn("far", F.coalesce("far", none)), "chat-spans", few=True)
 
     texts = turns.join(owners, "path").where("conv = owner").select("owner", "depth", "formatted", "loss_from", "loss_to")
     nodes = texts.join(ends, ["owner", "depth"]).join(chain_table, "owner")
@@ -151,7 +151,7 @@ def chat_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(F.col("conv") > -(1 << 63), F.col("conv")).alias("conv_id"), (F.col("depth") + 1).alias("n_turns"),
         F.concat("far", F.array(F.expr("struct(owner AS chain, offset AS start, offset + end AS stop)"))).alias("spans"),
     )
-    return nodes, cut(leaves, "chat-leaves")
+    return nodes, cut(leaves, "chat-leaves", few=True)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -49,9 +49,15 @@ def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/ledgerloom/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder and reads it back, so a lost executor costs no recomputing."""
+def cut(df: DataFrame, what: str, partition_by: list[str] | None = None, few: bool = False) -> DataFrame:
+    """Cuts the lineage: writes ``df`` to the shared folder and reads it back, so a lost executor costs no recomputing.
+
+    ``few``: the table is light for its number of partitions, so it is written by two tasks a core at most; every file
+    costs several calls to the file system.
+    """
     spark, path = df.sparkSession, new_folder(df.sparkSession, what)
+    if few:
+        df = df.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

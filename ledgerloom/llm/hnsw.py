@@ -226,10 +226,10 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     blocked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", "v"), F.lit(blocks)))
     listed = F.collect_list(F.struct("query_id", "v")).alias("rows")
     query_blocks = blocked.groupBy("dim", "block").agg(listed).select("dim", "block", F.col("rows.query_id").alias("queries"), F.col("rows.v").alias("vectors"))
-    query_blocks = cut(query_blocks, "hnsw-queries")
+    query_blocks = cut(query_blocks, "hnsw-queries", few=True)
     spread = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("salt", F.pmod(F.xxhash64("index"), F.lit(shards)))
     run, out = _search(k)
     found = spread.repartition(max(1, shards * blocks), "salt", "block").join(query_blocks, ["dim", "block"]).select("block", "index", "ids", "queries", "vectors").mapInArrow(run, out)
-    found = cut(found, "hnsw-found").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = cut(found, "hnsw-found", few=True).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(f"rank <= {k}").select("query_id", "rank", "vec_id", "score")

@@ -113,13 +113,13 @@ def _rake_frames(cells: DataFrame, kept: float) -> DataFrame:
     for m in MARGINS:
         own = cells.groupBy(m).agg(F.sum("tokens").alias("own")).withColumn("raised", F.pow(F.col("own") / F.lit(total), F.lit(TEMPER[m])))
         norm = own.agg(F.sum("raised")).first()[0]
-        aims[m] = cut(own.select(m, (F.col("raised") / norm * total).alias("aim")), "raking-aims")
+        aims[m] = cut(own.select(m, (F.col("raised") / norm * total).alias("aim")), "raking-aims", few=True)
     now = cells.withColumn("weight", F.col("tokens").cast("double"))
     for _ in range(30):
         for m in MARGINS:
             sums = now.groupBy(m).agg(F.sum("weight").alias("now")).join(aims[m], m).select(m, F.when(F.col("now") > 0, F.col("aim") / F.col("now")).otherwise(0.0).alias("factor"))
             now = now.join(sums, m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
-        now = cut(now, "raking-cells")
+        now = cut(now, "raking-cells", few=True)
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     scale = kept
     for _ in range(20):  # a fixed point: what capped cells cannot give, the others give
@@ -139,7 +139,7 @@ def sampled_documents(documents: DataFrame, targets: dict[str, dict] | None = No
     """
     spark = documents.sparkSession
     docs = described(documents.drop("weight", "probability", "kept"))
-    cells = cut(docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "raking-cells")
+    cells = cut(docs.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")), "raking-cells", few=True)
     names = [F.coalesce(F.col(m).cast("string"), F.lit("\u0000")).alias(m) for m in MARGINS]
     cells = cells.select(*names, "tokens")
     if cells.count() <= DRIVER_CELLS:

@@ -255,7 +255,7 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
 
     # frequent tokens, the list bounded: where more qualify, the bar is raised
     run, schema = _frequent(FREQUENT)
-    frequent = cut(described.where("kind = 1").select("range", "ids", "counts").groupBy("range").applyInArrow(run, schema), "shingle-frequent")
+    frequent = cut(described.where("kind = 1").select("range", "ids", "counts").groupBy("range").applyInArrow(run, schema), "shingle-frequent", few=True)
     steps = frequent.groupBy(F.floor(F.log2("found") * 4).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()
     bar, listed_so_far = None, 0
     for r in steps:
@@ -268,14 +268,14 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
 
     # one class per set; its smallest doc_id stands for it
     known = info.where("n > 0 AND doc_id IS NOT NULL")
-    classes = cut(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "shingle-classes")
+    classes = cut(known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "shingle-classes", few=True)
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
     run, schema = _index(size, percent, short, listed)
     indexed = cut(docs.where("doc_id IS NOT NULL").mapInArrow(run, schema).where("n > 0").join(reps, "doc_id", "left_semi"), "shingle-index")
     entries = indexed.select("doc_id", F.explode("entries").alias("entry"))
     pivots = entries.groupBy("entry").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("held")).where("held > 1").select("entry", "pivot")
-    pivots = cut(pivots, "shingle-pivots")  # else the join could not split a large bucket
+    pivots = cut(pivots, "shingle-pivots", few=True)  # else the join could not split a large bucket
     buckets = cut(entries.join(pivots, "entry"), "shingle-buckets")
     release(spark)
 
@@ -285,7 +285,7 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     def bounded(pairs: DataFrame, what: str) -> DataFrame:
         left = indexed.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
         right = indexed.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_could_link, "a long, b long, low double"), what)
+        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(_could_link, "a long, b long, low double"), what, few=True)
 
     def verified(pairs: DataFrame, what: str) -> DataFrame:
         needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
@@ -293,10 +293,10 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
         wanted = np.zeros(SLOTS // 8, np.uint8)
         wanted[filled.column("at").to_numpy()] = filled.column("byte").to_numpy()
         run, schema = _blobs(size, spark.sparkContext.broadcast(wanted.tobytes()))
-        blobs = cut(docs.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(run, schema).join(needed, "doc_id", "left_semi"), "shingle-blobs")
+        blobs = cut(docs.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(run, schema).join(needed, "doc_id", "left_semi"), "shingle-blobs", few=True)
         left = blobs.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
         right = blobs.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_overlap, "a long, b long, shared long, every long"), what)
+        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_overlap, "a long, b long, shared long, every long"), what, few=True)
 
     pairs = buckets.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     bounds = bounded(pairs, "shingle-bounds")
@@ -314,7 +314,7 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     distance = distance.select(F.col("a").alias("pivot"), F.col("b").alias("doc_id"), F.coalesce("d", "low").alias("low"), F.coalesce("d", F.lit(1.0)).alias("high"))
     placed = buckets.join(first.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     open_buckets = placed.where("doc_id <> pivot").groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("entry")
-    members = cut(placed.where("doc_id <> pivot").join(open_buckets, "entry", "left_semi").join(distance, ["pivot", "doc_id"]).join(indexed.select("doc_id", "n", "rare", "p0", "p1"), "doc_id").select("entry", "pivot", "doc_id", "n", "rare", "p0", "p1", "root", "low", "high"), "shingle-open")
+    members = cut(placed.where("doc_id <> pivot").join(open_buckets, "entry", "left_semi").join(distance, ["pivot", "doc_id"]).join(indexed.select("doc_id", "n", "rare", "p0", "p1"), "doc_id").select("entry", "pivot", "doc_id", "n", "rare", "p0", "p1", "root", "low", "high"), "shingle-open", few=True)
     allowed = (F.col("x.n") + F.col("y.n")) * (100 - percent)
     bits_differ = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
     differ = F.col("x.rare") + F.col("y.rare") + F.abs((F.col("x.n") - F.col("x.rare")) - (F.col("y.n") - F.col("y.rare")))

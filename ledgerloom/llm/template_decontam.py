@@ -80,7 +80,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
         ours = words.select("doc_id", F.explode(_windows(every, size)).alias("window")).select("doc_id", F.col("window.at").alias("doc_at"), F.col("window.hash").alias("hash"))
         found = ours.join(_small(theirs, shape.total or 0), "hash").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"))
         hits = found if hits is None else hits.union(found)
-    hits = cut(hits.distinct(), "template-hits")
+    hits = cut(hits.distinct(), "template-hits", few=True)
     ids = hits.select("doc_id").distinct()
     several = ids.count()
     raw = docs.join(_small(ids, several), "doc_id", "left_semi")
