@@ -1,11 +1,13 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame and SQL functions only.
 
 Numbers, units after numbers, and names (capitalised words inside a sentence) become typed placeholders, the rest is
-lower-cased; the words of a text keep their number and places. Windows of template words are hash-joined: benchmark items
-send a window from every word, documents from every ``step``-th, where a run of ``window + step - 1`` words holds at
-least one such window. Each hit is then followed along its diagonal: the longest run of equal template words must be
-``RUN`` words, or the whole of a shorter item, and its slots must be consistent, that is, one value of the item always
-stands for one value of the document. So a question whose numbers or names were exchanged is still found.
+lower-cased; the words of a text keep their number and places. Windows of words are hash-joined in two forms: of the
+template, where the item's window holds ``LITERALS`` literal words, from every word of both sides; and of the lower-cased
+words as they are, without that condition, from every word of an item and every ``step``-th of a document, since a run of
+``window + step - 1`` words holds at least one such window. Each hit is then followed along its diagonal: the longest run
+of words that are equal in either form and whose slots are consistent, that is, one value of the item always stands for
+one value of the document, must be ``RUN`` words, or the whole of a shorter item. So a question whose numbers or names
+were exchanged is still found, and every verbatim copy is.
 """
 
 from __future__ import annotations
@@ -41,12 +43,20 @@ def _value(word: str) -> str:
     return f"lower(regexp_replace({word}, '^[\\\\p{{P}}]+|[\\\\p{{P}}]+$', ''))"
 
 
-def _windows(step: int, size: int) -> F.Column:
-    """(word position from 0, hash) of the windows that fit."""
-    return F.expr(
-        f"CASE WHEN size(words) >= {size} THEN transform(sequence(0, size(words) - {size}, {step}), "
-        f"i -> struct(i AS at, xxhash64(slice(words, i + 1, {size})) AS hash)) END"
-    )
+def _slot(word: str) -> str:
+    return f"({word} LIKE '%<num>%' OR {word} LIKE '%<name>%' OR {word} LIKE '%<unit>%')"
+
+
+def _windows(words: str, step: int, size: int) -> str:
+    """SQL of (word position from 0, hash) of the windows that fit."""
+    places = f"CASE WHEN size({words}) >= {size} THEN sequence(0, size({words}) - {size}, {step}) ELSE cast(array() AS array<int>) END"
+    return f"transform({places}, i -> struct(i AS at, xxhash64(slice({words}, i + 1, {size})) AS hash))"
+
+
+def _item_windows(words: str, last: str, literals: int) -> str:
+    """SQL of the same of an item, up to the place ``last``; a shorter item is one window."""
+    part = f"slice({words}, i + 1, {WINDOW})"
+    return f"transform(filter(sequence(0, {last}), i -> size(filter({part}, w -> NOT {_slot('w')})) >= least({literals}, size({words}))), i -> struct(i AS at, xxhash64({part}) AS hash))"
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -59,42 +69,41 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Equal items are one, named by their smallest item_id. A null text or one without words holds nothing and is held by
     nothing; rows with a null doc_id or item_id are not compared. Rows that repeat a doc_id are one document: a hit in
-    any of them counts. Items that have fewer literal words than ``LITERALS`` (or than they have words) are not looked
-    for. Other columns are not read. An empty benchmark finds nothing.
+    any of them counts. Windows of fewer literal words than ``LITERALS`` (or than a shorter item has) are looked for word
+    for word only. Other columns are not read. An empty benchmark finds nothing.
     """
     text = F.col("text").cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     items = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
-    items = items.select("item_id", F.expr(word_array("text")).alias("raw"), F.expr(word_array(template("text"))).alias("words")).where("size(words) > 0")
+    items = items.select("item_id", F.expr(word_array("lower(text)")).alias("raw"), F.expr(word_array(template("text"))).alias("words")).where("size(words) > 0")
     shape = items.agg(F.min(F.expr(f"CASE WHEN size(words) >= {WINDOW} THEN size(words) END")).alias("least"), F.collect_set(F.expr(f"CASE WHEN size(words) < {WINDOW} THEN size(words) END")).alias("short"), F.sum(F.size("words")).alias("total")).first()
     step = min(RUN, shape.least or RUN) - WINDOW + 1
-    plans = [(WINDOW, step)] + [(size, 1) for size in sorted(shape.short or [])]  # shorter items: a window of the whole item
+    sent = [_windows("words", 1, WINDOW), _windows("raw", step, WINDOW)] + [_windows(w, 1, size) for size in sorted(shape.short or []) for w in ("words", "raw")]
 
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    words = docs.select("doc_id", F.expr(word_array(template("text"))).alias("words"))
-    hits = None
-    for size, every in plans:
-        theirs = items.where(f"size(words) >= {size}" if size == WINDOW else f"size(words) = {size}")
-        theirs = theirs.withColumn("window", F.explode(_windows(1, size))).where(f"size(filter(slice(words, window.at + 1, {size}), w -> NOT w LIKE '%<%')) >= {min(LITERALS, size)}")
-        theirs = theirs.select("item_id", F.col("window.at").alias("item_at"), F.col("window.hash").alias("hash"))
-        ours = words.select("doc_id", F.explode(_windows(every, size)).alias("window")).select("doc_id", F.col("window.at").alias("doc_at"), F.col("window.hash").alias("hash"))
-        found = ours.join(_small(theirs, shape.total or 0), "hash").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"))
-        hits = found if hits is None else hits.union(found)
+    words = docs.select("doc_id", F.expr(word_array("lower(text)")).alias("raw"), F.expr(word_array(template("text"))).alias("words"))
+    last = f"greatest(0, size(words) - {WINDOW})"
+    theirs = items.select("item_id", F.expr(f"explode(array_distinct(concat({_item_windows('words', last, LITERALS)}, {_item_windows('raw', last, 0)})))").alias("window"))
+    theirs = theirs.select("item_id", F.col("window.at").alias("item_at"), F.col("window.hash").alias("hash"))
+    ours = words.select("doc_id", F.expr(f"explode(concat({', '.join(sent)}))").alias("window")).select("doc_id", F.col("window.at").alias("doc_at"), F.col("window.hash").alias("hash"))
+    hits = ours.join(_small(theirs, 3 * (shape.total or 0)), "hash").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"))
     hits = cut(hits.distinct(), "template-hits", few=True)
     ids = hits.select("doc_id").distinct()
     several = ids.count()
     raw = docs.join(_small(ids, several), "doc_id", "left_semi")
-    ours = raw.select("doc_id", F.expr(word_array("text")).alias("doc_raw"), F.expr(word_array(template("text"))).alias("doc_words"))
+    ours = raw.select("doc_id", F.expr(word_array("lower(text)")).alias("doc_raw"), F.expr(word_array(template("text"))).alias("doc_words"))
     theirs = items.select("item_id", F.col("raw").alias("item_raw"), F.col("words").alias("item_words"))
     both = hits.join(ours, "doc_id").join(_small(theirs, shape.total or 0), "item_id")
 
     # along the diagonal: k counts the item's words, shift + k the document's
     both = both.withColumn("low", F.expr("greatest(0, -shift)")).withColumn("high", F.expr("least(size(item_words), size(doc_words) - shift)")).where("high > low")
-    flags = both.withColumn("equal", F.expr("array_join(transform(sequence(low, high - 1), k -> CASE WHEN item_words[k] = doc_words[shift + k] THEN '1' ELSE '0' END), '')"))
+    same = "item_words[k] = doc_words[shift + k] OR item_raw[k] = doc_raw[shift + k]"
+    same = "item_words[k] = doc_words[shift + k] OR item_raw[k] = doc_raw[shift + k]"
+    flags = both.withColumn("equal", F.expr(f"array_join(transform(sequence(low, high - 1), k -> CASE WHEN {same} THEN '1' ELSE '0' END), '')"))
     runs = flags.withColumn("run_words", F.expr("array_max(transform(split(equal, '0'), x -> length(x)))")).where(f"run_words >= least({RUN}, size(item_words))")
     runs = runs.withColumn("first", F.expr("low + locate(repeat('1', run_words), equal) - 1"))
     slots = F.expr(
-        "transform(filter(sequence(first, first + run_words - 1), k -> item_words[k] LIKE '%<num>%' OR item_words[k] LIKE '%<name>%' OR item_words[k] LIKE '%<unit>%'), "
+        f"transform(filter(sequence(first, first + run_words - 1), k -> {_slot('item_words[k]')} OR {_slot('doc_words[shift + k]')}), "
         f"k -> struct({_value('item_raw[k]')} AS i, {_value('doc_raw[shift + k]')} AS d))"
     )
     runs = runs.withColumn("slots", slots).where("size(array_distinct(slots)) = size(array_distinct(transform(slots, s -> s.i)))")

@@ -85,3 +85,18 @@ def test_native(spark):
     """No Python on the main path."""
     plan = D.contaminated(documents(spark, [(1, "a")]), bench(spark, [(1, ITEM)]))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Arrow", "Pandas"))
+
+
+def test_verbatim_with_few_literals(spark):
+    """Copies word for word count, whatever the words are and wherever the copy starts."""
+    items = [(1, "What is 7 times 8?"), (2, "Add 12 and 15 and 18 and 21 and 24 and 27 and 30 and 33"), (3, "if a<b and b<c then a<c and x<y or not z<w so we stop"), (4, "we saw Anna Boris Carla David Emil Frieda Gustav Hanna Ida Jonas Karl Lena")]
+    docs = [(10 * i + k, text(k, k) + " " + t + " " + text(k + 50, 4)) for i, t in items for k in range(7)]
+    docs += [(100, text(1, 3) + " what is 9 times 6? " + text(2, 3)), (101, "add 1 and 2 and 3 and 4 and 5 and 6 and 7 and 8")]
+    assert hits(spark, docs, items) == {(10 * i + k, i) for i, _ in items for k in range(7)}
+
+
+def test_offset_does_not_matter(spark):
+    """One literal-rich window in an exchanged passage is enough, at every place of the document."""
+    item = "1 2 3 4 5 we count red apples and pears daily"
+    docs = [(k, text(k, k) + " " + item.replace("1 2 3 4 5", "6 7 8 9 0")) for k in range(1, 8)]
+    assert hits(spark, docs, [(1, item), (2, text(90, 20))]) == {(k, 1) for k in range(1, 8)}
