@@ -70,7 +70,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     Equal items are one, named by their smallest item_id. A null text or one without words holds nothing and is held by
     nothing; rows with a null doc_id or item_id are not compared. Rows that repeat a doc_id are one document: a hit in
     any of them counts. Windows of fewer literal words than ``LITERALS`` (or than a shorter item has) are looked for word
-    for word only. Other columns are not read. An empty benchmark finds nothing.
+    for word only. Where a contradicting slot cuts a run, RUN words of it are
+    reported (or the item's, if fewer). Other columns are not read. An empty benchmark finds nothing.
     """
     text = F.col("text").cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
@@ -98,15 +99,21 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     # along the diagonal: k counts the item's words, shift + k the document's
     both = both.withColumn("low", F.expr("greatest(0, -shift)")).withColumn("high", F.expr("least(size(item_words), size(doc_words) - shift)")).where("high > low")
     same = "item_words[k] = doc_words[shift + k] OR item_raw[k] = doc_raw[shift + k]"
-    same = "item_words[k] = doc_words[shift + k] OR item_raw[k] = doc_raw[shift + k]"
-    flags = both.withColumn("equal", F.expr(f"array_join(transform(sequence(low, high - 1), k -> CASE WHEN {same} THEN '1' ELSE '0' END), '')"))
-    runs = flags.withColumn("run_words", F.expr("array_max(transform(split(equal, '0'), x -> length(x)))")).where(f"run_words >= least({RUN}, size(item_words))")
-    runs = runs.withColumn("first", F.expr("low + locate(repeat('1', run_words), equal) - 1"))
+    flags = both.withColumn("same", F.expr(f"transform(sequence(low, high - 1), k -> {same})"))
     slots = F.expr(
-        f"transform(filter(sequence(first, first + run_words - 1), k -> {_slot('item_words[k]')} OR {_slot('doc_words[shift + k]')}), "
-        f"k -> struct({_value('item_raw[k]')} AS i, {_value('doc_raw[shift + k]')} AS d))"
+        f"transform(filter(sequence(low, high - 1), k -> same[k - low] AND ({_slot('item_words[k]')} OR {_slot('doc_words[shift + k]')})), "
+        f"k -> struct(k AS k, {_value('item_raw[k]')} AS i, {_value('doc_raw[shift + k]')} AS d))"
     )
-    runs = runs.withColumn("slots", slots).where("size(array_distinct(slots)) = size(array_distinct(transform(slots, s -> s.i)))")
+    # of each slot the last one before it that contradicts it; no run holds both
+    earlier = "array_max(transform(filter(slots, p -> p.k < s.k AND p.i = s.i AND p.d <> s.d), p -> p.k))"
+    clashes = f"filter(transform(CASE WHEN exists(slots, s -> s.i <> s.d) THEN slots ELSE slice(slots, 1, 0) END, s -> struct(s.k AS k, {earlier} AS p)), c -> c.p IS NOT NULL)"
+    flags = flags.withColumn("slots", slots).withColumn("clash", F.expr(f"map_from_entries({clashes})"))
+    start = "greatest(a.start, CASE WHEN same[k - low] THEN coalesce(try_element_at(clash, k) + 1, low) ELSE k + 1 END)"
+    longest = f"aggregate(sequence(low, high - 1), struct(low AS start, struct(0 AS n, -low AS first) AS run), (a, k) -> struct({start} AS start, greatest(a.run, struct(k - {start} + 1 AS n, -{start} AS first)) AS run), a -> a.run)"
+    runs = flags.withColumn("run", F.expr(longest)).withColumn("first", F.expr("-run.first")).withColumn("need", F.expr(f"least({RUN}, size(item_words))")).where("run.n >= need")
+    severed = "(first > low AND get(same, first - 1 - low)) OR (first + run.n < high AND get(same, first + run.n - low))"
+    runs = runs.withColumn("run_words", F.expr(f"CASE WHEN {severed} THEN need ELSE run.n END"))
+    runs = runs.withColumn("slots", F.expr("filter(slots, s -> s.k >= first AND s.k < first + run_words)"))
     row = F.struct(
         F.col("run_words").cast("long").alias("run_words"), (-(F.col("first") + F.col("shift"))).cast("long").alias("before"), F.expr("cast(size(item_words) AS long)").alias("item_words"),
         F.expr("cast(size(slots) AS long)").alias("n_slots"), F.expr("cast(size(filter(slots, s -> s.i <> s.d)) AS long)").alias("n_changed"),

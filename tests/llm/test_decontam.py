@@ -100,3 +100,12 @@ def test_offset_does_not_matter(spark):
     item = "1 2 3 4 5 we count red apples and pears daily"
     docs = [(k, text(k, k) + " " + item.replace("1 2 3 4 5", "6 7 8 9 0")) for k in range(1, 8)]
     assert hits(spark, docs, [(1, item), (2, text(90, 20))]) == {(k, 1) for k in range(1, 8)}
+
+
+def test_part_of_a_run_is_consistent(spark):
+    """A slot that contradicts another cuts the run and does not reject it."""
+    item = text(1, 13) + " 5 apples " + text(2, 25) + " 5 boxes " + text(3, 13)
+    docs = [(1, item.replace("5 boxes", "7 boxes")), (2, "so " + item.replace("5 apples", "7 apples"))]
+    short = "we give Anna 4 new red pens and Boris 6 and Anna 5"
+    docs += [(3, "now " + short.replace("Anna", "Carla", 1)), (4, "now " + short.replace("Anna", "Carla"))]
+    assert hits(spark, docs, [(1, item), (2, short)]) == {(1, 1), (2, 1), (4, 2)}
