@@ -29,7 +29,8 @@ _NAME = "(?<=[\\\\p{Ll},;][ ])\\\\p{Lu}\\\\p{Ll}+"
 
 
 def template(text: str) -> str:
-    """SQL of the canonical form of ``text``; white space stays where it is."""
+    """SQL of the canonical form of ``text``; white space becomes single spaces."""
+    text = f"regexp_replace({text}, '{_WORDS}', ' ')"
     numbers = f"CASE WHEN {text} RLIKE '[0-9]' THEN regexp_replace(regexp_replace({text}, '{_NUMBER}', '<num>'), '{_UNIT}', '$1<unit>') ELSE {text} END"
     return f"lower(regexp_replace({numbers}, '{_NAME}', '<name>'))"
 
@@ -70,13 +71,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     Equal items are one, named by their smallest item_id. A null text or one without words holds nothing and is held by
     nothing; rows with a null doc_id or item_id are not compared. Rows that repeat a doc_id are one document: a hit in
     any of them counts. Windows of fewer literal words than ``LITERALS`` (or than a shorter item has) are looked for word
-    for word only. Where a contradicting slot cuts a run, RUN words of it are
+    for word only. An item's first word may be a name or not. Where a contradicting slot cuts a run, RUN words of it are
     reported (or the item's, if fewer). Other columns are not read. An empty benchmark finds nothing.
     """
     text = F.col("text").cast("string")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL")
     items = items.groupBy("text").agg(F.min("item_id").alias("item_id"))
-    items = items.select("item_id", F.expr(word_array("lower(text)")).alias("raw"), F.expr(word_array(template("text"))).alias("words")).where("size(words) > 0")
+    items = items.select("item_id", "text", F.expr(word_array("lower(text)")).alias("raw"), F.expr(word_array(template("text"))).alias("words")).where("size(words) > 0")
+    inside = f"slice({word_array(template("concat('a ', text)"))}, 2, 1)"  # the first word's form within a sentence
+    items = items.select("item_id", "raw", "words", F.expr(f"concat({inside}, slice(words, 2, size(words)))").alias("inner"))
     shape = items.agg(F.min(F.expr(f"CASE WHEN size(words) >= {WINDOW} THEN size(words) END")).alias("least"), F.collect_set(F.expr(f"CASE WHEN size(words) < {WINDOW} THEN size(words) END")).alias("short"), F.sum(F.size("words")).alias("total")).first()
     step = min(RUN, shape.least or RUN) - WINDOW + 1
     sent = [_windows("words", 1, WINDOW), _windows("raw", step, WINDOW)] + [_windows(w, 1, size) for size in sorted(shape.short or []) for w in ("words", "raw")]
@@ -84,7 +87,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     words = docs.select("doc_id", F.expr(word_array("lower(text)")).alias("raw"), F.expr(word_array(template("text"))).alias("words"))
     last = f"greatest(0, size(words) - {WINDOW})"
-    theirs = items.select("item_id", F.expr(f"explode(array_distinct(concat({_item_windows('words', last, LITERALS)}, {_item_windows('raw', last, 0)})))").alias("window"))
+    theirs = items.select("item_id", F.expr(f"explode(array_distinct(concat({_item_windows('words', last, LITERALS)}, {_item_windows('inner', '0', LITERALS)}, {_item_windows('raw', last, 0)})))").alias("window"))
     theirs = theirs.select("item_id", F.col("window.at").alias("item_at"), F.col("window.hash").alias("hash"))
     ours = words.select("doc_id", F.expr(f"explode(concat({', '.join(sent)}))").alias("window")).select("doc_id", F.col("window.at").alias("doc_at"), F.col("window.hash").alias("hash"))
     hits = ours.join(_small(theirs, 3 * (shape.total or 0)), "hash").select("doc_id", "item_id", (F.col("doc_at") - F.col("item_at")).alias("shift"))
@@ -93,12 +96,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     several = ids.count()
     raw = docs.join(_small(ids, several), "doc_id", "left_semi")
     ours = raw.select("doc_id", F.expr(word_array("lower(text)")).alias("doc_raw"), F.expr(word_array(template("text"))).alias("doc_words"))
-    theirs = items.select("item_id", F.col("raw").alias("item_raw"), F.col("words").alias("item_words"))
+    theirs = items.select("item_id", F.col("raw").alias("item_raw"), F.col("words").alias("item_words"), F.col("inner").alias("item_inner"))
     both = hits.join(ours, "doc_id").join(_small(theirs, shape.total or 0), "item_id")
 
     # along the diagonal: k counts the item's words, shift + k the document's
     both = both.withColumn("low", F.expr("greatest(0, -shift)")).withColumn("high", F.expr("least(size(item_words), size(doc_words) - shift)")).where("high > low")
-    same = "item_words[k] = doc_words[shift + k] OR item_raw[k] = doc_raw[shift + k]"
+    same = "item_words[k] = doc_words[shift + k] OR item_raw[k] = doc_raw[shift + k] OR item_inner[k] = doc_words[shift + k]"
     flags = both.withColumn("same", F.expr(f"transform(sequence(low, high - 1), k -> {same})"))
     slots = F.expr(
         f"transform(filter(sequence(low, high - 1), k -> same[k - low] AND ({_slot('item_words[k]')} OR {_slot('doc_words[shift + k]')})), "

@@ -109,3 +109,11 @@ def test_part_of_a_run_is_consistent(spark):
     short = "we give Anna 4 new red pens and Boris 6 and Anna 5"
     docs += [(3, "now " + short.replace("Anna", "Carla", 1)), (4, "now " + short.replace("Anna", "Carla"))]
     assert hits(spark, docs, [(1, item), (2, short)]) == {(1, 1), (2, 1), (4, 2)}
+
+
+def test_first_word_and_white_space(spark):
+    """The first word of an item may look like a name where it stands; line feeds are spaces."""
+    items = [(1, "What is the capital of this old country?"), (2, "Maria buys 12 apples and gives Peter the whole lot"), (3, "then we ask Peter about the road to Berlin and the one to Hamburg over there")]
+    docs = [(1, "they asked What is the capital of this old country? and left"), (2, "we saw, Clara buys 40 apples and gives Hans the whole lot of them"), (3, "then we ask\nPeter about the road to \r\n Berlin and the one to  Hamburg over there")]
+    docs += [(4, docs[2][1].replace("Peter", "Clara"))]
+    assert hits(spark, docs, items) == {(1, 1), (2, 2), (3, 3), (4, 3)}
