@@ -26,14 +26,16 @@ from .common import prepare
 
 # The names and nesting rules of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select button object audio video canvas".split())
+RAW = frozenset("script style textarea title noscript template iframe".split())
+FOREIGN = frozenset("svg math".split())
+BOXES = frozenset("button select option optgroup object audio video canvas".split())  # nodes of their own that may stand inside a paragraph
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption head".split()
-)
-CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "head"}
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}}
-SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}}
+) | BOXES
+CLOSES_P = BLOCK - BOXES - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html", "head"}
+SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}, "option": {"option"}, "optgroup": {"optgroup", "option"}}
+SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select", "optgroup"}, "optgroup": {"select"}}
 
 # Groups of element names and of attribute tokens; each is one bit.
 TAG_GROUPS = [
@@ -149,6 +151,8 @@ class Page:
                         break
                 continue
             if name in RAW:
+                if attributes.endswith("/") and any(t in FOREIGN for t, _ in stack):
+                    continue
                 end = _ending(name).search(source, at)
                 at = end.end() if end else n
                 continue

@@ -75,3 +75,21 @@ def test_broken_pages(spark):
     rows = D.main_texts(df).collect()
     assert len(rows) == len(odd) and all(r.n_chars == len(r.text) for r in rows)
     assert D.main_texts(df.limit(0)).count() == 0
+
+
+def test_text_after_and_in_embedded_elements():
+    """Drawings, formulas, buttons and the like, self-closed, unclosed or whole, cost no text of the article."""
+    paragraphs = ["First paragraph of the story, with a good many words in it.", "Second paragraph, rather longer than the first one and full of words.", "Last paragraph of the story; it ends here."]
+    body = "".join(f"<p>{p}</p>" for p in paragraphs)
+    article = f"<article><h1>A title of some words</h1>{body}</article>"
+    want = ["A title of some words", *paragraphs]
+    marks = ['<svg class="icon"/>', "<math/>", "<svg><title/><path d='M0 0'/></svg>", "<button>", "<select>", "<object>", '<video src="a">', "<canvas></canvas>", "<select><option>a<option>b</select>"]
+    for mark in marks:
+        for tail in ("", "<div><svg></svg><math></math><button>x</button><select></select><object></object></div>"):
+            got = D.extract([f"<html><body><div>{mark}</div>{article}{tail}</body></html>"], D.trained())[0].split("\n")
+            assert [g for g in got if g in want] == want, (mark, tail)
+            got = D.extract([f"<html><body>{mark}{article}{tail}</body></html>"], D.trained())[0].split("\n")
+            assert [g for g in got if g in want] == want, (mark, tail)
+    inner = article.replace("in it.", "in <math><mi>x</mi><mo>=</mo><mn>2</mn></math> it.").replace("</article>", "<object data=a><p>What the object says, in a sentence of its own, with words.</p></object></article>")
+    got = D.extract([f"<html><body>{inner}</body></html>"], D.trained())[0]
+    assert "words in x=2 it." in got and "What the object says" in got
