@@ -106,28 +106,47 @@ def probabilities(tokens: np.ndarray, weight: np.ndarray, kept: float) -> np.nda
     return np.where(tokens > 0, np.where(capped, 1.0, np.minimum(1.0, ratio * scale)), 1.0)
 
 
-def _rake_frames(cells: DataFrame, kept: float) -> DataFrame:
-    """The fit for more cells than the driver takes: the same steps over a table of cells, with default targets."""
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
+def _rake_frames(cells: DataFrame, targets: dict[str, dict] | None, kept: float) -> DataFrame:
+    """The fit for more cells than the driver takes: the steps of ``rake`` and ``probabilities`` over a table of cells."""
+    now = cells.withColumn("weight", F.col("tokens").cast("double"))
+    total = float(cells.agg(F.sum("tokens")).first()[0] or 0)
+    if total <= 0:
+        return now.withColumn("probability", F.lit(1.0))
     aims = {}
     for m in MARGINS:
-        own = cells.groupBy(m).agg(F.sum("tokens").alias("own")).withColumn("raised", F.pow(F.col("own") / F.lit(total), F.lit(TEMPER[m])))
-        norm = own.agg(F.sum("raised")).first()[0]
-        aims[m] = cut(own.select(m, (F.col("raised") / norm * total).alias("aim")), "raking-aims", few=True)
-    now = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(30):
+        own = cells.groupBy(m).agg(F.sum("tokens").cast("double").alias("own"))
+        given = (targets or {}).get(m)
+        if given:
+            wanted = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in given.items()], f"{m} string, share double")
+            own = own.join(wanted, m, "left").withColumn("raised", F.when(F.col("own") > 0, F.coalesce("share", F.lit(0.0))).otherwise(0.0))
+        else:
+            own = own.withColumn("raised", F.when(F.col("own") > 0, F.pow(F.col("own") / F.lit(total), F.lit(TEMPER[m]))).otherwise(0.0))
+        norm = own.agg(F.sum("raised")).first()[0] or 0.0
+        aims[m] = cut(own.select(m, (F.col("raised") / F.lit(norm) * F.lit(total) if norm > 0 else F.col("own")).alias("aim")), "raking-aims", few=True)
+    for _ in range(ROUNDS):
+        now = now.withColumn("gap", F.lit(0.0))
         for m in MARGINS:
-            sums = now.groupBy(m).agg(F.sum("weight").alias("now")).join(aims[m], m).select(m, F.when(F.col("now") > 0, F.col("aim") / F.col("now")).otherwise(0.0).alias("factor"))
-            now = now.join(sums, m).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+            factor = F.when(F.col("now") > 0, F.col("aim") / F.col("now")).otherwise(0.0)
+            sums = now.groupBy(m).agg(F.sum("weight").alias("now")).join(aims[m], m).select(m, factor.alias("factor"), F.abs(F.col("now") - F.col("aim")).alias("off"))
+            now = now.join(sums, m).withColumn("weight", F.col("weight") * F.col("factor")).withColumn("gap", F.greatest("gap", "off")).drop("factor", "off")
         now = cut(now, "raking-cells", few=True)
+        worst = now.agg(F.max("gap")).first()[0]
+        now = now.drop("gap")
+        if worst / total < CLOSE:
+            break
     ratio = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    scale = kept
-    for _ in range(20):  # a fixed point: what capped cells cannot give, the others give
-        got = now.agg(F.sum(F.least(F.col("tokens").cast("double"), ratio * F.lit(scale) * F.col("tokens")))).first()[0] or 0.0
-        if got <= 0 or abs(got - kept * total) < 1e-6 * total:
+    rows, capped, cap, scale = now.withColumn("ratio", ratio), F.lit(False), 0.0, 1.0
+    if (rows.agg(F.max("ratio")).first()[0] or 0.0) <= 0:
+        return now.withColumn("probability", F.lit(1.0))
+    while True:  # every turn caps a cell at least
+        got = rows.agg(F.sum(F.when(~capped, F.col("ratio") * F.col("tokens"))), F.sum(F.when(capped, F.col("tokens"))), F.max(F.when(~capped, F.col("ratio")))).first()
+        scale = max(0.0, kept * total - (got[1] or 0)) / got[0] if got[0] else 0.0
+        if got[2] is None or got[2] * scale < 1:
             break
-        scale *= kept * total / got
-    return now.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), ratio * F.lit(scale))).otherwise(1.0))
+        cap = max(cap, scale)
+        capped = F.col("ratio") * F.lit(cap) >= 1
+    chance = F.when(capped, 1.0).otherwise(F.least(F.lit(1.0), F.col("ratio") * F.lit(scale)))
+    return rows.withColumn("probability", F.when(F.col("tokens") > 0, chance).otherwise(1.0)).drop("ratio")
 
 
 def sampled_documents(documents: DataFrame, targets: dict[str, dict] | None = None, kept: float = KEPT_TOKENS) -> DataFrame:
@@ -151,7 +170,8 @@ def sampled_documents(documents: DataFrame, targets: dict[str, dict] | None = No
         fitted = [(*k, float(w / t) if t > 0 else 1.0, float(p)) for k, t, w, p in zip(keys, tokens, weight, chance, strict=True)]
         plan = F.broadcast(spark.createDataFrame(fitted, "c_source string, c_lang string, c_topic string, weight double, probability double"))
     else:
-        plan = _rake_frames(cells, kept).select(*[F.col(m).alias(f"c_{m}") for m in MARGINS], (F.col("weight") / F.col("tokens")).alias("weight"), "probability")
+        share = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(1.0)
+        plan = _rake_frames(cells, targets, kept).select(*[F.col(m).alias(f"c_{m}") for m in MARGINS], share.alias("weight"), "probability")
     match = [F.coalesce(F.col(m).cast("string"), F.lit("\u0000")) == F.col(f"c_{m}") for m in MARGINS]
     chance = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"), F.lit("")), F.lit(29)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     out = docs.join(plan, match[0] & match[1] & match[2], "left").drop(*[f"c_{m}" for m in MARGINS])

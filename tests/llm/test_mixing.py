@@ -74,3 +74,16 @@ def test_edges(spark):
     rows = R.sampled_documents(docs).collect()
     assert len(rows) == 5 and all(0 <= r.probability <= 1 for r in rows) and all(r.kept for r in rows if r.n_tokens == 0)
     assert R.sampled_documents(documents(spark, [])).count() == 0
+
+
+def test_frames_take_targets(spark, monkeypatch):
+    """Beyond the driver's cells the fit is the same: targets, convergence, caps; a cell without words is no error."""
+    docs = corpus(spark, 400).union(documents(spark, [(-1, "", "xx", "empty"), (-2, None, "en", "empty")]))
+    targets = {"source": {"big": 0.2, "mid": 0.3, "tiny": 0.5}, "lang": {"en": 0.5, "de": 0.5}}
+    near = {r.doc_id: r for r in R.sampled_documents(docs, targets).collect()}
+    monkeypatch.setattr(R, "DRIVER_CELLS", -1)
+    far = {r.doc_id: r for r in R.sampled_documents(docs, targets).collect()}
+    assert set(near) == set(far) and {r.probability for r in near.values()} > {1.0}
+    for k, r in near.items():
+        assert far[k].probability == pytest.approx(r.probability, abs=1e-6) and far[k].weight == pytest.approx(r.weight, rel=1e-5, abs=1e-9)
+        assert far[k].kept == r.kept
