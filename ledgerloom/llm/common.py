@@ -91,18 +91,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_P = np.uint64(0x9E3779B97F4A7C15)
-_P_INV = np.uint64(pow(int(_P), -1, 1 << 64))
-_powers: dict[str, np.ndarray] = {"p": np.ones(1, np.uint64), "i": np.ones(1, np.uint64)}
-
-
-def _power_table(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        size = max(n, SLICE_BYTES)
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.multiply.accumulate(steps)
-    return _powers[kind][:n]
+#: Bytes of a span beyond which its hash is a keyed digest.
+LONG = 64
+_KEY = b"ledgerloom span"
+_SEED, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -154,14 +147,39 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, hash_spans(low, start, end), np.searchsorted(start, offsets)
 
 
-def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes: a polynomial from prefix sums, and the length, mixed."""
-    n = len(data)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table("p", _P, n), out=sums[1:])
-    hashed = (sums[end] - sums[start]) * _power_table("i", _P_INV, max(1, n))[np.minimum(start, max(0, n - 1))]
-    return mix(hashed + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as one number; zeros follow the last byte."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def lane(eight: np.ndarray, start: np.ndarray, size: np.ndarray, at: int) -> np.ndarray:
+    """Bytes ``at`` to ``at`` + 7 of spans, zeros after a span's end; every span is longer than ``at``."""
+    return eight[start + at] & _LOW[np.minimum(size - at, 8)]
+
+
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, eight: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of spans of bytes: eight bytes after the other go through a bijective mix; long spans by a keyed digest.
+
+    Spans of one length of up to eight bytes never collide; no repeated pattern makes others collide, as it does with
+    polynomials modulo a power of two.
+    """
+    size = end - start
+    out = mix(size.astype(np.uint64) * _STEP + _SEED)
+    eight, live = eights(data) if eight is None else eight, np.arange(len(start))
+    for at in range(0, LONG, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        out[live] = mix(out[live] * _STEP ^ lane(eight, start[live], size[live], at))
+    far = np.flatnonzero(size > LONG)
+    if len(far):
+        from hashlib import blake2b
+
+        raw = data.tobytes()
+        out[far] = [int.from_bytes(blake2b(raw[a:b], digest_size=8, key=_KEY).digest(), "little") for a, b in zip(start[far].tolist(), end[far].tolist(), strict=True)]
+    return out
 
 
 _K = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]

@@ -19,6 +19,7 @@ Shards are written under a temporary name and renamed, so a task that is run aga
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import struct
 import uuid
@@ -28,17 +29,19 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, hash_spans, new_folder, prepare, settle, slices, utf8
+from .common import cut, eights, hash_spans, lane, new_folder, prepare, settle, slices, utf8
 
 MAGIC = b"LLSST\x01\x00\x00"
 FOOTER = struct.Struct("<QQQQQQII8s")
 #: Raw bytes after which a block is closed, and text bytes that a shard is meant to hold.
 BLOCK_BYTES, SHARD_BYTES = 1 << 18, 32 << 20
-#: Pieces whose ids a worker remembers (about 25 bytes each), and text bytes that are encoded at once.
-REMEMBERED, PIECE_BYTES = 1_200_000, 1 << 19
+#: Pieces whose ids a worker remembers (about 40 bytes each), bytes of the longest of them, and text bytes that are encoded at once.
+REMEMBERED, SHORT, PIECE_BYTES = 1_000_000, 32, 1 << 19
+#: Shards that a task reads back, where there are more than a few for each core.
+READ_SHARDS = 8
 #: The id that ends every document.
 END = 0
 
@@ -49,11 +52,12 @@ END = 0
 class Encoder:
     """Encodes whole texts with a byte-level BPE of the tokenizers library, and remembers the ids of pieces.
 
-    The tokenizer's pre-tokeniser never joins across a place where a non-space is followed by one space and a
-    non-space, nor around a single line feed between non-spaces, so the ids of the pieces between such places can be
-    joined. Pieces are told apart by 64-bit hashes. Unknown ones are encoded many at a time, one after the other, and
-    told apart by the byte lengths of their ids. Texts with any other white space, or with one of the tokenizer's added
-    tokens, are encoded in one go.
+    The byte-level pre-tokeniser never joins across a place where a non-space is followed by one space and a non-space,
+    nor around a single line feed between non-spaces, so the ids of the pieces between such places can be joined. A
+    tokenizer of another make encodes whole texts, and so are texts with any other white space, or with one of the
+    tokenizer's added tokens. Pieces of up to ``SHORT`` bytes are looked up by hash and compared byte for byte; longer
+    ones, and those whose hash belongs to another piece, are told apart by their bytes and not remembered. Unknown ones are
+    encoded many at a time, one after the other, and told apart by the byte lengths of their ids.
     """
 
     def __init__(self, path: str) -> None:
@@ -61,8 +65,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.in_pieces = _cuts_at_spaces(self.tokenizer)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.lengths = np.zeros(max(vocabulary.values()) + 1, np.int64)  # a byte-level token has a character a byte
         for token, k in vocabulary.items():
@@ -70,9 +77,10 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        # sorted hashes with start and count of their ids: many, and those since the last merge
-        self.main, self.recent = _merged(None, None), _merged(None, None)
+        # sorted hashes of pieces with place and size of their bytes, start and count of their ids: many, and those since the last merge
+        self.main, self.recent = _NONE, _NONE
         self.ids, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.bytes, self.filled = np.zeros(1 << 16, np.uint8), 0
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -85,9 +93,9 @@ class Encoder:
         self.ids[at : self.used] = ids
         return at
 
-    def _learn(self, data: np.ndarray, hashed: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-        """Encodes unknown pieces; those that begin with a space follow one another, the others a line feed each."""
-        starts, counts = np.zeros(len(hashed), np.int32), np.zeros(len(hashed), np.int32)
+    def _split(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encodes pieces: start and count of the ids of each. Those that begin with a space follow one another, the others a line feed each."""
+        starts, counts = np.zeros(len(start), np.int32), np.zeros(len(start), np.int32)
         spaced = data[start] == 0x20
         for mine, extra in ((np.flatnonzero(spaced), 0), (np.flatnonzero(~spaced), 1)):
             for lo in range(0, len(mine), 4096):
@@ -109,24 +117,38 @@ class Encoder:
                 else:
                     for k, own in zip(some.tolist(), self._whole([data[start[k] : end[k]].tobytes().decode() for k in some.tolist()]), strict=True):
                         starts[k], counts[k] = self._keep(own), len(own)
-        self.recent = _merged(self.recent, (hashed, starts, counts))
+        return starts, counts
+
+    def _learn(self, data: np.ndarray, hashed: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+        starts, counts = self._split(data, start, end)
+        size = end - start
+        stop = np.cumsum(size)
+        raw = data[np.repeat(start - (stop - size), size) + np.arange(int(stop[-1]))]
+        at, self.filled = self.filled, self.filled + len(raw)
+        if self.filled + 8 > len(self.bytes):
+            self.bytes = np.concatenate([self.bytes, np.zeros(max(len(self.bytes), self.filled), np.uint8)])
+        self.bytes[at : self.filled] = raw
+        self.recent = _merged(self.recent, (hashed, (at + stop - size).astype(np.int32), size.astype(np.int32), starts, counts))
         if len(self.recent[0]) > max(1 << 16, len(self.main[0]) // 4):
-            self.main, self.recent = _merged(self.main, self.recent), _merged(None, None)
+            self.main, self.recent = _merged(self.main, self.recent), _NONE
 
-    def _find(self, hashed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and count of each piece's ids; the count is -1 where it is not known."""
+    def _find(self, hashed: np.ndarray, eight: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and count of each piece's ids; the count is -1 where it is not known, -2 where its hash is another piece's."""
         starts, counts = np.zeros(len(hashed), np.int64), np.full(len(hashed), -1)
+        mine = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, strides=(1,))
         for table in (self.main, self.recent):
             if len(table[0]):
                 at = np.minimum(np.searchsorted(table[0], hashed), len(table[0]) - 1)
-                hit = table[0][at] == hashed
-                starts[hit], counts[hit] = table[1][at[hit]], table[2][at[hit]]
+                hit = np.flatnonzero(table[0][at] == hashed)
+                at = at[hit]
+                equal = _equal(eight, start[hit], size[hit], mine, table[1][at], table[2][at])
+                starts[hit], counts[hit] = table[3][at], np.where(equal, table[4][at], -2)
         return starts, counts
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each text of a buffer; empty texts have none."""
         rows = len(offsets) - 1
-        plain = _plain(data, offsets)
+        plain = _plain(data, offsets) if self.in_pieces else np.diff(offsets) == 0
         if self.added:
             for k in np.flatnonzero(plain & (np.diff(offsets) > 0)).tolist():
                 text = data[offsets[k] : offsets[k + 1]].tobytes()
@@ -145,15 +167,28 @@ class Encoder:
         start, end, owner = start[use], end[use], owner[use]
         if len(self.main[0]) + len(self.recent[0]) > REMEMBERED:
             self.forget()
-        hashed, first, inverse = np.unique(hash_spans(data, start, end), return_index=True, return_inverse=True)
-        starts, counts = self._find(hashed)
-        unknown = counts < 0
-        if unknown.any():
+        size, eight = end - start, eights(data)
+        at, count = np.zeros(len(start), np.int64), np.zeros(len(start), np.int64)
+        quick = np.flatnonzero(size <= SHORT)
+        hashed, first, inverse = np.unique(hash_spans(data, start[quick], end[quick], eight), return_index=True, return_inverse=True)
+        first = quick[first]
+        starts, counts = self._find(hashed, eight, start[first], size[first])
+        unknown = np.flatnonzero(counts == -1)
+        if len(unknown):
             self._learn(data, hashed[unknown], start[first[unknown]], end[first[unknown]])
-            starts, counts = self._find(hashed)
-        count = counts[inverse]
+            starts[unknown], counts[unknown] = self._find(hashed[unknown], eight, start[first[unknown]], size[first[unknown]])
+        at[quick], count[quick] = starts[inverse], counts[inverse]
+        sound = (counts[inverse] >= 0) & _equal(eight, start[quick], size[quick], eight, start[first][inverse], size[first][inverse])
+        others, mark = np.r_[np.flatnonzero(size > SHORT), quick[~sound]], self.used
+        if len(others):
+            named: dict[bytes, int] = {}
+            which = np.array([named.setdefault(data[a:b].tobytes(), len(named)) for a, b in zip(start[others].tolist(), end[others].tolist(), strict=True)])
+            first = others[np.unique(which, return_index=True)[1]]
+            starts, counts = self._split(data, start[first], end[first])
+            at[others], count[others] = starts[which], counts[which]
         total = np.cumsum(count)
-        flat = self.ids[np.repeat(starts[inverse] - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)]
+        flat = self.ids[np.repeat(at - (total - count), count) + np.arange(int(total[-1]) if len(total) else 0)]
+        self.used = mark
         bounds = np.r_[0, np.cumsum(np.bincount(owner, count, rows).astype(np.int64))]
         out = [flat[lo:hi] for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         whole = np.flatnonzero(~plain).tolist()
@@ -162,14 +197,38 @@ class Encoder:
         return out
 
 
-def _merged(a: tuple | None, b: tuple | None) -> tuple:
-    if a is None or b is None:
-        return (np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32))
+#: A table of pieces without any.
+_NONE = (np.zeros(0, np.uint64), *[np.zeros(0, np.int32)] * 4)
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
     both = [np.concatenate([x, y]) for x, y in zip(a, b, strict=True)]
     order = np.argsort(both[0], kind="stable")
     return tuple(x[order] for x in both)
 
 
+def _equal(left: np.ndarray, start: np.ndarray, size: np.ndarray, right: np.ndarray, other: np.ndarray, other_size: np.ndarray) -> np.ndarray:
+    """Whether two spans of up to ``SHORT`` bytes each, of two buffers' ``eights``, are the same bytes."""
+    out = size == other_size
+    live = np.flatnonzero(out)
+    for at in range(0, SHORT, 8):
+        live = live[size[live] > at]
+        if not len(live):
+            break
+        out[live] &= lane(left, start[live], size[live], at) == lane(right, other[live], size[live], at)
+    return out
+
+
+def _cuts_at_spaces(tokenizer) -> bool:
+    """Whether the tokenizer is a byte-level BPE that splits by the byte-level rule and changes no text before."""
+    try:
+        rule = json.loads(tokenizer.pre_tokenizer.__getstate__())
+    except (AttributeError, TypeError, ValueError):
+        return False
+    bpe = type(tokenizer.model).__name__ == "BPE" and not tokenizer.model.dropout
+    return bpe and tokenizer.normalizer is None and rule.get("type") == "ByteLevel" and rule.get("use_regex") is True and rule.get("add_prefix_space") is False
+
+
 def _plain(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Texts whose only white space is single spaces and line feeds between other characters."""
     n = len(data)
@@ -394,19 +453,25 @@ def write_shards(documents: DataFrame, tokenizer: str, folder: str) -> DataFrame
             store.move(temporary, final)
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/shard-{shard:07d}.sst"], "docs": [writer.docs], "tokens": [writer.tokens]})
 
-    dealt = docs.withColumn("tie", F.xxhash64("text")).repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    # equal rows are split by where they come from, so that no one task gets all of them
+    keyed = docs.withColumn("tie", F.xxhash64("text")).withColumn("part", F.spark_partition_id())
+    dealt = keyed.repartitionByRange(shards, "doc_id", "tie", "part").sortWithinPartitions("doc_id", "tie", "text")
     return cut(dealt.select("doc_id", "text").mapInArrow(run, "shard long, path string, docs long, tokens long"), "token-manifest")
 
 
 def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and the shard's path of every document, read back from the shards."""
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long, path string"
-    rows, at, starts = manifest.orderBy("shard").collect(), 0, []  # one row a shard
-    for r in rows:
-        starts.append((r.path, at))
-        at += r.tokens
-    if not starts:
+    count = manifest.count()
+    if not count:
         return spark.createDataFrame([], schema)
+    # running sums within groups of shards, and before each group the sums of those before it, one row a group
+    rows = manifest.withColumn("group", F.floor(F.col("shard") / 4096))
+    within = F.sum("tokens").over(Window.partitionBy("group").orderBy("shard")) - F.col("tokens")
+    groups = rows.groupBy("group").agg(F.sum("tokens").alias("all"))
+    groups = groups.select("group", (F.sum("all").over(Window.orderBy("group")) - F.col("all")).alias("base"))
+    starts = rows.withColumn("within", within).join(groups, "group").select("path", (F.col("base") + F.col("within")).alias("start"))
+    tasks = max(min(count, 4 * spark.sparkContext.defaultParallelism), -(-count // READ_SHARDS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -421,7 +486,7 @@ def read_shards(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                 kinds = [pa.int64()] * 4 + [pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["doc_id", "start", "n_tokens", "ids_crc32", "path"])
 
-    return spark.createDataFrame(starts, "path string, start long").repartition(len(starts)).mapInArrow(run, schema)
+    return starts.repartition(tasks).mapInArrow(run, schema)
 
 
 def token_shards(documents: DataFrame, tokenizer: str | None = None, folder: str | None = None) -> DataFrame:

@@ -37,6 +37,53 @@ def test_round_trip(spark, sf_dir, tokenizer):
         at += len(want)
 
 
+def twins(n):
+    """Two words of n characters that a polynomial hash modulo 2^64 cannot tell apart."""
+    swap, a = str.maketrans("ab", "ba"), "a"
+    while len(a) < n:
+        a += a.translate(swap)
+    return a, a.translate(swap)
+
+
+def test_words_that_collide_in_polynomial_hashes(tokenizer):
+    coder = S.Encoder(PATH)
+    texts = [f"say {w} now\n{w}" for n in (16, 32, 1024, 2048, 4096) for w in twins(n)]
+    for some in (texts, texts[::-1], texts[:1], texts[1:2]):
+        raw = [t.encode() for t in some]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(t) for t in raw])]
+        got = coder.encode(data, offsets)
+        assert [g.tolist() for g in got] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_any_collision_is_noticed(tokenizer, monkeypatch):
+    """With a hash of four values the ids are still right: pieces are compared byte for byte."""
+    monkeypatch.setattr(S, "hash_spans", lambda data, start, end, eight: (end - start).astype(np.uint64) % np.uint64(4))
+    coder = S.Encoder(PATH)
+    for some in (["one two six ten", "two one ten six"], ["six six nine\nzero one"], ["a" * 40 + " " + "b" * 40]):
+        raw = [t.encode() for t in some]
+        data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(t) for t in raw])]
+        assert [g.tolist() for g in coder.encode(data, offsets)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in some]
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path, tokenizer):
+    from tokenizers import normalizers
+
+    other = Tokenizer.from_file(PATH)
+    other.normalizer = normalizers.Lowercase()
+    other.save(str(tmp_path / "t.json"))
+    coder = S.Encoder(str(tmp_path / "t.json"))
+    assert S.Encoder(PATH).in_pieces and not coder.in_pieces
+    raw = "Some WORDS here".encode()
+    assert coder.encode(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0].tolist() == other.encode(raw.decode(), add_special_tokens=False).ids
+
+
+def test_repeated_rows_are_split(spark, monkeypatch, tokenizer):
+    monkeypatch.setattr(S, "SHARD_BYTES", 2000)
+    same = spark.range(400, numPartitions=8).select(F.lit(None).cast("long").alias("doc_id"), F.lit("the same words " * 5).alias("text"))
+    manifest = S.write_shards(same, PATH, new_folder(spark, "test")).collect()
+    assert len(manifest) > 3 and sum(r.docs for r in manifest) == 400
+
+
 def test_lookup_over_several_shards(spark, monkeypatch, tokenizer):
     monkeypatch.setattr(S, "SHARD_BYTES", 2000)
     rows = [(i * 3 - 150, f"text number {i} " * (i % 9)) for i in range(200)] + [(6, "again"), (6, "again"), (None, "no name"), (None, None)]
