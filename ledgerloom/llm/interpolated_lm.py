@@ -6,7 +6,8 @@ expectation-maximisation on held-out counts: the occurrences of a held-out fold
 the counts that estimate it.
 
 Counts are gathered by request and reply over packed blocks, so that no token becomes a row of its own. Documents are
-dealt into chunks by hash. A chunk sends its sorted distinct n-gram hashes with its training counts, cut into hash
+dealt into chunks by hash, those of the held-out fold into chunks of their own; equal rows that fill a chunk are one row
+that counts so many times. A chunk sends its sorted distinct n-gram hashes with its training counts, cut into hash
 ranges; each range adds up what all chunks sent and replies with totals in the same order. A chunk's replies, put
 together by range, line up with the sorted distinct n-grams that the chunk finds again in its texts. A range holds about
 as many n-grams as a chunk at any size of the input; a word that every chunk knows costs one entry a chunk.
@@ -25,8 +26,8 @@ from .common import cut, fold, mix, pack, pack_counts, prepare, release, slices,
 
 #: Text bytes of a chunk.
 CHUNK_BYTES = 8 << 20
-#: One chunk in so many is the held-out fold that the mixture weights are learned on.
-HELD_CHUNKS = 7
+#: One document in so many, by hash, is in the held-out fold that the mixture weights are learned on.
+HELD_FOLD = 7
 END = np.uint64(0xE4D0E4D0E4D0E4D1)
 START = np.uint64(0x57A4757A4757A475)
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -72,11 +73,11 @@ class Grams:
 def _requests(bits: int):
     def run(table: pa.Table) -> pa.Table:
         grams = Grams(table.column("text"))
-        learn = np.asarray(table.column("learn").to_pylist(), bool)[grams.doc]
+        times = np.where(np.asarray(table.column("learn").to_pylist(), bool), table.column("times").to_numpy(), 0)[grams.doc]
         out: dict[str, list] = {"range": [], "chunk": [], "ids": [], "counts": []}
         chunk = table.column("chunk")[0].as_py()
         for space, ids, at in ((0, grams.words, grams.word_at), (1, grams.pairs, grams.pair_at)):
-            counts = np.bincount(at[learn], minlength=len(ids))
+            counts = np.bincount(at, times, len(ids)).astype(np.int64)
             ranges = (ids >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(ids), np.int64)
             cuts = [0, *(np.flatnonzero(ranges[1:] != ranges[:-1]) + 1).tolist(), len(ids)]
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -140,12 +141,13 @@ def _statistic(total: int):
             return schema.empty_table()
         grams, word, pair, context = _found(texts, replies)
         use = np.asarray(texts.column("learn").to_pylist(), bool)[grams.doc]
+        times = texts.column("times").to_numpy().astype(float)[grams.doc][use]
         word, pair, context = word[use] - 1, pair[use] - 1, context[use] - 1
         p2, p1 = estimates(word, pair, context, total - 1)
         with np.errstate(divide="ignore"):
             bins = [np.where(p > 0, np.clip(np.floor(-np.log2(np.maximum(p, 1e-300)) * FINE) + 1, 1, BINS - 1), 0).astype(np.int64) for p in (p2, p1)]
         at, where = np.unique((bucket(context) * BINS + bins[0]) * BINS + bins[1], return_inverse=True)
-        return pa.table({"bin": at, "found": np.bincount(where, minlength=len(at)), "pair": np.bincount(where, p2, len(at)), "word": np.bincount(where, p1, len(at))}, schema=schema)
+        return pa.table({"bin": at, "found": np.bincount(where, times, len(at)).astype(np.int64), "pair": np.bincount(where, p2 * times, len(at)), "word": np.bincount(where, p1 * times, len(at))}, schema=schema)
 
     return run, "bin long, found long, pair double, word double"
 
@@ -177,7 +179,7 @@ def learn_weights(bins: np.ndarray, found: np.ndarray, pair: np.ndarray, word: n
 
 def _scores(total: int, distinct: int, weights: np.ndarray):
     def run(texts: pa.Table, replies: pa.Table) -> pa.Table:
-        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("times", pa.int64())])
         if not texts.num_rows:
             return schema.empty_table()
         grams, word, pair, context = _found(texts, replies)
@@ -189,10 +191,25 @@ def _scores(total: int, distinct: int, weights: np.ndarray):
         return pa.table({
             "doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": grams.sizes,
             "n_known": np.bincount(grams.doc, word > 0, rows).astype(np.int64), "train_tokens": np.full(rows, total),
-            "base_score": np.bincount(grams.doc, base, rows), "score": np.bincount(grams.doc, model, rows),
+            "base_score": np.bincount(grams.doc, base, rows), "score": np.bincount(grams.doc, model, rows), "times": texts.column("times"),
         }, schema=schema)
 
-    return run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, times long"
+
+
+def counted(docs: DataFrame, most: int) -> DataFrame:
+    """The rows of (doc_id, text, ...) with ``times``, how often each stands for: 1, but rows that together hold over ``most`` bytes of one doc_id and text are one row.
+
+    The rows to put together are found by hashes, without moving texts; usually there are none.
+    """
+    key = F.xxhash64("doc_id", "text")
+    heavy = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text") + 16).alias("s"))
+    heavy = cut(heavy.where((F.col("n") > 1) & (F.coalesce("s", F.col("n") * 16) > most)).select("key"), "lm-repeated", few=True)  # no more than a chunk each
+    if not heavy.limit(1).count():
+        return docs.withColumn("times", F.lit(1).cast("long"))
+    keyed = docs.withColumn("key", key)
+    once = keyed.join(heavy, "key", "left_anti").select(*docs.columns, F.lit(1).cast("long").alias("times"))
+    return once.unionByName(keyed.join(heavy, "key", "left_semi").groupBy(*docs.columns).agg(F.count("*").alias("times")))
 
 
 def lm_scores(documents: DataFrame, folds: int = 7, held_fold: int = 2) -> DataFrame:
@@ -200,7 +217,7 @@ def lm_scores(documents: DataFrame, folds: int = 7, held_fold: int = 2) -> DataF
 
     Learns from the documents whose crc32(doc_id as text) modulo ``folds`` is not ``held_fold``. A null text is empty: its
     one token is the end. A null doc_id is scored but not learned from, its held_out is null. Repeated rows count as often
-    as they occur. Words are told apart by 64-bit hashes. Without any training document all counts are zero. Other
+    as they occur; the fold on which the weights are learned is by document. Words are told apart by 64-bit hashes. Without any training document all counts are zero. Other
     columns are not read.
     """
     spark = documents.sparkSession
@@ -210,9 +227,11 @@ def lm_scores(documents: DataFrame, folds: int = 7, held_fold: int = 2) -> DataF
     size = docs.agg(F.sum(F.octet_length("text") + 16).alias("n")).first().n or 0
     chunks = max(1, -(-int(size) // CHUNK_BYTES))
     bits = max(0, (chunks - 1).bit_length())
-    dealt = docs.select(
-        "doc_id", "text", (part == held_fold).alias("held_out"), F.coalesce(part != held_fold, F.lit(False)).alias("learn"),
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).alias("chunk"),
+    held_chunks = -(-chunks // HELD_FOLD)
+    number, held = F.xxhash64("doc_id", "text"), F.pmod(F.xxhash64("doc_id", "text", F.lit(41)), F.lit(HELD_FOLD)) == 0
+    dealt = counted(docs, CHUNK_BYTES // 2).select(
+        "doc_id", "text", (part == held_fold).alias("held_out"), F.coalesce(part != held_fold, F.lit(False)).alias("learn"), "times",
+        F.when(held, F.pmod(number, F.lit(held_chunks))).otherwise(held_chunks + F.pmod(number, F.lit(chunks))).alias("chunk"),
     )
     run, schema = _requests(bits)
     requests = dealt.groupBy("chunk").applyInArrow(run, schema)
@@ -223,7 +242,7 @@ def lm_scores(documents: DataFrame, folds: int = 7, held_fold: int = 2) -> DataF
 
     answers = replies.select("chunk", "range", "counts")
     run, schema = _statistic(total)
-    held = (F.col("chunk") % HELD_CHUNKS) == 0
+    held = F.col("chunk") < held_chunks
     gathered = dealt.where(held).groupBy("chunk").cogroup(answers.where(held).groupBy("chunk")).applyInArrow(run, schema)
     summed = gathered.groupBy("bin").agg(F.sum("found").alias("found"), F.sum("pair").alias("pair"), F.sum("word").alias("word")).toArrow()
     bins, found, pair, word = (summed.column(c).to_numpy() for c in ("bin", "found", "pair", "word"))
@@ -231,4 +250,7 @@ def lm_scores(documents: DataFrame, folds: int = 7, held_fold: int = 2) -> DataF
     release(spark)
 
     run, schema = _scores(total, distinct, weights)
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
+    # each row as often as it stands for, in steps whose lists are bounded
+    blocks = scored.withColumn("block", F.explode(F.expr("sequence(0L, (times - 1) div 65536)")))
+    return blocks.withColumn("nth", F.explode(F.expr("sequence(1L, least(65536L, times - block * 65536))"))).drop("times", "block", "nth")

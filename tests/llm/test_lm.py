@@ -53,6 +53,33 @@ def test_against_counters(spark, sf_dir, monkeypatch, chunk):
         assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=1e-9)
 
 
+def test_repeated_rows_are_put_together(spark, monkeypatch):
+    """Rows that would fill a chunk count as often as they occur, and each gets its row."""
+    monkeypatch.setattr(L, "CHUNK_BYTES", 2000)
+    rows = [(1, "a b c " * 20)] * 300 + [(2, "a c")] * 3 + [(None, None)] * 300 + [(k, f"b c w{k}") for k in range(3, 60)]
+    seen = learned(monkeypatch)
+    got = sorted((str(r.doc_id), r.n_tokens, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in L.lm_scores(documents(spark, rows)).collect())
+    assert got == sorted((str(i), n, k, round(b, 6), round(s, 6)) for i, n, _, k, b, s in brute(rows, seen[0]))
+
+
+def test_weights_do_not_depend_on_the_chunks(spark, sf_dir, monkeypatch):
+    seen = learned(monkeypatch)
+    docs = table(spark, sf_dir, "documents")
+    for chunk in (8 << 20, 100_000):
+        monkeypatch.setattr(L, "CHUNK_BYTES", chunk)
+        L.lm_scores(docs).count()
+    assert np.allclose(seen[0], seen[1])
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    from .test_token_shards import twins
+
+    rows = [(k, f"{w} x {w}") for k, w in enumerate(w for n in (1024, 2048, 4096) for w in twins(n))]
+    got = {r.doc_id: r for r in L.lm_scores(documents(spark, rows)).collect()}
+    for i, n, known, total, base, _ in brute(rows):
+        assert (got[i].n_tokens, got[i].n_known, got[i].train_tokens) == (n, known, total) and got[i].base_score == pytest.approx(base, rel=1e-9)
+
+
 def test_better_than_base_on_held_out(spark):
     held = [r for r in L.lm_scores(table(spark, "/root/testdata/sf0.01", "documents")).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
