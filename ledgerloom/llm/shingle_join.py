@@ -19,7 +19,8 @@ bucket's smallest member; then buckets whose members are still in different comp
 leaving out pairs that the distances to that smallest member (a metric) rule out, and in buckets of frequent tokens pairs
 that would have to share a rare token: who is indexed by frequent tokens has all its rare ones indexed, so a pair that
 meets in no rare token's bucket differs in all rare tokens of both, and in the numbers of their frequent ones. Members of
-such buckets are joined by the bucket's smallest member, once for all buckets it is the smallest of.
+such buckets are joined by the bucket's smallest member, once for all buckets it is the smallest of. A bucket or family of
+more than ``BLOCK`` members is dealt into blocks, each of which meets all members in a task of its own.
 
 Candidates are first held against a parity bitmap of each set (about one bit a token): every token in which two sets
 differ flips one bit, so the bits that differ bound the difference from below. Only pairs that pass fetch their sets.
@@ -43,6 +44,8 @@ MOST_FREQUENT = 1 << 20
 FREQUENT = 8
 #: Tokens that a task gathers before it counts them, and text bytes to a hash range.
 CHUNK_TOKENS, RANGE_BYTES = 1 << 20, 8 << 20
+#: Members of a bucket that one task holds against all of its members.
+BLOCK = 2048
 #: Slots of the broadcast filter that says whose sets are needed; it only saves work.
 SLOTS = 1 << 23
 
@@ -235,6 +238,16 @@ def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     settle()
 
 
+def _met(members: DataFrame, key: str, possible) -> DataFrame:
+    """The pairs (a, b) of members of one ``key`` that are ``possible``; large groups in blocks."""
+    large = members.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    sized = members.join(large, key, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    x = sized.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).alias("x")
+    y = sized.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("y")
+    met = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.block") == F.col("y.block")) & possible)
+    return met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+
 def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, n_links_verified is left out; component_id the smallest doc_id reachable.
 
@@ -325,9 +338,8 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     )
     paired = F.col("entry").bitwiseAND(F.lit(1)) == 1
     single, family = members.where(~paired), members.where(paired).drop("entry").dropDuplicates(["pivot", "doc_id"])
-    ends = [F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")]
-    by_token = single.alias("x").join(single.alias("y"), (F.col("x.entry") == F.col("y.entry")) & possible).select(*ends)
-    by_pivot = family.alias("x").join(family.alias("y"), (F.col("x.pivot") == F.col("y.pivot")) & possible & (differ * (100 + percent) <= allowed)).select(*ends)
+    by_token = _met(single, "entry", possible)
+    by_pivot = _met(family, "pivot", possible & (differ * (100 + percent) <= allowed))
     rest = by_token.union(by_pivot).distinct()
     open_pairs = bounded(rest, "shingle-rest").where(F.col("low") <= far).select("a", "b")
     final = first

@@ -112,3 +112,26 @@ def test_components_of_a_long_path(spark):
     got = {r.node: r.root for r in components(links).collect()}
     assert got == {**{i: 100 for i in range(100, 301)}, 7: 7, 50: 40, 40: 40}
     assert components(links.where("a < 0")).count() == 0
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """Groups of more members than a block give the same links as whole ones."""
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(40)]
+    texts = {}
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.randint(0, 4)):
+            w[rng.randrange(len(w))] = f"v{rng.randint(0, 10**6)}"
+        texts[i] = " ".join(w)
+    monkeypatch.setattr(J, "BLOCK", 7)
+    got = {r.doc_id: r.component_id for r in J.linked_documents(documents(spark, list(texts.items())), 2, 70).collect()}
+    assert got == groups(texts, 2, 70)[0]
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    from .test_token_shards import twins
+
+    texts = {k: f"{w} a b c" for k, w in enumerate(w for n in (1024, 2048, 4096) for w in twins(n))}
+    got = {r.doc_id: r.component_id for r in J.linked_documents(documents(spark, list(texts.items())), 4, 85).collect()}
+    assert got == {k: k for k in texts}
