@@ -8,6 +8,7 @@ nodes are known to be article or not; they take a few seconds and are the same o
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import random
@@ -64,6 +65,7 @@ _TEXT, _LINK = _tag_bit["#text"], _tag_bit["a"]
 _HIDDEN = _token_bit["hidden"]
 
 _markup = re.compile(r"""<!--(?:.*?-->|.*+)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+_comment = re.compile(r"<!--.*", re.S)  # where no markup can end any more, only a comment can still begin
 _named = re.compile(r"""(?:^|[\s"'/])(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _concealed = re.compile(r"""(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _token = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -85,6 +87,53 @@ def _attribute_bits(attributes: str) -> int:
     return bits
 
 
+class _Open:
+    """The open elements: names and nodes from the outermost, and for each name and for all blocks the places where they
+    stand, so that no question about them walks the whole stack."""
+
+    def __init__(self) -> None:
+        self.names: list[str] = []
+        self.nodes: list[int] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def push(self, name: str, node: int) -> None:
+        self.places.setdefault(name, []).append(len(self.names))
+        if name in BLOCK:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.nodes.append(node)
+
+    def pop(self, to: int) -> None:
+        while len(self.names) > to:
+            name = self.names.pop()
+            self.nodes.pop()
+            self.places[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
+    def node(self) -> int:
+        return self.nodes[-1] if self.nodes else -1
+
+    def last(self, name: str) -> int:
+        """The innermost place of the name, -1 if it is not open."""
+        at = self.places.get(name)
+        return at[-1] if at else -1
+
+    def count(self, name: str) -> int:
+        return len(self.places.get(name, ()))
+
+    def first_after(self, names: set[str], place: int) -> int:
+        """The outermost place of any of the names further in than ``place``, -1 if there is none."""
+        found = []
+        for name in names:
+            at = self.places.get(name, [])
+            k = bisect.bisect_right(at, place)
+            if k < len(at):
+                found.append(at[k])
+        return min(found, default=-1)
+
+
 class Page:
     """Nodes in page order: bits of tag and attributes, parent (-1: none), depth, and of leaves the text and its link characters."""
 
@@ -92,12 +141,12 @@ class Page:
 
     def __init__(self, source: str) -> None:
         self.bits, self.parent, self.depth, self.texts, self.linked = [], [], [], [], []
-        stack: list[tuple[str, int]] = []
+        stack = _Open()
         run: list[str] = []
-        run_linked, links, at, remembered = 0, 0, 0, {}
+        run_linked, at, remembered, last_end = 0, 0, {}, source.rfind(">")
 
         def add(bits: int) -> int:
-            up = stack[-1][1] if stack else -1
+            up = stack.node()
             self.bits.append(bits)
             self.parent.append(up)
             self.depth.append(self.depth[up] + 1 if up >= 0 else 0)
@@ -114,44 +163,36 @@ class Page:
             run.clear()
             run_linked = 0
 
-        def pop(to: int) -> None:
-            nonlocal links
-            while len(stack) > to:
-                links -= stack.pop()[0] == "a"
-
         def write(text: str) -> None:
             nonlocal run_linked
             if text:
                 text = html.unescape(text) if "&" in text else text
                 run.append(text)
-                if links:
+                if stack.count("a"):
                     run_linked += len(text)
 
         n = len(source)
         while at < n:
-            m = _markup.search(source, at)
+            m = _markup.search(source, at) if at <= last_end else _comment.search(source, at)
             if m is None:
                 write(source[at:])
                 break
             if m.start() > at:
                 write(source[at : m.start()])
             at = m.end()
-            name = m[2] or m[5]
+            name = (m[2] or m[5]) if m.lastindex else None
             if name is None:
                 continue
             name, closing, attributes = name.lower(), (m[1] or m[4]) == "/", (m[3] or m[6] or "")
             if closing:
                 if name in BLOCK:
                     flush()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        if name not in BLOCK and any(t in BLOCK for t, _ in stack[k + 1 :]):
-                            break  # a stray end of an inline element does not end blocks
-                        pop(k)
-                        break
+                k = stack.last(name)
+                if k >= 0 and (name in BLOCK or not stack.blocks or stack.blocks[-1] < k):  # a stray end of an inline element does not end blocks
+                    stack.pop(k)
                 continue
             if name in RAW:
-                if attributes.endswith("/") and any(t in FOREIGN for t, _ in stack):
+                if attributes.endswith("/") and any(stack.count(t) for t in FOREIGN):
                     continue
                 end = _ending(name).search(source, at)
                 at = end.end() if end else n
@@ -164,41 +205,35 @@ class Page:
                 continue
             if name in BLOCK:
                 flush()
-                if name in CLOSES_P:
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] == "p":
-                            pop(k)
-                            break
-                        if stack[k][0] in BLOCK:
-                            break
-                ends, scope = SIBLINGS.get(name), SCOPES.get(name, ())
-                if ends:
-                    found = -1
-                    for k in range(len(stack) - 1, -1, -1):
-                        if stack[k][0] in scope:
-                            break
-                        if stack[k][0] in ends:
-                            found = k
+                if name in CLOSES_P and stack.blocks and stack.names[stack.blocks[-1]] == "p":
+                    stack.pop(stack.blocks[-1])
+                if name in SIBLINGS:
+                    found = stack.first_after(SIBLINGS[name], max(stack.last(t) for t in SCOPES[name]))
                     if found >= 0:
-                        pop(found)
+                        stack.pop(found)
                 if attributes not in remembered:
                     remembered[attributes] = _attribute_bits(attributes)
-                stack.append((name, add(_tag_bit.get(name, 0) | remembered[attributes])))
+                stack.push(name, add(_tag_bit.get(name, 0) | remembered[attributes]))
             elif name == "a":
-                links += 1
-                stack.append((name, stack[-1][1] if stack else -1))
+                stack.push(name, stack.node())
             else:
                 bits = _attribute_bits(attributes) if attributes else 0
                 if bits & _HIDDEN:
                     flush()
-                    stack.append((name, add(bits)))
+                    stack.push(name, add(bits))
                 else:
-                    stack.append((name, stack[-1][1] if stack else -1))
+                    stack.push(name, stack.node())
             if attributes.endswith("/") and name not in BLOCK:
-                pop(len(stack) - 1)
+                stack.pop(len(stack.names) - 1)
         flush()
 
 
+def by_depth(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth, in order."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.flatnonzero(np.diff(depth[order])) + 1) if len(depth) else []
+
+
 # --- features -------------------------------------------------------------------------------------------------------
 
 
@@ -217,7 +252,7 @@ def features(pages: list[Page]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
 
     order, last = np.arange(n), np.arange(n)
     inherited = bits.copy()
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if n else []
+    levels = by_depth(depth)
     for at in levels[1:]:
         inherited[at] |= inherited[parent[at]]
     for at in reversed(levels[1:]):
@@ -303,7 +338,7 @@ def decode(score: np.ndarray, parent: np.ndarray, depth: np.ndarray) -> np.ndarr
     """The most likely labels in which every descendant of a dropped node is dropped, from log-odds."""
     keep, drop = -np.logaddexp(0, -score), -np.logaddexp(0, score)
     best = keep.copy()  # of the subtree if the node is kept
-    levels = [np.flatnonzero(depth == d) for d in range(int(depth.max()) + 1)] if len(depth) else []
+    levels = by_depth(depth)
     for at in reversed(levels[1:]):
         np.add.at(best, parent[at], np.maximum(best[at], drop[at]))
         np.add.at(drop, parent[at], drop[at])

@@ -93,3 +93,32 @@ def test_text_after_and_in_embedded_elements():
     inner = article.replace("in it.", "in <math><mi>x</mi><mo>=</mo><mn>2</mn></math> it.").replace("</article>", "<object data=a><p>What the object says, in a sentence of its own, with words.</p></object></article>")
     got = D.extract([f"<html><body>{inner}</body></html>"], D.trained())[0]
     assert "words in x=2 it." in got and "What the object says" in got
+
+
+def test_time_grows_with_the_page():
+    """Hostile pages of a megabyte: unclosed, misnested and deep elements, quotes and brackets without an end."""
+    import time
+
+    parts = ["<b><i></u>", "<b></i>x", "<p><b>", "<li><span>", "<div>", "<a \"", "<!x", "<a 'b>", "<td><b>y", "</p><p>z", "&amp", "<x"]
+    for part in parts:
+        for end in ("", ">", "</div>"):
+            page = "<article><p>Words before it.</p>" + part * (1_000_000 // len(part)) + end
+            began = time.process_time()
+            D.Page(page)
+            assert time.process_time() - began < 20, part
+    began = time.process_time()
+    assert len(D.extract(["<div>" * 20_000 + "deep words here", "<b><i></u>" * 100_000], D.trained())) == 2
+    assert time.process_time() - began < 60
+
+
+def test_layouts_by_hand():
+    """Pages of layouts that no generator made."""
+    story = ["Rain fell on the old town for three days before the river rose.", "Nobody had seen the like, said the miller, who had seen a lot.", "By Sunday the bridge was gone and the road with it.", "The council met in the school, since the hall was wet."]
+    body = "".join(f"<p>{s}</p>" for s in story)
+    pages = [
+        f"<html><body><div id=wrap><div class='topbar'><a href=/>Town paper</a> <a href=/a>About us</a></div><main><article class=post><h1>The flood</h1>{body}</article></main><div class=sidebar><h4>Popular</h4><ul><li><a href=1>One thing</a><li><a href=2>Other thing</a></ul></div></div></body></html>",
+        f"<body><nav><a href=x>Home</a> <a href=y>News</a></nav><section class=content><h1>The flood</h1>{body}<div class='share social'><a href=f>Share</a> <a href=g>Tweet</a></div></section><footer><p>Copyright the paper, all rights reserved.</p></footer></body>",
+        f"<html><body><header><h2>Town paper</h2></header><div class='article-body'><h1>The flood</h1>{body}</div><div id=comments><div class=comment><p>I live there and it was worse than that.</p></div></div></body></html>",
+    ]
+    for page in pages:
+        assert D.extract([page], D.trained())[0].split("\n") == ["The flood", *story], page[:80]
