@@ -121,8 +121,6 @@ def training_windows(texts: list[str], window: int, widest: int, seed: int, crop
     for k, t in enumerate(raw):
         for at in range(0, max(1, len(t)), window):
             piece = t[at : at + window + widest]
-            if at and len(piece) < 32:
-                continue
             pieces = [piece]
             if rng.random() < crop:
                 size = int(rng.integers(6, 80))

@@ -13,19 +13,18 @@ from pyspark.sql import functions as F
 from .byte_conv import ByteConv, batches_of, lay_out, training_windows
 from .common import _LOWER, fold, prepare, utf8
 
-#: The bound of the sample of labelled rows that the network is fitted on, and the pieces of text taken of each.
-TRAINING_ROWS, PIECES, PIECE_CHARS = 2400, 3, 300
+#: The bound of the sample of labelled rows that the network is fitted on, and of the pieces that are drawn from each whole text.
+TRAINING_ROWS, PIECES, PIECE_CHARS = 2400, 6, 300
 WIDTHS, WINDOW, STEPS = {2: 8, 3: 16, 4: 16, 5: 16}, 256, 500
 UNKNOWN = "und"
 _letter = re.compile(r"[^\W\d_]")
 
 
-def pieces(text: str, count: int, chars: int):
-    """Up to ``count`` pieces of ``chars`` characters, spread evenly over the text; a shorter text is one piece."""
-    return F.expr(
-        f"CASE WHEN char_length({text}) <= {chars} THEN array({text}) ELSE transform(sequence(0, {count - 1}), "
-        f"i -> substring({text}, cast(1 + i * ((char_length({text}) - {chars}) div {max(1, count - 1)}) as int), {chars})) END"
-    )
+def pieces(text: str, key: str, count: int, chars: int):
+    """The consecutive pieces of ``chars`` characters that make up the text, or ``count`` of them drawn from all by hash of ``key``."""
+    every = f"sequence(0, greatest(0, cast((char_length({text}) - 1) div {chars} AS int)))"
+    drawn = f"transform(slice(array_sort(transform({every}, i -> struct(xxhash64(i, {key}) AS h, i AS i))), 1, {count}), x -> x.i)"
+    return F.expr(f"transform(CASE WHEN char_length({text}) <= {count * chars} THEN {every} ELSE {drawn} END, i -> substring({text}, i * {chars} + 1, {chars}))")
 
 
 def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
@@ -39,7 +38,7 @@ def sampled(rows: DataFrame, key: str, most: int) -> DataFrame:
 
 def train(labelled: DataFrame) -> tuple[ByteConv | None, list[str]]:
     """Fits the network on a bounded sample of (doc_id, text, lang); None where there is nothing to learn from."""
-    rows = sampled(labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", pieces("text", PIECES, PIECE_CHARS).alias("pieces")), "doc_id", TRAINING_ROWS).collect()
+    rows = sampled(labelled.where("lang IS NOT NULL AND text IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", "lang", pieces("text", "doc_id", PIECES, PIECE_CHARS).alias("pieces")), "doc_id", TRAINING_ROWS).collect()
     langs = sorted({r.lang for r in rows})
     if not langs:
         return None, []

@@ -17,8 +17,8 @@ from .byte_conv import ByteConv, batches_of, lay_out, training_windows
 from .byte_lang_id import pieces, sampled
 from .common import fold, prepare, settle, utf8
 
-#: The bound of the sample of labelled rows, and the pieces of text taken of each.
-TRAINING_ROWS, PIECES, PIECE_CHARS = 2400, 4, 512
+#: The bound of the sample of labelled rows, and of the pieces that are drawn from each whole text.
+TRAINING_ROWS, PIECES, PIECE_CHARS = 2400, 8, 512
 WIDTHS, WINDOW, STEPS = {3: 8, 5: 16, 8: 8}, 512, 400
 
 
@@ -78,12 +78,18 @@ def _score(model):
 
 
 def quality_model(documents: DataFrame, labels: DataFrame, folds: int = 3, held_fold: int = 1):
-    """The fitted model as a broadcast variable. Labels with a null doc_id or quality say nothing; quality over 0 is 1."""
+    """The fitted model as a broadcast variable. Labels with a null doc_id or quality say nothing; quality over 0 is 1.
+
+    Repeated labels count once, conflicting ones each; rows that repeat a labelled doc_id are labelled each, at most
+    ``TRAINING_ROWS`` in all, whichever hash lowest.
+    """
     spark = documents.sparkSession
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IS NOT NULL")
     chosen = sampled(known.where(fold("doc_id", folds) != held_fold).dropDuplicates(), "doc_id", TRAINING_ROWS)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    labelled = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", pieces("text", PIECES, PIECE_CHARS).alias("pieces"))
+    labelled = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", pieces("text", "doc_id", PIECES, PIECE_CHARS).alias("pieces"))
+    # documents may repeat a labelled doc_id, so the bound holds after the join
+    labelled = labelled.orderBy(F.xxhash64("doc_id", "quality", "pieces"), "doc_id", "quality").limit(TRAINING_ROWS)
     return spark.sparkContext.broadcast(train(labelled))
 
 
@@ -105,7 +111,7 @@ def quality_scores(documents: DataFrame, labels: DataFrame, folds: int = 3, held
 
     Learns from labels whose crc32(doc_id as text) modulo ``folds`` is not ``held_fold``. A null text is scored as an
     empty one; a null doc_id is scored, its held_out is null. With labels of one value only the score is that value, with
-    none 0.5. Other columns are not read.
+    none 0.5. A text of any length is scored whole, by all its chunks. Other columns are not read.
     """
     prepare(documents.sparkSession)
     part = fold("doc_id", folds)

@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,50 @@ def test_whole_text_counts(spark):
     assert got[200].predicted == 1 and got[201].predicted == 0 and got[202].score == got[203].score
 
 
+def test_labelled_rows_are_bounded_after_the_join(spark, monkeypatch):
+    seen = []
+    original = byte_quality.train
+    monkeypatch.setattr(byte_quality, "TRAINING_ROWS", 50)
+    monkeypatch.setattr(byte_quality, "train", lambda df: seen.append(df.count()) or original(df))
+    docs = documents(spark, [(2, f"text {i}") for i in range(3000)])
+    labels = spark.createDataFrame([(2, 1, 0), (2, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    assert byte_quality.quality_scores(docs, labels).count() == 3000 and seen == [50]
+
+
+def test_pieces_are_drawn_from_whole_texts(spark):
+    from ledgerloom.llm.byte_lang_id import pieces
+
+    texts = ["", "a", "x" * 10, "".join(chr(97 + i % 26) for i in range(35)), "".join(chr(0x3B1 + i % 20) for i in range(1000))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", pieces("text", "doc_id", 4, 10).alias("p")).collect()
+    for r in rows:
+        every = [texts[r.doc_id][k : k + 10] for k in range(0, max(1, len(texts[r.doc_id])), 10)]
+        assert (r.p == every) if len(every) <= 4 else (len(r.p) == 4 and set(r.p) <= set(every))
+    # over many texts the draw reaches all parts alike, the last one too
+    many = spark.range(2000).selectExpr("id AS doc_id", "concat(repeat('a', 90), repeat('z', 5)) AS text").select(pieces("text", "doc_id", 2, 10).alias("p"))
+    last = sum("z" in p for r in many.collect() for p in r.p)
+    assert 300 < last < 500
+
+
+def test_network_against_plain_loops():
+    """Windows, filters, maximum and sum of a small network, place by place."""
+    net = ByteConv({2: 3, 4: 2}, 3, 16, seed=3)
+    net.bias[:] = np.linspace(-0.2, 0.2, 5)
+    for text in (b"", b"a", b"some words of a text that is longer than a window", b"x" * 16, b"\xff" * 33):
+        got = net.logits(*lay_out([text], 16, 4))
+        size = max(1, -(-(len(text) + 3) // 16))
+        raw = text.ljust(size * 16 + 4, b"\0")
+        assert len(got) == size
+        for k in range(size):
+            pooled = []
+            for w, tables in net.tables.items():
+                ends = 16 - w + 1 if k == size - 1 else 16
+                for f in range(tables.shape[2]):
+                    pooled.append(max(sum(float(tables[j, raw[16 * k + i + j], f]) for j in range(w)) for i in range(ends)))
+            hidden = [max(0.0, p + float(b)) for p, b in zip(pooled, net.bias, strict=True)]
+            want = [sum(h * float(net.weight[i, c]) for i, h in enumerate(hidden)) + float(net.offset[c]) for c in range(3)]
+            assert np.allclose(got[k], want, atol=1e-4)
+
+
 def test_windows_cover_texts():
     texts = [b"", b"a", b"x" * 255, b"y" * 256, b"z" * 1000]
     buffer, owner = lay_out(texts, 256, 5)
