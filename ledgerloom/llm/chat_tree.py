@@ -68,6 +68,15 @@ def _paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(out[k], t) for k, t in kinds.items()], list(kinds))
 
 
+def _unused(ids: DataFrame) -> int:
+    """A number that no conversation has, for the one without a number: the lowest of all, else the first free one."""
+    least, lowest = ids.agg(F.min("conv_id")).first()[0], -(1 << 63)
+    if least is None or least > lowest:
+        return lowest
+    after = ids.where(F.col("conv_id") < (1 << 63) - 1).select((F.col("conv_id") + 1).alias("conv_id"))
+    return after.join(ids.distinct(), "conv_id", "left_anti").agg(F.min("conv_id")).first()[0]
+
+
 def chat_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two tables in the shared folder.
 
@@ -82,7 +91,8 @@ def chat_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = conversations.sparkSession
     prepare(spark)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    numbers = rows.select(F.coalesce("conv_id", F.lit(-(1 << 63))).alias("conv"), "turn", "role", "text")  # the null conversation sorts first
+    nameless = _unused(rows.select("conv_id"))
+    numbers = rows.select(F.coalesce("conv_id", F.lit(nameless)).alias("conv"), "turn", "role", "text")
     ordered = numbers.repartition("conv").sortWithinPartitions("conv", "turn", "role", "text")
     turns = cut(ordered.mapInArrow(_paths, "conv long, depth long, path binary, formatted string, chars long, loss_from long, loss_to long"), "chat-turns")
 
@@ -148,7 +158,7 @@ def chat_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     last = owned.groupBy("conv").agg(F.max_by("owner", "depth").alias("owner"), F.max("depth").alias("depth"))
     leaves = last.join(ends.select("owner", "depth", "end"), ["owner", "depth"]).join(chain_table, "owner")
     leaves = leaves.select(
-        F.when(F.col("conv") > -(1 << 63), F.col("conv")).alias("conv_id"), (F.col("depth") + 1).alias("n_turns"),
+        F.when(F.col("conv") != nameless, F.col("conv")).alias("conv_id"), (F.col("depth") + 1).alias("n_turns"),
         F.concat("far", F.array(F.expr("struct(owner AS chain, offset AS start, offset + end AS stop)"))).alias("spans"),
     )
     return nodes, cut(leaves, "chat-leaves", few=True)

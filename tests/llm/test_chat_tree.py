@@ -107,3 +107,13 @@ def test_escapes_are_reversible():
         t = "".join(rng.choice(["\\", "<", "|", "n", "\n", "im_end", ">", "a"]) for _ in range(12))
         assert C.unescape(C.escape(t)) == t and "<|" not in C.escape(t)
         assert C.parse(C.format_turn(t, t)[0]) == [(t, t)]
+
+
+def test_null_and_extreme_ids(spark):
+    """The conversation without a number is none of those with one, whatever their numbers."""
+    low, high = -(1 << 63), (1 << 63) - 1
+    for ids in ([None, low], [None, low, low + 1, high], [low, high], [None, high], [None]):
+        rows = [(i, t, r, f"{r} {t} {k}") for k, i in enumerate(ids) for t, r in enumerate(("user", "assistant"))]
+        rows += [(i, 2, "user", "the same") for i in ids]
+        _, _, got = run(spark, rows)
+        assert got == expected(rows)
