@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from .common import cut, prepare
 
-SHARD_VECTORS, BLOCK_QUERIES = 4096, 512
+#: Vectors of a shard, and queries that are sent to a shard at once: about as many bytes as its index, so that neither is copied often.
+SHARD_VECTORS, BLOCK_QUERIES = 4096, 8192
 #: Neighbours of a node on the upper levels (twice as many on the lowest), and the beams of building and searching.
 LINKS, BUILD_BEAM, SEARCH_BEAM = 12, 64, 128
 
