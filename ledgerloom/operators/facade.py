@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import numbered
+from ..functions.ordered import numbered, previous
+from ..shared import cut
 from . import merkle, state, store
 
 
 class LedgerStore:
     """A log of entries (shard, sn, height, ts, event_id, key, key_hash, value, op, dead_sn) and the views over it.
 
-    Nothing is computed before a result is asked for; each method gives a DataFrame.
+    Nothing is computed before a result is asked for, but for the trees, which are written once; each method gives a DataFrame.
     """
 
     def __init__(self, entries: DataFrame) -> None:
-        self.entries = entries
+        self.entries, self._trees = entries, None
 
     def at(self, height: int) -> LedgerStore:
         """The store as it was after a height."""
@@ -41,15 +42,22 @@ class LedgerStore:
         """(shard, sn, hash) of every entry."""
         return self.entries.where("sn IS NOT NULL").select("shard", "sn", F.sha2(F.concat_ws("|", "key", "value", "sn"), 256).alias("hash"))
 
-    def roots(self, top: int = 16) -> DataFrame:
-        """(shard, n, hash) of the level ``top``; a shard with up to 2^(top - 12) twigs has one."""
-        twigs = merkle.levels(merkle.twigs(self.leaves()))
-        return merkle.upper_nodes(merkle.twig_roots(twigs, merkle.active_roots(self.live().select("shard", "sn"))), top)
+    def trees(self) -> DataFrame:
+        """One row a twig with its hashes; live entries are active."""
+        live = self.live().select("shard", "sn", F.lit(True).alias("_live"))
+        leaves = self.leaves().join(live, ["shard", "sn"], "left").withColumn("active", F.coalesce("_live", F.lit(False)))
+        if self._trees is None:
+            self._trees = cut(merkle.tree(leaves), "trees")
+        return self._trees
+
+    def roots(self) -> DataFrame:
+        """(shard, level, root) of every shard's tree."""
+        return merkle.shard_roots(self.trees().select("shard", "twig", "root"))
 
     def prove(self, asked: DataFrame) -> DataFrame:
-        """Serialized proofs of (shard, sn)."""
-        leaves = self.leaves()
-        return merkle.proof_bytes(merkle.left_paths(asked, merkle.nodes(merkle.levels(merkle.twigs(leaves)))), leaves)
+        """Serialized whole proofs of (shard, sn)."""
+        trees = self.trees()
+        return merkle.proof_bytes(merkle.proofs(asked, trees, merkle.upper_tiers(trees.select("shard", "twig", "root"))))
 
     def compactable(self, threshold: int, ratio: int, div: int, batch: int) -> DataFrame:
         return store.compaction_candidates(self.live(), self.entries, threshold, ratio, div, batch)
@@ -61,7 +69,8 @@ class LedgerStore:
         fresh = numbered(rows.where("op <> 4"), ["shard"], "height", ["ts", "event_id"], "sn").join(ends, "shard", "left").withColumn("sn", F.col("sn") + F.coalesce("base", F.lit(0))).drop("base")
         every = fresh.unionByName(rows.where("op = 4").withColumn("sn", F.lit(None).cast("bigint")))
         every = every.select("shard", "sn", "height", "ts", "event_id", "key", "key_hash", F.col("value_cents").cast("string").alias("value"), "op")
-        both = self.entries.drop("dead_sn").unionByName(every)
-        from ..functions.ordered import previous
-
-        return LedgerStore(previous(both, ["key"], "height", ["ts", "event_id"], "sn", "dead_sn"))
+        # what a new entry supersedes: the one before it in the batch, else its key's last in the log
+        last = self.entries.join(every.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max_by(F.struct("sn"), F.struct("height", "ts", "event_id")).alias("tail"))
+        chained = previous(every.withColumn("own", F.struct("sn")), ["key"], "height", ["ts", "event_id"], "own", "prior")
+        chained = chained.join(last, "key", "left").withColumn("dead_sn", F.coalesce("prior", "tail")["sn"]).drop("own", "prior", "tail")
+        return LedgerStore(self.entries.unionByName(chained))

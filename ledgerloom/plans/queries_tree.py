@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import hashing as H
 from ..functions.ordered import numbered
 from ..operators import merkle as M
+from ..shared import folder, once
 from ..sources import views as V
 from .registry import query
 
@@ -21,6 +22,18 @@ def leaves(spark: SparkSession, d: str) -> DataFrame:
     return out.select("shard", "sn", "hash", (F.col("l_returnflag") != "R").alias("active"))
 
 
+def trees(spark: SparkSession, d: str) -> DataFrame:
+    """One row a twig with all its hashes, written once."""
+    return once(spark, "trees", f"{d}/lineitem.parquet", lambda: M.tree(leaves(spark, d)))
+
+
+def proofs(spark: SparkSession, d: str) -> DataFrame:
+    """The whole proof of every leaf."""
+    rows = trees(spark, d)
+    asked = rows.select("shard", F.explode(F.expr(f"filter(transform(sequence(0, {M.LEAVES - 1}), i -> shiftleft(twig, 11) + i), n -> levels[0][cast(n & {M.LEAVES - 1} AS int)] <> '{M.NULL_LEAF}')")).alias("sn"))
+    return M.proofs(asked, rows, M.upper_tiers(rows.select("shard", "twig", "root")))
+
+
 _LEAF = """raw_leaf AS (SELECT sha256(l_orderkey || ':' || l_linenumber || ':' || l_partkey || ':' || l_suppkey) AS hash, l_orderkey, l_returnflag FROM lineitem),
 leaf AS (SELECT CAST(('0x' || substr(hash, 1, 1)) AS INT) AS shard, row_number() OVER (PARTITION BY substr(hash, 1, 1) ORDER BY l_orderkey, hash) - 1 AS sn, hash, l_returnflag <> 'R' AS active FROM raw_leaf)"""
 
@@ -42,113 +55,135 @@ a3 AS (SELECT shard, twig, {_pair(10, 'arg_min(h, p)', 'arg_max(h, p)')} AS l3 F
 twig_root AS (SELECT l11.shard, l11.n AS twig, {_pair(11, 'l11.hash', 'a3.l3')} AS root FROM l11 JOIN a3 ON a3.shard = l11.shard AND a3.twig = l11.n)"""
 
 
+#: The hashes of unused subtrees by level, as many as a 64-bit number of twigs could ask for.
+_NULLS = "nulls AS (SELECT unnest(range(12, 65)) AS level, unnest([" + ", ".join(f"'{M.null_root(k)}'" for k in range(12, 65)) + "]) AS null_hash)"
+#: All nodes from the twig roots up to each shard's root; the top follows from the shard's youngest twig.
+_UPPER = f"""{_NULLS}, tops AS (SELECT shard, max(twig) AS youngest, 12 + CASE WHEN max(twig) = 0 THEN 0 ELSE length(bin(max(twig))) END AS top FROM twig_root GROUP BY shard),
+up(shard, level, n, hash) AS (SELECT shard, 12::BIGINT, twig, root FROM twig_root UNION ALL
+SELECT up.shard, up.level + 1, up.n // 2, sha256(unhex(printf('%02x', up.level)) || unhex(coalesce(max(up.hash) FILTER (up.n % 2 = 0), max(null_hash))) || unhex(coalesce(max(up.hash) FILTER (up.n % 2 = 1), max(null_hash))))
+FROM up JOIN tops ON tops.shard = up.shard JOIN nulls ON nulls.level = up.level WHERE up.level < top GROUP BY up.shard, up.level, up.n // 2),
+shard_root AS (SELECT up.shard, up.level, up.hash AS root FROM up JOIN tops ON tops.shard = up.shard AND tops.top = up.level)"""
+
+
 @query(f"WITH {_LEVELS} SELECT shard, n AS twig, hash AS left_root FROM l11")
 def twig_left_roots(spark: SparkSession, d: str) -> DataFrame:
     """The left root of every twig, unused leaves being null leaves."""
-    return M.levels(M.twigs(leaves(spark, d))).select("shard", "twig", F.expr("levels[11][0]").alias("left_root"))
+    return trees(spark, d).select("shard", "twig", F.expr("levels[11][0]").alias("left_root"))
 
 
 @query(f"WITH {_LEVELS}, {_ACTIVE} SELECT shard, twig, root FROM twig_root")
 def twig_roots(spark: SparkSession, d: str) -> DataFrame:
     """Roots of twigs from leaves and active bits."""
-    rows = leaves(spark, d)
-    return M.twig_roots(M.levels(M.twigs(rows)), M.active_roots(rows.where("active")))
+    return trees(spark, d).select("shard", "twig", "root")
 
 
 @query(f"WITH {_LEVELS}, {_ACTIVE} SELECT shard, twig, l3 AS active_root FROM a3")
 def active_bit_roots(spark: SparkSession, d: str) -> DataFrame:
     """M2: the root over each twig's active bits."""
-    return M.active_roots(leaves(spark, d).where("active")).select("shard", "twig", F.col("l3").alias("active_root"))
+    return trees(spark, d).select("shard", "twig", F.col("l3").alias("active_root"))
 
 
-#: Levels of the upper tree above twig roots in the queries: up to 16 twigs a shard at the oracle's scale.
-_TOP = 16
+@query(f"WITH RECURSIVE {_LEVELS}, {_ACTIVE}, {_UPPER} SELECT shard, level, root FROM shard_root")
+def upper_roots(spark: SparkSession, d: str) -> DataFrame:
+    """M4, M5, M6: twig roots folded up to each shard's root, missing siblings being unused subtrees."""
+    return M.shard_roots(trees(spark, d).select("shard", "twig", "root")).select("shard", F.col("level").cast("bigint").alias("level"), "root")
 
 
-def _upper(top: int) -> str:
-    out, before = [], "u12 AS (SELECT shard, twig AS n, root AS hash FROM twig_root)"
-    out.append(before)
-    for k in range(12, top):
-        null = f"'{M.null_root(k)}'"
-        out.append(f"u{k + 1} AS (SELECT shard, n // 2 AS n, {_pair(k, f'coalesce(max(hash) FILTER (n % 2 = 0), {null})', f'coalesce(max(hash) FILTER (n % 2 = 1), {null})')} AS hash FROM u{k} GROUP BY shard, n // 2)")
-    return ", ".join(out)
+@query(f"WITH RECURSIVE {_LEVELS}, {_ACTIVE}, {_UPPER} SELECT shard, root, true AS same FROM shard_root")
+def recovered_roots(spark: SparkSession, d: str) -> DataFrame:
+    """Roots made again from a twig file that was written, checked and read, and from the active bits, against those of the tree."""
+    rows = trees(spark, d)
+    path = folder(spark, "twig-file")
+    M.store_twigs(rows, rows.select("shard", "twig", (F.col("twig") * 8).alias("last_pos")), path)
+    again = M.twig_roots(M.read_twigs(spark, path), rows.select("shard", "twig", "l3"))
+    old, new = (M.shard_roots(x).select("shard", "root") for x in (rows.select("shard", "twig", "root"), again))
+    return old.join(new.withColumnRenamed("root", "made"), "shard").select("shard", "root", (F.col("root") == F.col("made")).alias("same"))
 
 
-@query(f"WITH {_LEVELS}, {_ACTIVE}, {_upper(_TOP)} SELECT shard, n, hash AS root FROM u{_TOP}")
-def upper_roots(spark: SparkSession, d: str) -> DataFrame:
-    """Twig roots folded up, missing siblings being unused subtrees."""
-    rows = leaves(spark, d)
-    roots = M.twig_roots(M.levels(M.twigs(rows)), M.active_roots(rows.where("active")))
-    return M.upper_nodes(roots, _TOP).select("shard", "n", F.col("hash").alias("root"))
+@query(f"WITH {_LEVELS} " + " UNION ALL ".join(f"SELECT shard, {k} AS level, n, hash FROM l{k}" for k in range(12)))
+def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """The hash of every node of every twig."""
+    return M.nodes(trees(spark, d)).select("shard", F.col("level").cast("int").alias("level"), "n", "hash")
 
 
-@query(f"WITH {_LEVELS} SELECT shard, 4 AS level, n, hash FROM l4 WHERE n % 50 = 0 UNION ALL SELECT shard, 9, n, hash FROM l9")
-def tree_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """Node hashes at asked places."""
-    return M.nodes(M.levels(M.twigs(leaves(spark, d)))).where("(level = 4 AND n % 50 = 0) OR level = 9").select("shard", F.col("level").cast("int").alias("level"), "n", "hash")
+_LEFT = " UNION ALL ".join(f"SELECT a.shard, a.sn, {k} AS level, l.hash AS peer, l.n < a.sn >> {k} AS peer_at_left FROM leaf a JOIN l{k} l ON l.shard = a.shard AND l.n = xor(a.sn >> {k}, 1)" for k in range(11))
+_RIGHT = """SELECT a.shard, a.sn, 8 AS level, o.h AS own, q.h AS peer, q.p < o.p AS peer_at_left FROM asked a JOIN page o ON o.shard = a.shard AND o.twig = a.twig AND o.p = a.p JOIN page q ON q.shard = a.shard AND q.twig = a.twig AND q.p = xor(a.p, 1)
+UNION ALL SELECT a.shard, a.sn, 9, o.h, q.h, q.p < o.p FROM asked a JOIN a1 o ON o.shard = a.shard AND o.twig = a.twig AND o.p = a.p // 2 JOIN a1 q ON q.shard = a.shard AND q.twig = a.twig AND q.p = xor(a.p // 2, 1)
+UNION ALL SELECT a.shard, a.sn, 10, o.h, q.h, q.p < o.p FROM asked a JOIN a2 o ON o.shard = a.shard AND o.twig = a.twig AND o.p = a.p // 4 JOIN a2 q ON q.shard = a.shard AND q.twig = a.twig AND q.p = xor(a.p // 4, 1)"""
+_ASKED = "asked AS (SELECT shard, sn, sn >> 11 AS twig, (sn & 2047) // 256 AS p FROM leaf)"
+_ABOVE = """SELECT t.shard, t.twig, nulls.level, coalesce(u.hash, null_hash) AS peer, xor(t.twig >> (nulls.level - 12), 1) < t.twig >> (nulls.level - 12) AS peer_at_left
+FROM twig_root t JOIN tops ON tops.shard = t.shard JOIN nulls ON nulls.level < tops.top LEFT JOIN up u ON u.shard = t.shard AND u.level = nulls.level AND u.n = xor(t.twig >> (nulls.level - 12), 1)"""
 
 
-@query(f"WITH {_LEVELS}, asked AS (SELECT shard, sn FROM leaf WHERE sn % 997 = 0), p AS (" + " UNION ALL ".join(
-    f"SELECT a.shard, a.sn, {k} AS level, l.hash AS peer, l.n < a.sn >> {k} AS peer_at_left FROM asked a JOIN l{k} l ON l.shard = a.shard AND l.n = xor(a.sn >> {k}, 1)" for k in range(11)
-) + ") SELECT shard, sn, level, peer, peer_at_left FROM p")
+@query(f"WITH {_LEVELS}, p AS ({_LEFT}) SELECT shard, sn, level, peer, peer_at_left FROM p")
 def inclusion_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The siblings on the way from a leaf to its twig's left root."""
-    rows = leaves(spark, d)
-    nodes = M.nodes(M.levels(M.twigs(rows)))
-    return M.left_paths(rows.where("sn % 997 = 0"), nodes).select("shard", "sn", F.col("level").cast("int").alias("level"), "peer", "peer_at_left")
+    """The siblings on the way from every leaf to its twig's left root."""
+    rows = trees(spark, d)
+    return M.left_paths(leaves(spark, d), rows).select("shard", "sn", F.col("level").cast("int").alias("level"), "peer", "peer_at_left")
 
 
-@query(f"WITH {_LEVELS} SELECT a.shard, a.sn, l.hash AS left_root, true AS sound FROM leaf a JOIN l11 l ON l.shard = a.shard AND l.n = a.sn >> 11 WHERE a.sn % 997 = 0")
-def verified_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths folded up give the twig's left root."""
-    rows = leaves(spark, d)
-    levels = M.levels(M.twigs(rows))
-    folded = M.folded(M.left_paths(rows.where("sn % 997 = 0"), M.nodes(levels)), rows)
-    roots = levels.select("shard", "twig", F.expr("levels[11][0]").alias("expected"))
-    return folded.withColumn("twig", F.shiftright("sn", 11)).join(roots, ["shard", "twig"]).select("shard", "sn", "left_root", (F.col("left_root") == F.col("expected")).alias("sound"))
+@query(f"WITH {_LEVELS}, {_ACTIVE}, {_ASKED} {_RIGHT}")
+def active_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The way from every leaf's page of active bits to the active root."""
+    return M.right_paths(leaves(spark, d).select("shard", "sn"), trees(spark, d).select("shard", "twig", "bitmap", "l1", "l2", "l3"))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS broken")
-def tree_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Nodes that are not the hash of their children; there are none."""
-    nodes = M.nodes(M.levels(M.twigs(leaves(spark, d))))
-    kids = nodes.groupBy("shard", F.col("level").alias("below"), F.expr("shiftright(n, 1)").alias("n")).agg(F.min_by("hash", "n").alias("a"), F.max_by("hash", "n").alias("b"))
-    made = kids.select("shard", (F.col("below") + 1).alias("level"), "n", F.expr(M.pair_hash("below", "a", "b")).alias("made"))
-    return nodes.where("level > 0").join(made, ["shard", "level", "n"], "left").where("made IS NULL OR made <> hash").agg(F.count("*").alias("broken"))
+@query(f"WITH RECURSIVE {_LEVELS}, {_ACTIVE}, {_UPPER} SELECT shard, twig, level, peer, peer_at_left FROM ({_ABOVE})")
+def upper_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The siblings on the way from every twig root to its shard's root."""
+    roots = trees(spark, d).select("shard", "twig", "root")
+    rows = M.with_upper_paths(roots.select("shard", "twig"), M.upper_tiers(roots))
+    return rows.select("shard", "twig", F.posexplode("upper").alias("k", "peer")).select("shard", "twig", (F.col("k") + 12).cast("bigint").alias("level"), "peer", F.expr("(shiftright(twig, k) & 1) = 1").alias("peer_at_left"))
 
 
-@query(f"WITH {_LEVELS}, all_nodes AS (" + " UNION ALL ".join(f"SELECT shard, {k} AS level, n, hash FROM l{k}" for k in range(5, 12)) + ") SELECT shard, level, CAST(min(n) AS BIGINT) AS n, arg_min(hash, n) AS hash FROM all_nodes WHERE n >= 1200 >> level GROUP BY shard, level")
-def edge_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """The leftmost node that pruning leaves on each level."""
-    nodes = M.nodes(M.levels(M.twigs(leaves(spark, d)))).where("level >= 5").where(F.expr("n >= shiftright(1200, level)"))
-    return nodes.groupBy("shard", F.col("level").cast("int").alias("level")).agg(F.min("n").alias("m"), F.min_by("hash", "n").alias("hash")).withColumnRenamed("m", "n")
+@query(f"WITH RECURSIVE {_LEVELS}, {_ACTIVE}, {_UPPER} SELECT leaf.shard, leaf.sn, root, true AS sound FROM leaf JOIN shard_root ON shard_root.shard = leaf.shard")
+def verified_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaf's proof, read from its bytes, gives the root of its shard's tree."""
+    made = M.verified(M.parse_proofs(M.proof_bytes(proofs(spark, d)))).select("shard", "sn", "made", "sound")
+    roots = M.shard_roots(trees(spark, d).select("shard", "twig", "root")).select("shard", "root")
+    return made.join(F.broadcast(roots), "shard").select("shard", "sn", "root", (F.col("sound") & (F.col("made") == F.col("root"))).alias("sound"))  # a row a shard
 
 
-@query(f"""WITH {_LEVELS}, {_ACTIVE}, asked AS (SELECT shard, sn, sn >> 11 AS twig, (sn & 2047) // 256 AS p FROM leaf WHERE sn % 997 = 0)
-SELECT a.shard, a.sn, 8 AS level, o.h AS own, q.h AS peer, q.p < o.p AS peer_at_left FROM asked a JOIN page o ON o.shard = a.shard AND o.twig = a.twig AND o.p = a.p JOIN page q ON q.shard = a.shard AND q.twig = a.twig AND q.p = xor(a.p, 1)
-UNION ALL SELECT a.shard, a.sn, 9, o.h, q.h, q.p < o.p FROM asked a JOIN a1 o ON o.shard = a.shard AND o.twig = a.twig AND o.p = a.p // 2 JOIN a1 q ON q.shard = a.shard AND q.twig = a.twig AND q.p = xor(a.p // 2, 1)
-UNION ALL SELECT a.shard, a.sn, 10, o.h, q.h, q.p < o.p FROM asked a JOIN a2 o ON o.shard = a.shard AND o.twig = a.twig AND o.p = a.p // 4 JOIN a2 q ON q.shard = a.shard AND q.twig = a.twig AND q.p = xor(a.p // 4, 1)""")
-def active_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The way from a leaf's page of active bits to the active root."""
-    rows = leaves(spark, d)
-    return M.right_paths(rows.where("sn % 997 = 0").select("shard", "sn"), M.active_tree(rows.where("active")))
+@query(f"""WITH RECURSIVE {_LEVELS}, {_ACTIVE}, {_UPPER}, {_ASKED}, lp AS (SELECT shard, sn, string_agg(peer, '' ORDER BY level) AS h FROM ({_LEFT}) GROUP BY shard, sn),
+rp AS (SELECT shard, sn, max(own) FILTER (level = 8) || string_agg(peer, '' ORDER BY level) AS h FROM ({_RIGHT}) GROUP BY shard, sn),
+ap AS (SELECT shard, twig, string_agg(peer, '' ORDER BY level) AS h FROM ({_ABOVE}) GROUP BY shard, twig), le AS (SELECT shard, sn, printf('%016x', sn) AS x FROM leaf)
+SELECT leaf.shard, leaf.sn, {' || '.join(f'substr(x, {15 - 2 * k}, 2)' for k in range(8))} || leaf.hash || lp.h || rp.h || coalesce(ap.h, '') || root AS proof FROM leaf JOIN le ON le.shard = leaf.shard AND le.sn = leaf.sn
+JOIN lp ON lp.shard = leaf.shard AND lp.sn = leaf.sn JOIN rp ON rp.shard = leaf.shard AND rp.sn = leaf.sn JOIN shard_root r ON r.shard = leaf.shard LEFT JOIN ap ON ap.shard = leaf.shard AND ap.twig = leaf.sn >> 11""")
+def serialized_proofs(spark: SparkSession, d: str) -> DataFrame:
+    """Every leaf's whole proof as bytes."""
+    return M.proof_bytes(proofs(spark, d))
 
 
-@query(f"WITH {_LEVELS}, {_ACTIVE}, {_upper(_TOP)}, asked AS (SELECT shard, twig FROM twig_root), p AS (" + " UNION ALL ".join(
-    f"SELECT a.shard, a.twig, {k} AS level, coalesce(u.hash, '{M.null_root(k)}') AS peer, xor(a.twig >> {k - 12}, 1) < a.twig >> {k - 12} AS peer_at_left FROM asked a LEFT JOIN u{k} u ON u.shard = a.shard AND u.n = xor(a.twig >> {k - 12}, 1)" for k in range(12, _TOP)
-) + ") SELECT shard, twig, level, peer, peer_at_left FROM p")
-def upper_paths(spark: SparkSession, d: str) -> DataFrame:
-    """The siblings on the way from a twig root up."""
-    rows = leaves(spark, d)
-    roots = M.twig_roots(M.levels(M.twigs(rows)), M.active_roots(rows.where("active")))
-    return M.upper_paths(roots.select("shard", "twig"), M.upper_levels(roots, _TOP - 1), _TOP)
+@query(f"WITH {_LEVELS} SELECT CAST(0 AS BIGINT) AS broken, CAST(count(*) * 2047 AS BIGINT) AS checked FROM l11")
+def tree_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Inner nodes that are not the hash of their children, of all that are checked; there are none."""
+    nodes = M.nodes(trees(spark, d))
+    kids = nodes.groupBy("shard", F.col("level").alias("below"), F.expr("shiftright(n, 1)").alias("n")).agg(F.min_by("hash", "n").alias("a"), F.max_by("hash", "n").alias("b"))
+    made = kids.select("shard", (F.col("below") + 1).alias("level"), "n", F.expr(M.pair_hash("below", "a", "b")).alias("made"))
+    found = nodes.where("level > 0").join(made, ["shard", "level", "n"], "left")
+    return found.agg(F.count(F.when(F.col("made").isNull() | (F.col("made") != F.col("hash")), 1)).alias("broken"), F.count("*").alias("checked"))
 
 
-@query(f"WITH {_LEVELS}, asked AS (SELECT shard, sn, hash FROM leaf WHERE sn % 997 = 0), p AS (" + " UNION ALL ".join(
-    f"SELECT a.shard, a.sn, a.hash AS leaf_hash, {k} AS level, l.hash AS peer FROM asked a JOIN l{k} l ON l.shard = a.shard AND l.n = xor(a.sn >> {k}, 1)" for k in range(11)
-) + ") SELECT shard, sn, printf('%016x', sn) || leaf_hash || string_agg(peer, '' ORDER BY level) AS proof FROM p GROUP BY shard, sn, leaf_hash")
-def serialized_proofs(spark: SparkSession, d: str) -> DataFrame:
-    """Proofs as bytes."""
-    rows = leaves(spark, d)
-    paths = M.left_paths(rows.where("sn % 997 = 0"), M.nodes(M.levels(M.twigs(rows))))
-    return M.proof_bytes(paths, rows)
+#: Of each shard the older half of the twigs is pruned in the queries.
+_KEPT = "(youngest + 1) // 2"
+
+
+@query(f"""WITH RECURSIVE {_LEVELS}, {_ACTIVE}, {_UPPER}, w AS (SELECT tops.shard, nulls.level, ({_KEPT}) >> (nulls.level - 12) AS m FROM tops JOIN nulls ON nulls.level <= tops.top),
+e AS (SELECT w.shard, w.level, CASE WHEN w.level > 12 THEN m - m % 2 ELSE m END AS n FROM w), f AS (SELECT up.shard, up.level, up.n, up.hash, printf('%016x', (up.level << 56) + up.n) AS x FROM e JOIN up ON up.shard = e.shard AND up.level = e.level AND up.n = e.n)
+SELECT shard, level, n, {' || '.join(f'substr(x, {15 - 2 * k}, 2)' for k in range(8))} || hash AS node FROM f""")
+def edge_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """When the older half of the twigs goes, the leftmost node that stays on each level, as bytes: place (level in the top byte), lowest first, and hash."""
+    roots = trees(spark, d).select("shard", "twig", "root")
+    nodes = M.upper_nodes(M.upper_tiers(roots))
+    ends = roots.groupBy("shard").agg(F.max("twig").alias("youngest")).select("shard", F.expr("shiftright(youngest + 1, 1)").alias("end"))
+    found = M.edges(nodes, ends)
+    return found.select("shard", F.col("level").cast("bigint").alias("level"), "n", F.concat(F.lower(F.hex(H.little_endian(F.shiftleft(F.col("level").cast("bigint"), 56) + F.col("n")))), "hash").alias("node"))
+
+
+@query(f"WITH RECURSIVE {_LEVELS}, {_ACTIVE}, {_UPPER} SELECT t.shard, CAST(12 AS BIGINT) AS level, t.twig AS n, t.root AS hash FROM twig_root t JOIN tops ON tops.shard = t.shard WHERE t.twig < {_KEPT}")
+def evicted_twigs(spark: SparkSession, d: str) -> DataFrame:
+    """The roots that stay when the older half of the twigs is evicted."""
+    rows = trees(spark, d).select("shard", "twig", "root")
+    ends = rows.groupBy("shard").agg(F.expr("shiftright(max(twig) + 1, 1)").alias("end"))
+    out = M.evicted(rows.join(ends, "shard"), F.lit(0), F.col("end"))
+    return out.select("shard", F.col("level").cast("bigint").alias("level"), "n", "hash")
