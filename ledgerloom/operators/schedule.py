@@ -1,11 +1,13 @@
 """Frames: greedy packing of non-conflicting items, the order in which frames leave, and what that releases.
 
-Packing is order-dependent within a block, so a block is one group; blocks are independent.
+Packing is order-dependent within a block, so a block is one sorted stream through one packer; blocks are independent.
 """
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,53 @@ def bloom_bits(key: str) -> tuple[int, ...]:
     return tuple(number >> 11 * n & 2047 for n in range(5))
 
 
+def tasks_of(items: DataFrame, access: DataFrame, size: int = 4, lanes: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Tasks of ``size`` items of a lane, and their access sets: (height, idx, task) and (height, task, k, w).
+
+    ``items``: height, idx, lane (0 to ``lanes`` - 1). The producers of a block's lanes hand over tasks in turn: the n-th
+    task of lane l has number n * ``lanes`` + l. A task's keys are its items', a write covering a read.
+    """
+    from ..functions.ordered import numbered
+
+    rows = numbered(items.withColumn("_bucket", F.floor(F.col("idx") / 4096)), ["height", "lane"], "_bucket", ["idx"], "_nth").drop("_bucket")
+    placed = rows.select("height", "idx", (F.floor(F.col("_nth") / size) * lanes + F.col("lane")).cast("bigint").alias("task"))
+    sets = access.join(placed, ["height", "idx"]).groupBy("height", "task", "k").agg(F.max("w").alias("w"))
+    return placed, sets
+
+
+def _streamed(access: DataFrame, start, schema: str) -> DataFrame:
+    """Blocks in order through one packer each: rows of one block lie in one partition, sorted, and are read in batches, so
+    that a task holds a block's open frames and output, not its keys. ``start`` gives (take item, finish block)."""
+    rows = access.select("height", "idx", "k", F.col("w").cast("int").alias("w")).repartition("height").sortWithinPartitions("height", "idx", "k")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        block = item = None
+        take, finish, sets = None, None, ([], [])
+
+        def out(found: list[tuple]) -> Iterator[pa.RecordBatch]:
+            for lo in range(0, len(found), 1 << 16):
+                part = list(zip(*found[lo : lo + (1 << 16)], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part[0]), pa.int64()), *[pa.array(c, pa.int32() if n in ("frame", "pos") else pa.int64()) for c, n in zip(part, names[1:], strict=True)]], names)
+
+        for batch in batches:
+            for height, idx, k, w in zip(*(batch.column(c).to_pylist() for c in ("height", "idx", "k", "w")), strict=True):
+                if (height, idx) != (block, item):
+                    if item is not None:
+                        take(item, *sets)
+                    if height != block:
+                        if block is not None:
+                            yield from out(finish())
+                        take, finish = start()
+                    block, item, sets = height, idx, ([], [])
+                sets[w].append(k)
+        if item is not None:
+            take(item, *sets)
+            yield from out(finish())
+
+    return rows.mapInArrow(run, schema)
+
+
 def packed(access: DataFrame, frames: int = FRAMES, full: int = FULL, most_keys: int = MOST_KEYS, bloom: bool = False) -> DataFrame:
     """(height, idx, flush_seq, frame, pos, out_idx, task_out_start) of every item of ``access``(height, idx, k, w).
 
@@ -105,26 +154,18 @@ def packed(access: DataFrame, frames: int = FRAMES, full: int = FULL, most_keys:
     keeps the order: it leaves at the first collision. ``bloom`` decides by Bloom bits instead of keys and may see
     collisions that are none.
     """
-    stands = bloom_bits if bloom else (lambda k: (k,))
-
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        packer, known, now, sets = Packer(frames, full, most_keys), {}, None, ([], [])
-        rows = block.sort_values(["idx", "k"])
-        for idx, k, w in zip(rows.idx.tolist(), rows.k.tolist(), rows.w.tolist(), strict=True):
-            if idx != now:
-                if now is not None:
-                    packer.add(now, *sets)
-                now, sets = idx, ([], [])
+
+    def start() -> tuple:
+        packer, known = Packer(frames, full, most_keys), {}
+
+        def places(k: str) -> tuple:
             if k not in known:
-                known[k] = stands(k)
-            sets[w].append(known[k])
-        if now is not None:
-            packer.add(now, *sets)
-        out = pd.DataFrame(packer.close(), columns=["idx", "flush_seq", "frame", "pos", "out_idx", "task_out_start"])
-        out.insert(0, "height", int(block.height.iloc[0]))
-        return out
+                known[k] = bloom_bits(k) if bloom else (k,)
+            return known[k]
 
-    return access.groupBy("height").applyInPandas(run, SCHEMA)
+        return (lambda item, reads, writes: packer.add(item, [places(k) for k in reads], [places(k) for k in writes])), packer.close
+
+    return _streamed(access, start, SCHEMA)
 
 
 def thinned(access: DataFrame, frames: int = 2 * FRAMES) -> DataFrame:
@@ -133,16 +174,47 @@ def thinned(access: DataFrame, frames: int = 2 * FRAMES) -> DataFrame:
     This is how a mempool is drained when a block is final: what collides with everything must be sent again.
     """
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        packer, out = Packer(frames, 1 << 30), []
-        for idx, rows in block.sort_values(["idx", "k"]).groupby("idx", sort=True):
-            sets = [[bloom_bits(k) for k, w in zip(rows.k, rows.w, strict=True) if w == kind] for kind in (0, 1)]
-            f = packer.offer(int(idx), *sets)
+    def start() -> tuple:
+        packer, found = Packer(frames, 1 << 30), []
+
+        def take(item: int, reads: list, writes: list) -> None:
+            f = packer.offer(item, [bloom_bits(k) for k in reads], [bloom_bits(k) for k in writes])
             if f is not None:
-                out.append((int(block.height.iloc[0]), int(idx), f))
-        return pd.DataFrame(out, columns=["height", "idx", "frame"])
+                found.append((item, f))
 
-    return access.groupBy("height").applyInPandas(run, "height long, idx long, frame int")
+        return take, lambda: found
+
+    return _streamed(access, start, "height long, idx long, frame int")
+
+
+def finalized(proposed: DataFrame, arrived: DataFrame, included: DataFrame, frames: int = 2 * FRAMES) -> DataFrame:
+    """What becomes of the pools when a block is final: (height, idx, fate) of every transaction of ``proposed`` and ``arrived``.
+
+    ``proposed`` and ``arrived``: access rows (height, idx, k, w) of the pool that the block was proposed from, and of what
+    came meanwhile; ``included``: (height, idx) of the block. What the block includes is ``done``. The rest of the
+    proposed pool moves to the draining pool and is thinned: what finds a frame is ``kept``, the others are ``dropped``,
+    to be sent again. What had arrived is offered anew and stays ``pending``.
+    """
+    left = proposed.join(included.select("height", "idx"), ["height", "idx"], "left_anti")
+    kept = thinned(left, frames).select("height", "idx", F.lit("kept").alias("fate"))
+    rest = left.select("height", "idx").distinct().join(kept, ["height", "idx"], "left").select("height", "idx", F.coalesce("fate", F.lit("dropped")).alias("fate"))
+    done = proposed.select("height", "idx").distinct().join(included.select("height", "idx"), ["height", "idx"], "left_semi").select("height", "idx", F.lit("done").alias("fate"))
+    came = arrived.select("height", "idx").distinct().join(proposed.select("height", "idx").distinct(), ["height", "idx"], "left_anti")
+    return rest.unionByName(done).unionByName(came.select("height", "idx", F.lit("pending").alias("fate")))
+
+
+def in_order(transfers: DataFrame, balances: DataFrame) -> DataFrame:
+    """Transfers of each task executed in order: (height, task, idx, ok, before): whether the caller could pay, and what it had.
+
+    ``transfers``: height, task, idx, caller, amount; ``balances``: height, caller, balance at the start. Within a task a
+    transaction sees what the earlier ones left; one that cannot pay changes nothing. A task is a few transactions, so
+    its callers' histories are bounded arrays, folded in the JVM.
+    """
+    rows = transfers.join(balances, ["height", "caller"], "left").withColumn("balance", F.coalesce("balance", F.lit(0).cast("bigint")))
+    each = rows.groupBy("height", "task", "caller").agg(F.sort_array(F.collect_list(F.struct("idx", "amount"))).alias("l"), F.first("balance").alias("balance"))
+    step = "(a, x) -> struct(CASE WHEN x.amount <= a.left THEN a.left - x.amount ELSE a.left END AS left, concat(a.done, array(struct(x.idx AS idx, x.amount <= a.left AS ok, a.left AS before))) AS done)"
+    folded = F.expr(f"aggregate(l, struct(balance AS left, cast(array() AS array<struct<idx:bigint,ok:boolean,before:bigint>>) AS done), {step}, a -> a.done)")
+    return each.select("height", "task", F.explode(folded).alias("r")).select("height", "task", "r.idx", "r.ok", "r.before")
 
 
 def flush_order(frames: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ from ..functions.ordered import running_sum
 
 #: Bytes before key and value, of the next key hash, of version and serial number, of one dead number; alignment.
 HEAD, NEXT, NUMBERS, DEAD, ALIGN = 5, 32, 16, 8, 8
+#: Fixed value: bytes that an appended entry may have.
+MOST_BYTES = 1 << 14
+#: Fixed value: an index unit is worth merging when so many times its erased and unmerged entries exceed its size.
+INDEX_RATIO = 30
 #: Fixed value: sentries of all shards, one for each pair of leading hash bytes.
 SENTRIES = 1 << 16
 
@@ -21,6 +25,25 @@ def entry_length(key: F.Column, value: F.Column, dead: F.Column) -> F.Column:
     return (F.ceil(raw / ALIGN) * ALIGN).cast("bigint")
 
 
+def entry_record(key: F.Column, value: F.Column, next_hash: F.Column, version: F.Column, number: F.Column, dead: F.Column) -> F.Column:
+    """A serialized entry as BINARY: lengths of key (one byte) and value (three), the count of dead numbers, key, value,
+    next key hash, version, number, dead numbers, zeros up to the alignment. Numbers are eight bytes, lowest first.
+    ``dead``: ARRAY<BIGINT>. A longer entry than ``MOST_BYTES`` or key than 255 bytes is an error."""
+    each = F.concat(F.unhex(F.lit("")), F.unhex(F.array_join(F.transform(dead, lambda x: F.hex(H.little_endian(x))), "")))
+    body = F.concat(H.little_endian(F.octet_length(value) * 256 + F.octet_length(key), 4), H.little_endian(F.size(dead), 1), key, value, next_hash, H.little_endian(version), H.little_endian(number), each)
+    padded = F.unhex(F.rpad(F.hex(body), (F.ceil(F.octet_length(body) / ALIGN) * ALIGN * 2).cast("int"), "0"))
+    sound = (F.octet_length(padded) <= MOST_BYTES) & (F.octet_length(key) <= 255)
+    return F.when(sound, padded).otherwise(F.raise_error(F.concat_ws(" ", F.lit("an entry of"), F.octet_length(padded), F.lit("bytes"))).cast("binary"))
+
+
+def record_payload(record: F.Column) -> F.Column:
+    """A serialized entry without its padding: what its hash is made of."""
+    text = F.hex(record)
+    at = lambda k: H.hex_int(F.substring(text, 2 * k + 1, 2))
+    size = HEAD + at(0) + at(1) + at(2) * 256 + at(3) * 65536 + NEXT + NUMBERS + at(4) * DEAD
+    return F.substring(record, F.lit(1), size.cast("int"))
+
+
 def positioned(entries: DataFrame) -> DataFrame:
     """Appended entries with len and pos, the running sum of lengths in their shard."""
     kept = entries.where("sn IS NOT NULL")
@@ -72,6 +95,34 @@ def predecessors(probes: DataFrame, key_hashes: DataFrame) -> DataFrame:
     return rows.withColumn("prev_hash", before).where("is_probe = 1").select(F.col("key_hash").alias("probe_hash"), "prev_hash")
 
 
+def chain_predecessors(asked: DataFrame, chain: DataFrame) -> DataFrame:
+    """(key_hash, prev_hash): of a ``chained`` table the entries whose successors are the asked key hashes."""
+    return asked.select("key_hash").join(chain.select(F.col("key_hash").alias("prev_hash"), F.col("next_key_hash").alias("key_hash")), "key_hash")
+
+
+def index_compactible(erased: F.Column, unmerged: F.Column, size: F.Column) -> F.Column:
+    return (erased + unmerged) * INDEX_RATIO > size
+
+
+def compacted(live: DataFrame, entries: DataFrame, threshold: int, ratio: int, div: int, mutations: int) -> DataFrame:
+    """What compaction appends in ``mutations`` mutations, two entries in each while the shard is worth compacting: the
+    oldest active entries again, with the same key, value and version, the next numbers, and the numbers they supersede.
+
+    An entry moved leaves as many active ones, takes the log's end one on and its start to the next active entry; so the
+    test before the i-th pair depends on the entry that is then the oldest, and all moves follow from one order.
+    """
+    from ..functions.bits import compactible
+
+    size = entries.where("sn IS NOT NULL").groupBy("shard").agg((F.max("sn") + 1).alias("sn_end"))
+    use = live.groupBy("shard").agg(F.count("*").alias("active")).join(size, "shard")
+    oldest = live.withColumn("nth", F.row_number().over(Window.partitionBy("shard").orderBy("sn")) - 1).where(F.col("nth") < 2 * mutations).join(use, "shard")
+    worth = compactible(F.col("active"), F.col("sn"), F.col("sn_end") + F.col("nth"), threshold, ratio, div)
+    stops = oldest.where((F.col("nth") % 2 == 0) & ~worth).groupBy("shard").agg(F.min("nth").alias("stop"))
+    moved = oldest.join(stops, "shard", "left").where(F.col("stop").isNull() | (F.col("nth") < F.col("stop")))
+    moved = moved.withColumn("dead_sn", F.col("sn")).withColumn("sn", (F.col("sn_end") + F.col("nth")).cast("bigint"))
+    return moved.drop("nth", "active", "sn_end", "stop")
+
+
 def compaction_candidates(live: DataFrame, entries: DataFrame, threshold: int, ratio: int, div: int, batch: int) -> DataFrame:
     """The ``batch`` oldest active entries of every shard that is worth compacting, with the number they get."""
     from ..functions.bits import compactible

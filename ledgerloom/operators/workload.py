@@ -6,14 +6,22 @@ partition that starts at n jumps there once. No row waits for the one before it.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Tap positions (bits that a set lowest bit flips) of registers of 5 to 16 and 63 bits, maximal period.
-TAPS = {5: (5, 4, 3, 2), 6: (6, 5, 3, 2), 7: (7, 6, 5, 4), 8: (8, 6, 5, 4), 9: (9, 8, 6, 5), 10: (10, 9, 7, 6), 11: (11, 10, 9, 7), 12: (12, 11, 8, 6), 13: (13, 12, 10, 9), 14: (14, 13, 11, 9), 15: (15, 14, 13, 11), 16: (16, 14, 13, 11), 63: (63, 62, 59, 58)}
+#: Tap positions (bits that a set lowest bit flips) of registers of 5 to 63 bits, maximal period.
+TAPS = {
+    5: (5, 4, 3, 2), 6: (6, 5, 3, 2), 7: (7, 6, 5, 4), 8: (8, 6, 5, 4), 9: (9, 8, 6, 5), 10: (10, 9, 7, 6), 11: (11, 10, 9, 7), 12: (12, 11, 8, 6), 13: (13, 12, 10, 9), 14: (14, 13, 11, 9),
+    15: (15, 14, 13, 11), 16: (16, 14, 13, 11), 17: (17, 16, 15, 14), 18: (18, 17, 16, 13), 19: (19, 18, 17, 14), 20: (20, 19, 16, 14), 21: (21, 20, 19, 16), 22: (22, 19, 18, 17), 23: (23, 22, 20, 18),
+    24: (24, 23, 21, 20), 25: (25, 24, 23, 22), 26: (26, 25, 24, 20), 27: (27, 26, 25, 22), 28: (28, 27, 24, 22), 29: (29, 28, 27, 25), 30: (30, 29, 26, 24), 31: (31, 30, 29, 28), 32: (32, 30, 26, 25),
+    33: (33, 32, 29, 27), 34: (34, 31, 30, 26), 35: (35, 34, 28, 27), 36: (36, 35, 29, 28), 37: (37, 36, 33, 31), 38: (38, 37, 33, 32), 39: (39, 38, 35, 32), 40: (40, 37, 36, 35), 41: (41, 40, 39, 38),
+    42: (42, 40, 37, 35), 43: (43, 42, 38, 37), 44: (44, 42, 39, 38), 45: (45, 44, 42, 41), 46: (46, 40, 39, 38), 47: (47, 46, 43, 42), 48: (48, 44, 41, 39), 49: (49, 45, 44, 43), 50: (50, 48, 47, 46),
+    51: (51, 50, 48, 45), 52: (52, 51, 49, 46), 53: (53, 52, 51, 47), 54: (54, 51, 48, 46), 55: (55, 54, 53, 49), 56: (56, 54, 52, 49), 57: (57, 55, 54, 52), 58: (58, 57, 53, 52), 59: (59, 57, 55, 52),
+    60: (60, 58, 56, 55), 61: (61, 60, 59, 56), 62: (62, 59, 57, 56), 63: (63, 62, 59, 58),
+}
 SCHEMA = "i long, state long"
 
 
@@ -68,6 +76,25 @@ def accounts(draws: DataFrame, wide: DataFrame, group_size: int) -> DataFrame:
     return both.select("i", (F.col("state") * group_size + F.col("wide") % group_size - group_size + 1).cast("bigint").alias("account"))
 
 
+def chained_random(seed: bytes, source: bytes, count: int) -> list[int]:
+    """Deterministic numbers for tests: each is the first eight bytes of a hash of the last hash and the next 32 bytes of ``source``, read in a circle."""
+    from hashlib import blake2b
+
+    last, at, out = blake2b(seed).digest(), 0, []
+    for _ in range(count):
+        part = source[at : at + 32]
+        at = at + len(part) if at + len(part) < len(source) else 0
+        last = blake2b(last + part).digest()
+        out.append(int.from_bytes(last[:8], "little"))
+    return out
+
+
+def replayed_transfers(parsed: DataFrame, account: Callable[[F.Column], F.Column]) -> DataFrame:
+    """(tx_id, src, dst) of the plain value transfers of a parsed trace: value other than zero, no call data, a recipient."""
+    plain = ~F.coalesce("value", F.lit("0x0")).isin("0x0", "0") & (F.regexp_replace(F.coalesce("input", F.lit("")), "^(0x)+", "") == "") & F.col("to").isNotNull()
+    return parsed.where(plain).select("tx_id", account(F.col("from")).alias("src"), account(F.col("to")).alias("dst"))
+
+
 def uniform(key: F.Column, salt: str) -> F.Column:
     """A number in [0, 2^31) from a hash of the key, so that rows are drawn independently and alike in every run."""
     return F.conv(F.substring(F.md5(F.concat(key.cast("string"), F.lit(salt))), 1, 8), 16, 10).cast("bigint") % (1 << 31)

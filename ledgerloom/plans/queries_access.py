@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits, hashing as H
 from ..operators import access as A
 from ..operators import metrics, schedule
+from ..shared import cut
 from ..sources import views as V
 from .registry import query
-from .sqltext import ACCESS, TX
+from .sqltext import ACCESS, ACCOUNT, TX
 
 
 @query(f"""WITH {ACCESS}
@@ -21,11 +22,11 @@ LEFT JOIN (SELECT a.height AS h, a.idx AS i, max(b.idx) AS m FROM access a JOIN
 ON c.h = t.height AND c.i = t.idx""")
 def precedence(spark: SparkSession, d: str) -> DataFrame:
     """The earliest execution index of every transaction."""
-    return A.precedence(V.tx(spark, d), V.access(spark, d))
+    return A.precedence(A.standing_frames(V.tx(spark, d).select("height", "idx")), V.access(spark, d))
 
 
 @query(f"""WITH {ACCESS} SELECT DISTINCT a.height, a.idx AS i, b.idx AS j FROM access a JOIN access b
-ON a.height = b.height AND a.k = b.k AND b.idx < a.idx AND b.idx >= a.idx - 128 WHERE a.w = 1 OR b.w = 1""")
+ON a.height = b.height AND a.k = b.k AND b.idx < a.idx WHERE a.w = 1 OR b.w = 1""")
 def conflict_join(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of transactions that share a key which one of them writes."""
     return A.collisions(V.access(spark, d))
@@ -49,34 +50,34 @@ def bloom_probe_bits(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("height", "idx", "h", *[p.cast("bigint").alias(f"b{n}") for n, p in enumerate(bits.probes(F.col("h")))])
 
 
-@query(f"""WITH {ACCESS}, n AS (SELECT height, idx // 64 AS frame, w, CAST('0x' || substr(sha256(k), 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(sha256(k), 9, 8) AS BIGINT) AS lo FROM access),
-bits AS (SELECT height, frame, w, unnest([lo & 2047, (lo >> 11) & 2047, ((lo >> 22) | (hi << 10)) & 2047, (hi >> 1) & 2047, (hi >> 12) & 2047]) AS bit FROM n)
-SELECT height, w, CAST(bit AS BIGINT) AS bit, CAST(bit_or(1::BIGINT << frame) AS BIGINT) AS frames FROM bits GROUP BY height, w, bit""")
+#: Frames of the Bloom queries, of 16 items, so that large blocks have more than a word of them.
+_NUMBERS = "n AS (SELECT height, idx, idx // 16 AS frame, w, k, CAST('0x' || substr(sha256(k), 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(sha256(k), 9, 8) AS BIGINT) AS lo FROM access)"
+_BITS = "unnest([lo & 2047, (lo >> 11) & 2047, ((lo >> 22) | (hi << 10)) & 2047, (hi >> 1) & 2047, (hi >> 12) & 2047]) AS bit"
+#: A frame's bit within its word, the highest being the sign.
+_ONE = "CASE WHEN frame % 64 = 63 THEN (-9223372036854775808)::BIGINT ELSE 1::BIGINT << (frame % 64)::INT END"
+
+
+def _framed(spark: SparkSession, d: str) -> DataFrame:
+    return V.access(spark, d).select("height", "idx", "w", F.floor(F.col("idx") / 16).cast("int").alias("frame"), H.short_hash(F.col("k")).alias("h"))
+
+
+@query(f"""WITH {ACCESS}, {_NUMBERS}, bits AS (SELECT height, frame, w, {_BITS} FROM n)
+SELECT height, CAST(frame // 64 AS INT) AS word, w, CAST(bit AS BIGINT) AS bit, CAST(bit_or({_ONE}) AS BIGINT) AS frames FROM bits GROUP BY height, frame // 64, w, bit""")
 def bloom_frames(spark: SparkSession, d: str) -> DataFrame:
-    """For each Bloom bit the mask of frames (of 64 transactions) that have it set."""
-    rows = V.access(spark, d).select("height", "w", F.floor(F.col("idx") / 64).cast("int").alias("frame"), H.short_hash(F.col("k")).alias("h"))
-    flat = rows.select("height", "w", "frame", F.explode(F.array(*bits.probes(F.col("h")))).alias("bit"))
-    return flat.groupBy("height", "w", "bit").agg(F.expr("bit_or(shiftleft(1L, frame))").alias("frames"))
-
-
-@query(f"""WITH {ACCESS}, n AS (SELECT height, idx, idx // 64 AS frame, w, CAST('0x' || substr(sha256(k), 1, 8) AS BIGINT) AS hi, CAST('0x' || substr(sha256(k), 9, 8) AS BIGINT) AS lo FROM access),
-flat AS (SELECT height, idx, frame, w, hi, lo, unnest([lo & 2047, (lo >> 11) & 2047, ((lo >> 22) | (hi << 10)) & 2047, (hi >> 1) & 2047, (hi >> 12) & 2047]) AS bit FROM n),
-masks AS (SELECT height, w, bit, bit_or(1::BIGINT << frame) AS frames FROM flat GROUP BY ALL),
-probe AS (SELECT f.height, f.idx, f.w AS mine, f.hi, f.lo, o.w AS theirs, bit_and(coalesce(m.frames, 0)) AS frames FROM flat f CROSS JOIN (VALUES (0), (1)) o(w)
-  LEFT JOIN masks m ON m.height = f.height AND m.bit = f.bit AND m.w = o.w WHERE f.w = 1 OR o.w = 1 GROUP BY ALL)
-SELECT height, idx, CAST(bit_or(frames) AS BIGINT) AS mask FROM probe GROUP BY height, idx""")
+    """For each Bloom bit the masks of frames (of 16 transactions, 64 frames a word) that have it set."""
+    return A.frame_masks(_framed(spark, d))
+
+
+@query(f"""WITH {ACCESS}, {_NUMBERS}, flat AS (SELECT height, idx, frame, w, k, {_BITS} FROM n), masks AS (SELECT height, w, bit, frame // 64 AS word, bit_or({_ONE}) AS frames FROM flat GROUP BY ALL),
+probe AS (SELECT f.height, f.idx, f.k, m.w AS theirs, m.word, bit_and(m.frames) AS frames FROM flat f JOIN masks m ON m.height = f.height AND m.bit = f.bit WHERE f.w = 1 OR m.w = 1 GROUP BY ALL HAVING count(*) = 5)
+SELECT height, idx, CAST(word AS INT) AS word, CAST(bit_or(frames) AS BIGINT) AS mask FROM probe WHERE frames <> 0 GROUP BY height, idx, word""")
 def bloom_dependencies(spark: SparkSession, d: str) -> DataFrame:
     """Which frames an access set may collide with: its reads against writes, its writes against both."""
-    rows = V.access(spark, d).select("height", "idx", "w", F.floor(F.col("idx") / 64).cast("int").alias("frame"), H.short_hash(F.col("k")).alias("h"))
-    flat = rows.select("*", F.explode(F.array(*bits.probes(F.col("h")))).alias("bit"))
-    masks = flat.groupBy("height", F.col("w").alias("theirs"), "bit").agg(F.expr("bit_or(shiftleft(1L, frame))").alias("frames"))
-    asks = flat.select("height", "idx", "w", "h", "bit", F.explode(F.when(F.col("w") == 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("theirs"))
-    probed = asks.join(masks, ["height", "theirs", "bit"], "left").groupBy("height", "idx", "w", "h", "theirs").agg(F.bit_and(F.coalesce("frames", F.lit(0).cast("bigint"))).alias("frames"))
-    return probed.groupBy("height", "idx").agg(F.bit_or("frames").alias("mask"))
+    return A.dependency_masks(_framed(spark, d))
 
 
 @query(f"""WITH {ACCESS}, touched AS (SELECT height, idx, k, CASE WHEN idx % 10 = 0 THEN 1 ELSE w END AS w FROM access)
-SELECT t.height, t.idx, t.k, t.w FROM touched t WHERE t.w = 1 AND NOT EXISTS (SELECT 1 FROM access a WHERE a.height = t.height AND a.idx = t.idx AND a.k = t.k AND a.w = 1)""")
+SELECT t.height, t.idx, t.k, t.w FROM (SELECT * FROM touched WHERE w = 1) t ANTI JOIN (SELECT height, idx, k FROM access WHERE w = 1) a ON a.height = t.height AND a.idx = t.idx AND a.k = t.k""".replace("access AS (", "access AS MATERIALIZED (", 1))
 def write_enforcement(spark: SparkSession, d: str) -> DataFrame:
     """P10: writes of keys that were only declared for reading."""
     declared = V.access(spark, d)
@@ -85,7 +86,7 @@ def write_enforcement(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {ACCESS}, declared AS (SELECT * FROM access WHERE NOT (substr(k, 1, 1) = 's' AND idx % 7 = 0))
-SELECT a.height, a.idx, a.k, a.w FROM access a WHERE NOT EXISTS (SELECT 1 FROM declared d WHERE d.height = a.height AND d.idx = a.idx AND d.k = a.k)""")
+SELECT a.height, a.idx, a.k, a.w FROM access a ANTI JOIN declared d ON d.height = a.height AND d.idx = a.idx AND d.k = a.k""".replace("access AS (", "access AS MATERIALIZED (", 1))
 def access_enforcement(spark: SparkSession, d: str) -> DataFrame:
     """Touched keys that were not declared at all."""
     touched = V.access(spark, d)
@@ -119,35 +120,74 @@ def caller_lanes(spark: SparkSession, d: str) -> DataFrame:
     return numbered(rows, ["height", "lane"], "block", ["idx"], "nth").select("height", "lane", "idx", F.floor(F.col("nth") / 4).cast("bigint").alias("task"))
 
 
+def _tasks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Tasks of four transactions of a caller's lane, and their access sets, the task's number as idx."""
+    lane = (H.hex_int(F.right(F.sha2("caller", 256), F.lit(2))) % 4).cast("int")
+    placed, sets = schedule.tasks_of(V.tx(spark, d).select("height", "idx", lane.alias("lane")), V.access(spark, d))
+    return placed, sets.withColumnRenamed("task", "idx")
+
+
+def _packed_tasks(spark: SparkSession, d: str) -> DataFrame:
+    return schedule.packed(_tasks(spark, d)[1])
+
+
 @query()
 def frame_packing(spark: SparkSession, d: str) -> DataFrame:
-    """First-fit frames over exact key sets."""
-    return schedule.packed(V.access(spark, d))
+    """First-fit frames of tasks over exact key sets."""
+    return _packed_tasks(spark, d)
 
 
 @query()
 def frame_packing_bloom(spark: SparkSession, d: str) -> DataFrame:
     """G1 with Bloom bits instead of keys: some collisions are none."""
-    return schedule.packed(V.access(spark, d), bloom=True)
+    return schedule.packed(_tasks(spark, d)[1], bloom=True)
 
 
 @query()
 def frame_packing_single(spark: SparkSession, d: str) -> DataFrame:
     """One frame, which leaves at the first collision and keeps the order."""
-    return schedule.packed(V.access(spark, d), frames=1)
+    return schedule.packed(_tasks(spark, d)[1], frames=1)
 
 
-@query("SELECT CAST(0 AS BIGINT) AS collisions, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS lost")
+@query(f"""WITH {TX}, lanes AS (SELECT height, CAST(('0x' || right(sha256(caller), 2)) AS INT) % 4 AS lane, row_number() OVER (PARTITION BY height, CAST(('0x' || right(sha256(caller), 2)) AS INT) % 4 ORDER BY idx) - 1 AS nth FROM tx)
+SELECT CAST(0 AS BIGINT) AS collisions, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS lost, count(DISTINCT (height, lane, nth // 4)) AS tasks FROM lanes""")
 def frame_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """No two items of a frame collide, numbering follows flush order, every item is in one frame: all counts are zero."""
-    rows = V.access(spark, d)
-    frames = schedule.packed(rows)
+    """No two tasks of a frame collide, numbering follows flush order, every task is in one frame: of all tasks none are wrong."""
+    rows = _tasks(spark, d)[1]
+    frames = cut(schedule.packed(rows), "frames")
     again = schedule.flush_order(frames.select("height", "idx", "flush_seq", "pos")).select("height", "idx", F.col("out_idx").alias("o"), F.col("task_out_start").alias("s"))
     wrong = frames.join(again, ["height", "idx"]).where("o <> out_idx OR s <> task_out_start").agg(F.count("*").alias("misplaced"))
-    lost = rows.select("height", "idx").distinct().join(frames.groupBy("height", "idx").count(), ["height", "idx"], "left").where("`count` IS NULL OR `count` <> 1").agg(F.count("*").alias("lost"))
+    every = rows.select("height", "idx").distinct().join(frames.groupBy("height", "idx").count(), ["height", "idx"], "left")
+    lost = every.agg(F.count(F.when(F.col("count").isNull() | (F.col("count") != 1), 1)).alias("lost"), F.count("*").alias("tasks"))
     return schedule.frame_collisions(frames, rows).agg(F.count("*").alias("collisions")).crossJoin(wrong).crossJoin(lost)
 
 
+@query()
+def packed_precedence(spark: SparkSession, d: str) -> DataFrame:
+    """J12 over packed frames: the earliest execution index of every task by its place in the output."""
+    rows = _tasks(spark, d)[1]
+    frames = cut(schedule.packed(rows), "frames")
+    items = frames.select("height", F.col("out_idx").alias("idx"), F.col("task_out_start").alias("start"))
+    placed = rows.join(frames.select("height", "idx", "out_idx"), ["height", "idx"]).select("height", F.col("out_idx").alias("idx"), "k", "w")
+    return A.precedence(items, placed)
+
+
+@query(f"""WITH {TX}, lanes AS (SELECT height, CAST(('0x' || right(sha256(caller), 2)) AS INT) % 4 AS lane, row_number() OVER (PARTITION BY height, CAST(('0x' || right(sha256(caller), 2)) AS INT) % 4 ORDER BY idx) - 1 AS nth FROM tx),
+t AS (SELECT height, count(DISTINCT (lane, nth // 4)) AS tasks, count(*) AS txns FROM lanes GROUP BY height) SELECT height, tasks, txns, CAST(0 AS BIGINT) AS late, CAST(0 AS BIGINT) AS wrong FROM t""")
+def precedence_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """J12 over packed frames: no task waits for itself, its own frame or a later one (late), and none that waits for an
+    earlier task has a nearer collider outside its frame (wrong), found by joining holders of keys."""
+    placed, rows = _tasks(spark, d)
+    frames = cut(schedule.packed(rows), "frames")
+    items = cut(frames.select("height", F.col("out_idx").alias("idx"), F.col("task_out_start").alias("start")), "frames")
+    access = cut(rows.join(frames.select("height", "idx", "out_idx"), ["height", "idx"]).select("height", F.col("out_idx").alias("idx"), "k", "w"), "frames")
+    waits = A.precedence(items, access).join(items, ["height", "idx"])
+    pairs = A.collisions(access).select("height", F.col("i").alias("idx"), "j").join(items, ["height", "idx"]).where("j < start AND j >= greatest(0, idx - 128)").groupBy("height", "idx").agg(F.max("j").alias("near"))
+    both = waits.join(pairs, ["height", "idx"], "left")
+    checked = both.groupBy("height").agg(F.count("*").alias("tasks"), F.count(F.when((F.col("eei") >= F.col("start")) & (F.col("start") > 0), 1)).alias("late"), F.count(F.when((F.col("start") > 0) & F.col("near").isNotNull() & (F.col("near") != F.col("eei")), 1)).alias("wrong"))
+    return checked.join(placed.groupBy("height").agg(F.count("*").alias("txns")), "height").select("height", "tasks", "txns", "late", "wrong")
+
+
 @query(f"""WITH {TX}, frames AS (SELECT height, idx, idx // 64 AS flush_seq, idx % 64 AS pos FROM tx)
 SELECT height, idx, CAST(row_number() OVER (PARTITION BY height ORDER BY flush_seq, pos) - 1 AS BIGINT) AS out_idx, CAST(flush_seq * 64 AS BIGINT) AS task_out_start FROM frames""")
 def frame_flush_order(spark: SparkSession, d: str) -> DataFrame:
@@ -156,11 +196,12 @@ def frame_flush_order(spark: SparkSession, d: str) -> DataFrame:
     return schedule.flush_order(frames).select("height", "idx", "out_idx", "task_out_start")
 
 
-@query(f"""WITH {TX}, frames AS (SELECT height, idx // 64 AS f, count(*) AS n FROM tx GROUP BY ALL)
-SELECT height, count(*) AS frames, CAST(sum(n) AS BIGINT) AS tasks, round(sum(n) / count(*), 6) AS per_frame FROM frames GROUP BY height""")
+@query()
 def frame_parallelism(spark: SparkSession, d: str) -> DataFrame:
-    """Frames, items and items per frame of every block."""
-    return metrics.parallelism(V.tx(spark, d).select("height", F.floor(F.col("idx") / 64).alias("flush_seq")))
+    """Packed frames, tasks and transactions of every block, and tasks and transactions per frame."""
+    placed, rows = _tasks(spark, d)
+    txns = placed.groupBy("height").agg(F.count("*").alias("txns"))
+    return metrics.parallelism(schedule.packed(rows)).join(txns, "height").withColumn("txns_per_frame", F.round(F.col("txns") / F.col("frames"), 6))
 
 
 @query(f"""WITH {TX}, t AS (SELECT height, idx, NOT (tx_id % 97 = 0) AS done FROM tx)
@@ -180,28 +221,59 @@ def warmed_batches(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {ACCESS}, waits AS (SELECT t.height, t.idx, coalesce(max(b.idx), -1) AS eei FROM tx t LEFT JOIN access a ON a.height = t.height AND a.idx = t.idx
   LEFT JOIN access b ON b.height = a.height AND b.k = a.k AND (a.w = 1 OR b.w = 1) AND b.idx < (a.idx // 64) * 64 AND b.idx >= greatest(a.idx - 128, 0) GROUP BY ALL)
-SELECT height, CAST(eei AS BIGINT) AS eei, count(*) AS released, CAST(min(idx) AS BIGINT) AS first_idx FROM waits GROUP BY height, eei""")
+SELECT height, CAST(eei AS BIGINT) AS eei, count(*) AS released, string_agg(idx, ',' ORDER BY idx) AS items FROM waits GROUP BY height, eei""")
 def ignition_lists(spark: SparkSession, d: str) -> DataFrame:
-    """How many items each finished item releases."""
-    waits = V.tx(spark, d).select("height", "idx").join(A.latest_colliders(V.access(spark, d)), ["height", "idx"], "left").withColumn("eei", F.coalesce("m", F.lit(-1).cast("bigint")))
-    return waits.groupBy("height", "eei").agg(F.count("*").alias("released"), F.min("idx").alias("first_idx"))
+    """The items that each finished item releases."""
+    items = A.standing_frames(V.tx(spark, d).select("height", "idx"))
+    framed = V.access(spark, d).join(items, ["height", "idx"])
+    waits = items.join(A.latest_colliders(framed), ["height", "idx"], "left").withColumn("eei", F.coalesce("m", F.lit(-1).cast("bigint")))
+    return waits.groupBy("height", "eei").agg(F.count("*").alias("released"), F.array_join(F.sort_array(F.collect_list("idx")), ",").alias("items"))
 
 
-@query(f"""WITH {ACCESS}, m AS (SELECT height, k, CAST(bit_or(1::BIGINT << (idx // 64)) AS BIGINT) AS frames FROM access WHERE w = 1 GROUP BY ALL),
-f AS (SELECT height, idx, bit_or(coalesce(frames, 0)) AS mask FROM access LEFT JOIN m USING (height, k) GROUP BY ALL)
-SELECT height, idx, CAST(bit_count((xor(mask, -1)::BIGINT & (mask + 1)) - 1) AS BIGINT) AS frame FROM f""")
+@query(f"""WITH {ACCESS}, h AS (SELECT DISTINCT height, k, idx // 16 AS frame FROM access WHERE w = 1), busy AS (SELECT DISTINCT a.height, a.idx, h.frame FROM access a JOIN h ON h.height = a.height AND h.k = a.k),
+r AS (SELECT height, idx, frame, row_number() OVER (PARTITION BY height, idx ORDER BY frame) - 1 AS nth FROM busy)
+SELECT t.height, t.idx, CAST(coalesce(max(r.frame) FILTER (r.frame = r.nth) + 1, 0) AS BIGINT) AS frame FROM tx t LEFT JOIN r ON r.height = t.height AND r.idx = t.idx GROUP BY t.height, t.idx""")
 def first_open_frame(spark: SparkSession, d: str) -> DataFrame:
-    """The lowest zero bit of an item's conflict mask."""
-    rows = V.access(spark, d)
-    masks = rows.where("w = 1").groupBy("height", "k").agg(F.expr("bit_or(shiftleft(1L, cast(idx div 64 AS int)))").alias("frames"))
-    mask = rows.join(masks, ["height", "k"], "left").groupBy("height", "idx").agg(F.bit_or(F.coalesce("frames", F.lit(0).cast("bigint"))).alias("mask"))
-    return mask.select("height", "idx", F.expr("cast(bit_count(((~mask) & (mask + 1)) - 1) AS bigint)").alias("frame"))
+    """The lowest zero bit over the words of an item's conflict mask (frames of 16 items)."""
+    rows = V.access(spark, d).withColumn("frame", F.floor(F.col("idx") / 16))
+    masks = rows.where("w = 1").groupBy("height", "k", F.shiftright("frame", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(frame & 63 AS int)))").alias("frames"))
+    mask = rows.join(masks, ["height", "k"]).groupBy("height", "idx", "word").agg(F.bit_or("frames").alias("mask"))
+    # of words without a gap from the first on, those that are full
+    nth = F.row_number().over(Window.partitionBy("height", "idx").orderBy("word")) - 1
+    gaps = mask.withColumn("nth", nth).withColumn("open", F.when(F.col("word") != F.col("nth"), F.col("nth") * 64).when(F.col("mask") != -1, F.col("word") * 64 + F.expr("bit_count(((~mask) & (mask + 1)) - 1)")))
+    first = gaps.groupBy("height", "idx").agg(F.coalesce(F.min("open"), F.count("*") * 64).alias("frame"))
+    return V.tx(spark, d).select("height", "idx").join(first, ["height", "idx"], "left").select("height", "idx", F.coalesce("frame", F.lit(0)).cast("bigint").alias("frame"))
 
 
 @query()
 def mempool_drain(spark: SparkSession, d: str) -> DataFrame:
-    """What is kept of a pool when a block is final."""
-    return schedule.thinned(V.access(spark, d))
+    """What becomes of a block's pools when it is final: every third transaction was included, every eleventh came meanwhile."""
+    rows = V.access(spark, d)
+    late = (F.col("idx") % 11) == 10
+    return schedule.finalized(rows.where(~late), rows.where(late), rows.where(F.col("idx") % 3 == 0).select("height", "idx").distinct())
+
+
+@query(f"""WITH {ACCESS}, t AS (SELECT height, idx, 'c' || (o_custkey + 1) AS target, o_orderkey % 7 <> 0 AS moves, caller FROM tx JOIN orders ON o_orderkey = tx_id), s AS (SELECT height, idx, 'p' || l_partkey AS k, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS w FROM tx JOIN lineitem ON l_orderkey = tx_id)
+SELECT height, idx, k, max(w) AS w FROM (SELECT height, idx, caller AS k, 1 AS w FROM t UNION ALL SELECT height, idx, target, CASE WHEN moves THEN 1 ELSE 0 END FROM t UNION ALL SELECT height, idx, k, w FROM s) GROUP BY height, idx, k""")
+def derived_access(spark: SparkSession, d: str) -> DataFrame:
+    """Access sets of transactions by rule, from caller, target, moved value and declared slots."""
+    moved = V.table(spark, d, "orders").select(F.col("o_orderkey").alias("tx_id"), F.concat(F.lit("c"), F.col("o_custkey") + 1).alias("target"), (F.col("o_orderkey") % 7 != 0).alias("moves"))
+    t = V.tx(spark, d).select("height", "idx", "tx_id", "caller").join(moved, "tx_id")
+    lines = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("tx_id"), F.concat(F.lit("p"), F.col("l_partkey")).alias("k"), (F.col("l_returnflag") == "R").cast("int").alias("w"))
+    return A.derived(t, t.select("height", "idx", "tx_id").join(lines, "tx_id"))
+
+
+@query(f"""WITH RECURSIVE {TX}, {ACCOUNT}, lanes AS (SELECT height, idx, caller, value_cents AS amount, CAST(('0x' || right(sha256(caller), 2)) AS INT) % 4 AS lane, row_number() OVER (PARTITION BY height, CAST(('0x' || right(sha256(caller), 2)) AS INT) % 4 ORDER BY idx) - 1 AS nth FROM tx),
+q AS (SELECT height, idx, caller, amount, CAST(nth // 4 * 4 + lane AS BIGINT) AS task, row_number() OVER (PARTITION BY height, nth // 4 * 4 + lane, caller ORDER BY idx) AS n, coalesce(balance_cents * 60, 0) AS balance FROM lanes LEFT JOIN account ON key = caller),
+run AS (SELECT height, task, idx, caller, n, amount <= balance AS ok, balance AS "before", CASE WHEN amount <= balance THEN balance - amount ELSE balance END AS rest FROM q WHERE n = 1
+UNION ALL SELECT q.height, q.task, q.idx, q.caller, q.n, q.amount <= run.rest, run.rest, CASE WHEN q.amount <= run.rest THEN run.rest - q.amount ELSE run.rest END FROM run JOIN q ON q.height = run.height AND q.task = run.task AND q.caller = run.caller AND q.n = run.n + 1)
+SELECT height, task, idx, ok, CAST("before" AS BIGINT) AS "before" FROM run""")
+def executed_tasks(spark: SparkSession, d: str) -> DataFrame:
+    """The transactions of every task executed in order: who could pay, and from what balance."""
+    t = V.tx(spark, d).select("height", "idx", "caller", F.col("value_cents").alias("amount"))
+    transfers = t.join(_tasks(spark, d)[0], ["height", "idx"])
+    balances = t.select("height", "caller").distinct().join(V.account(spark, d).select(F.col("key").alias("caller"), (F.col("balance_cents") * 60).alias("balance")), "caller")
+    return schedule.in_order(transfers, balances).select("height", "task", "idx", "ok", "before")
 
 
 @query(f"""WITH {TX}, got AS (SELECT height, CAST(('0x' || right(sha256(caller), 2)) AS INT) % 4 AS lane, count(*) AS n FROM tx WHERE tx_id % 211 <> 0 GROUP BY ALL),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, codecs, hashing as H
-from ..operators import store
+from ..operators import store, workload as W
 from ..sources import files
 from ..sources import views as V
 from .registry import query
@@ -63,10 +63,11 @@ def transaction_predicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {TX}, n AS (SELECT tx_id, value_cents, lower(to_hex(value_cents)) AS x FROM tx), e AS (SELECT *, CASE WHEN value_cents = 0 THEN '' WHEN length(x) % 2 = 1 THEN '0' || x ELSE x END AS v FROM n)
-SELECT tx_id, lpad(lower(to_hex(length(v) // 2)), 2, '0') || v AS encoded FROM e""")
+SELECT tx_id, lpad(lower(to_hex(length(v) // 2)), 2, '0') || v AS encoded, value_cents AS decoded FROM e""")
 def variable_ints(spark: SparkSession, d: str) -> DataFrame:
-    """length byte and minimal big-endian bytes."""
-    return V.tx(spark, d).select("tx_id", codecs.var_int(F.col("value_cents")).alias("encoded"))
+    """length byte and minimal big-endian bytes, and the number read from them again."""
+    rows = V.tx(spark, d).select("tx_id", codecs.var_int(F.col("value_cents")).alias("encoded"))
+    return rows.withColumn("decoded", codecs.read_var_int(F.col("encoded")))
 
 
 @query(f"""WITH {TX}, n AS (SELECT tx_id, value_cents * 92233720 AS dust FROM tx), s AS (SELECT tx_id, dust, greatest(0, length(bin(dust)) - 48) AS shift FROM n)
@@ -116,9 +117,18 @@ def _account(address: F.Column) -> F.Column:
 WHERE value NOT IN ('0x0', '0') AND ltrim(coalesce(input, ''), '0x') = '' AND "to" IS NOT NULL""")
 def trace_transfers(spark: SparkSession, d: str) -> DataFrame:
     """Plain value transfers of the trace; malformed lines are left out."""
-    t = files.parse_traces(V.traces(spark, d))
-    plain = ~F.coalesce("value", F.lit("0x0")).isin("0x0", "0") & (F.regexp_replace(F.coalesce("input", F.lit("")), "^(0x)+", "") == "") & F.col("to").isNotNull()
-    return t.where(plain).select("tx_id", _account(F.col("from")).alias("src"), _account(F.col("to")).alias("dst"))
+    return W.replayed_transfers(files.parse_traces(V.traces(spark, d)), _account)
+
+
+@query(f"""WITH {TRACE}, t AS (SELECT tx_id, {_ID.format('"from"')} AS src, {_ID.format('"to"')} AS dst FROM trace WHERE value NOT IN ('0x0', '0') AND ltrim(coalesce(input, ''), '0x') = '' AND "to" IS NOT NULL)
+SELECT tx_id, src, dst, CAST((row_number() OVER (ORDER BY tx_id) - 1) // 64 AS BIGINT) AS batch FROM t""")
+def replayed_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The trace's transfers replayed in order, in batches of 64."""
+    from ..functions.ordered import numbered
+
+    rows = W.replayed_transfers(files.parse_traces(V.traces(spark, d)), _account)
+    rows = numbered(rows.withColumn("all", F.lit(0)).withColumn("block", F.floor(F.col("tx_id") / V.KEY_BLOCK)), ["all"], "block", ["tx_id"], "nth")
+    return rows.select("tx_id", "src", "dst", F.floor(F.col("nth") / 64).cast("bigint").alias("batch"))
 
 
 @query(f"""WITH {TRACE}, c AS (SELECT tx_id, "from", CASE WHEN starts_with(input, '0x') THEN substr(input, 3) ELSE input END AS data FROM trace WHERE input IS NOT NULL),

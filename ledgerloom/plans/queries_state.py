@@ -142,13 +142,13 @@ def _queue(spark: SparkSession, d: str) -> DataFrame:
     return numbered(rows, ["caller"], "block", ["o_orderkey"], "nonce")
 
 
-@query(f"""WITH {_QUEUE}, pool AS (SELECT * FROM queue WHERE o_orderkey % 3 <> 0), asked AS (SELECT DISTINCT caller, nonce FROM queue WHERE o_orderkey % 2 = 0)
+@query(f"""WITH {_QUEUE}, pool AS (SELECT * FROM queue WHERE o_orderkey % 3 <> 0), asked AS (SELECT DISTINCT caller, nonce FROM queue)
 SELECT a.caller, a.nonce, CAST(coalesce(sum(p.cost), 0) AS BIGINT) AS cost, coalesce(bool_or(p.nonce = a.nonce), false) AS duplicate, coalesce(bool_or(p.nonce + 1 = a.nonce), false) AS continues
 FROM asked a LEFT JOIN pool p ON p.caller = a.caller GROUP BY ALL""")
 def pending_of_caller(spark: SparkSession, d: str) -> DataFrame:
     """A caller's pending cost and what its pool says of a nonce."""
     q = _queue(spark, d)
-    return admission.pending(q.where("o_orderkey % 3 <> 0"), q.where("o_orderkey % 2 = 0").select("caller", "nonce").distinct())
+    return admission.pending(q.where("o_orderkey % 3 <> 0"), q.select("caller", "nonce").distinct())
 
 
 def _pool_sql(name: str, rule: str) -> str:
@@ -158,7 +158,7 @@ def _pool_sql(name: str, rule: str) -> str:
 _RULES = {"draining": "o_orderkey % 7 = 1", "finalized": "o_orderkey % 7 = 2", "proposed": "o_orderkey % 7 = 3", "own": "o_orderkey % 7 = 4"}
 
 
-@query(f"""WITH {_QUEUE}, {ACCOUNT}, asked AS (SELECT caller, o_orderkey, nonce + o_orderkey % 2 AS nonce, cost, CASE WHEN o_orderkey % 31 = 0 THEN 3 ELSE 4 END AS access_len, o_orderkey % 4 <> 0 AS external, o_orderkey % 8 = 0 AS drained FROM queue WHERE o_orderkey % 5 < 2),
+@query(f"""WITH {_QUEUE}, {ACCOUNT}, asked AS (SELECT caller, o_orderkey, nonce + o_orderkey % 2 AS nonce, cost, CASE WHEN o_orderkey % 31 = 0 THEN 3 ELSE 4 END AS access_len, o_orderkey % 4 <> 0 AS external, o_orderkey % 8 = 0 AS drained FROM queue),
 {', '.join(_pool_sql(n, r) for n, r in _RULES.items())},
 j AS (SELECT a.*, CASE WHEN b.key IS NULL THEN NULL ELSE b.balance_cents * 1000 END AS balance, a.caller % 3 AS account_nonce, {', '.join(f'{n}_p.cost AS {n}_c, {n}_p.dup AS {n}_d, {n}_p.cont AS {n}_t' for n in _RULES)}
   FROM asked a LEFT JOIN account b ON b.key = 'c' || a.caller {' '.join(f'JOIN {n}_p ON {n}_p.caller = a.caller AND {n}_p.n = a.nonce' for n in _RULES)}),
@@ -170,7 +170,7 @@ def admission_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """The outcome of offering transactions to pools that hold others."""
     q = _queue(spark, d)
     key = F.col("o_orderkey")
-    asked = q.where("o_orderkey % 5 < 2").select("caller", "o_orderkey", (F.col("nonce") + key % 2).alias("nonce"), "cost", F.when(key % 31 == 0, 3).otherwise(4).alias("access_len"), (key % 4 != 0).alias("external"), (key % 8 == 0).alias("drained"), (F.col("caller") % 3).alias("account_nonce"))
+    asked = q.select("caller", "o_orderkey", (F.col("nonce") + key % 2).alias("nonce"), "cost", F.when(key % 31 == 0, 3).otherwise(4).alias("access_len"), (key % 4 != 0).alias("external"), (key % 8 == 0).alias("drained"), (F.col("caller") % 3).alias("account_nonce"))
     balances = V.account(spark, d).select(F.col("key").alias("_k"), (F.col("balance_cents") * 1000).alias("balance"))
     rows = asked.join(balances, F.concat(F.lit("c"), F.col("caller")) == F.col("_k"), "left").drop("_k")
     wanted = asked.select("caller", "nonce").distinct()

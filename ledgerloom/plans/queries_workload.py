@@ -12,22 +12,25 @@ from .registry import query
 from .sqltext import TX
 
 _SEED = 1234 & 0x1FFF | 1
-_REGISTER = f"WITH RECURSIVE r(i, state) AS (SELECT 0::BIGINT, {_SEED}::BIGINT UNION ALL SELECT i + 1, CASE WHEN state % 2 = 0 THEN state >> 1 ELSE xor(state, {W.taps(13)}) >> 1 END FROM r WHERE i < 4000)"
+#: As many draws as there are customers.
+_COUNT = "(SELECT count(*) FROM customer)"
 
 
-@query(_REGISTER + " SELECT i, state FROM r WHERE i > 0")
+def _register(name: str, bits: int, seed: int) -> str:
+    return f"{name}(i, state) AS (SELECT 0::BIGINT, {seed}::UBIGINT UNION ALL SELECT i + 1, CASE WHEN state % 2 = 0 THEN state >> 1 ELSE xor(state, ({W.taps(bits)})::UBIGINT)::UBIGINT >> 1 END FROM {name} WHERE i < {_COUNT})"
+
+
+@query(f"WITH RECURSIVE {_register('r', 13, _SEED)} SELECT i, state::BIGINT AS state FROM r WHERE i > 0")
 def shift_register(spark: SparkSession, d: str) -> DataFrame:
     """States of a 13-bit register."""
-    V.table(spark, d, "region")
-    return W.register(spark, 13, _SEED, 4000)
+    return W.register(spark, 13, _SEED, V.table(spark, d, "customer").count())
 
 
-@query(_REGISTER + " SELECT i, state * 8 + (state * 31) % 8 - 8 + 1 AS account FROM r WHERE i > 0")
+@query(f"WITH RECURSIVE {_register('r', 13, _SEED)}, {_register('w', 63, _SEED)} SELECT r.i, CAST(r.state * 8 + w.state % 8 - 8 + 1 AS BIGINT) AS account FROM r JOIN w ON w.i = r.i WHERE r.i > 0")
 def account_draws(spark: SparkSession, d: str) -> DataFrame:
-    """Account numbers from group and member draws."""
-    V.table(spark, d, "region")
-    draws = W.register(spark, 13, _SEED, 4000)
-    return W.accounts(draws, draws.select("i", (F.col("state") * 31).alias("state")), 8)
+    """Account numbers from a group that a 13-bit register draws and a member that a 63-bit one draws."""
+    count = V.table(spark, d, "customer").count()
+    return W.accounts(W.register(spark, 13, _SEED, count), W.register(spark, 63, _SEED, count), 8)
 
 
 def _uniform(key: str, salt: str) -> str:
@@ -69,7 +72,7 @@ def account_range(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_TRANSFERS}, r AS (SELECT o_orderkey, src, dst, row_number() OVER (ORDER BY o_orderkey) AS n FROM t) SELECT o_orderkey, src, dst FROM r WHERE n <= 100")
 def bounded_batch(spark: SparkSession, d: str) -> DataFrame:
-    """A batch of the first transfers, in order."""
+    """A batch of the first transfers, in order."""
     return _transfers(spark, d).orderBy("o_orderkey").limit(100)
 
 
@@ -89,9 +92,9 @@ def _samples(spark: SparkSession, d: str) -> DataFrame:
     return V.table(spark, d, "events").select(F.col("event_type").alias("name"), V.cents("value").alias("value"))
 
 
-@query("WITH s AS (SELECT event_type AS name, CAST(round(value * 100) AS BIGINT) AS value FROM events), r AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY value) - 1 AS i FROM s), n AS (SELECT name, count(*) AS c, min(value) AS lo, max(value) AS hi FROM s GROUP BY name), p(label, q) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in metrics.PERCENTS.items()) + ") SELECT n.name, p.label, r.value FROM n, p, r WHERE r.name = n.name AND r.i = CAST(round(q / 100.0::DOUBLE * (c - 1)) AS BIGINT) UNION ALL SELECT name, 'count', c FROM n UNION ALL SELECT name, 'min', lo FROM n UNION ALL SELECT name, 'max', hi FROM n")
+@query("WITH s AS (SELECT event_type AS name, CAST(round(value * 100) AS BIGINT) AS value FROM events), r AS (SELECT name, value, row_number() OVER (PARTITION BY name ORDER BY value) - 1 AS i FROM s), n AS (SELECT name, count(*) AS c, min(value) AS lo, max(value) AS hi, CAST(sum(value) AS BIGINT) AS t FROM s GROUP BY name), p(label, q) AS (VALUES " + ", ".join(f"('{k}', {v}::DOUBLE)" for k, v in metrics.PERCENTS.items()) + ") SELECT n.name, p.label, r.value FROM n, p, r WHERE r.name = n.name AND r.i = CAST(round(q / 100.0::DOUBLE * (c - 1)) AS BIGINT) UNION ALL SELECT name, 'count', c FROM n UNION ALL SELECT name, 'min', lo FROM n UNION ALL SELECT name, 'max', hi FROM n UNION ALL SELECT name, 'mean', CAST(round(t / c::DOUBLE) AS BIGINT) FROM n")
 def histograms(spark: SparkSession, d: str) -> DataFrame:
-    """A10: nearest-rank percentiles of samples."""
+    """A10: count, least, greatest, mean and nearest-rank percentiles of samples."""
     return metrics.histogram(_samples(spark, d))
 
 

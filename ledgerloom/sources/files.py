@@ -116,12 +116,26 @@ def segmented(positioned: DataFrame, size: int) -> DataFrame:
     return positioned.withColumn("segment", F.floor(F.col("pos") / size).cast("bigint"))
 
 
-def prune_head(segments: DataFrame, offset: int, size: int) -> DataFrame:
+def byte_range(data: F.Column, start: F.Column, end: F.Column) -> F.Column:
+    """Bytes ``start`` to before ``end``; a range that does not lie within the data is an error."""
+    sound = (start >= 0) & (start <= end) & (end <= F.octet_length(data))
+    return F.when(sound, F.substring(data, (start + 1).cast("int"), (end - start).cast("int"))).otherwise(F.raise_error(F.concat_ws(" ", F.lit("no bytes"), start, F.lit("to"), end, F.lit("of"), F.octet_length(data))).cast("binary"))
+
+
+def segment_files(positioned: DataFrame, size: int) -> DataFrame:
+    """(shard, segment, entries, first_pos, bytes, overflow): an entry belongs to the segment it starts in; what it writes
+    past that segment's end lies at the head of the next, which is therefore padded by ``overflow``."""
+    rows = segmented(positioned, size).groupBy("shard", "segment").agg(F.count("*").alias("entries"), F.min("pos").alias("first_pos"), F.sum("len").alias("bytes"), F.max(F.col("pos") + F.col("len")).alias("end"))
+    return rows.withColumn("overflow", F.greatest(F.lit(0), F.col("end") - (F.col("segment") + 1) * size).cast("bigint")).drop("end")
+
+
+def prune_head(segments: DataFrame, offset: int | F.Column, size: int) -> DataFrame:
     """What is left when whole segments below ``offset`` are dropped."""
-    return segments.where(F.col("segment") >= offset // size)
+    bound = F.lit(offset // size) if isinstance(offset, int) else F.floor(offset / size)
+    return segments.where(F.col("segment") >= bound)
 
 
-def truncate_tail(segments: DataFrame, size: int) -> DataFrame:
+def truncate_tail(segments: DataFrame, size: int | F.Column) -> DataFrame:
     return segments.where(F.col("pos") + F.col("len") <= size)
 
 
