@@ -16,6 +16,14 @@ def var_int(number: Column) -> Column:
     return F.concat(F.lpad(F.lower(F.hex(F.length(text) / 2)), 2, "0"), text)
 
 
+def read_var_int(encoded: Column) -> Column:
+    """The number of such bytes (hex) again, up to 2^63 - 1; a length byte that is not the bytes' is an error."""
+    digits = F.substring(encoded, 3, 1 << 20)
+    sound = F.conv(F.substring(encoded, 1, 2), 16, 10).cast("int") * 2 == F.length(digits)
+    number = F.coalesce(F.conv(digits, 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.when(sound, number).otherwise(F.raise_error(F.concat(F.lit("short variable-length number "), encoded)).cast("bigint"))
+
+
 def put_var(number: int) -> bytes:
     data = number.to_bytes((number.bit_length() + 7) // 8, "big")
     return bytes([len(data)]) + data

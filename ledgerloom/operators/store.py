@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import hashing as H
-from ..functions.ordered import running_sum
+from ..functions.bits import TWIG_SHIFT
+from ..functions.ordered import numbered, running_sum
+from ..shared import cut
 
 #: Bytes before key and value, of the next key hash, of version and serial number, of one dead number; alignment.
 HEAD, NEXT, NUMBERS, DEAD, ALIGN = 5, 32, 16, 8, 8
@@ -134,48 +136,75 @@ def compaction_candidates(live: DataFrame, entries: DataFrame, threshold: int, r
     return live.join(shards, "shard").withColumn("nth", oldest).where(F.col("nth") <= batch).select("shard", "sn", "key", (F.col("sn_end") + F.col("nth") - 1).cast("bigint").alias("new_sn"))
 
 
-REPLAY = "shard int, sn long, key_hash string, next_key_hash string, op int, dead array<long>"
+_RANGE = "shard int, ts timestamp, event_id long, k int, key_hash string, next_key_hash string, op int, refs array<long>"
 
 
-def replayed(operations: DataFrame) -> DataFrame:
-    """The exact log of each shard: a create appends the entry and its predecessor again, a write the entry, a delete the
-    predecessor again; sentries have the first 4096 numbers. ``operations``: shard, seq columns ts and event_id, key_hash, op.
-
-    A shard is applied in order by one group, as its numbers depend on one another; only hashes and numbers are held.
-    """
+def _replay_range(digits: int):
+    """Operations of one range of hashes (equal first ``digits``) in order -> what they append. A reference to an earlier
+    entry is twice its event's number and its place there, or minus one less a sentry's number."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         import bisect
 
-        shard, base = int(rows.shard.iloc[0]), int(rows.shard.iloc[0]) * 4096
-        order = [f"{base + k:04x}" + "0" * 60 for k in range(4096)]
-        after = {h: n for h, n in zip(order, [*order[1:], "f" * 64 if base + 4096 >= SENTRIES else f"{base + 4096:04x}" + "0" * 60], strict=True)}
-        number = {h: k for k, h in enumerate(order)}
-        out, sn = [], 4096
-
-        def append(h: str, op: int, dead: list[int]) -> None:
-            nonlocal sn
-            out.append((shard, sn, h, after[h], op, dead))
-            number[h] = sn
-            sn += 1
-
-        for h, op in rows.sort_values(["ts", "event_id"])[["key_hash", "op"]].itertuples(index=False):
+        shard, prefix = int(rows.shard.iloc[0]), rows.key_hash.iloc[0][:digits]
+        low, count = int(prefix.ljust(4, "0"), 16), 16 ** (4 - digits)
+        spelled = lambda n: f"{n:04x}" + "0" * 60 if n < SENTRIES else "f" * 64
+        order = [spelled(n) for n in range(low, low + count)]
+        after = {spelled(n): spelled(n + 1) for n in range(low, low + count)}
+        made = {spelled(n): -1 - n % 4096 for n in range(low, low + count)}
+        out = []
+        for ts, event, h, op in rows.sort_values(["ts", "event_id"])[["ts", "event_id", "key_hash", "op"]].itertuples(index=False):
+            appended: list[tuple[str, list[int]]] = []
             if op == 2:
                 at = bisect.bisect_left(order, h)
-                before, dead = order[at - 1], number[order[at - 1]]
+                before = order[at - 1]
                 after[h], after[before] = after[before], h
                 order.insert(at, h)
-                append(h, op, [])
-                append(before, op, [dead])
+                appended = [(h, []), (before, [made[before]])]
             elif op == 3:
-                append(h, op, [number[h]])
+                appended = [(h, [made[h]])]
             elif op == 4:
                 at = bisect.bisect_left(order, h)
                 before = order[at - 1]
-                dead = [number.pop(h), number[before]]
+                appended = [(before, [made.pop(h), made[before]])]
                 after[before] = after.pop(h)
                 order.pop(at)
-                append(before, op, dead)
-        return pd.DataFrame(out, columns=["shard", "sn", "key_hash", "next_key_hash", "op", "dead"])
+            for k, (x, refs) in enumerate(appended):
+                made[x] = 2 * event + k
+                out.append((shard, ts, event, k, x, after[x], op, refs))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _RANGE.split(", ")])
 
-    return operations.select("shard", "ts", "event_id", "key_hash", "op").groupBy("shard").applyInPandas(run, REPLAY)
+    return run
+
+
+def replayed(operations: DataFrame, digits: int = 3) -> DataFrame:
+    """The exact log of each shard (shard, sn, key_hash, next_key_hash, op, dead): a create appends the entry and its
+    predecessor again, a write the entry, a delete the predecessor again; sentries have the first 4096 numbers.
+    ``operations``: shard, seq columns ts and event_id (unique), key_hash, op.
+
+    A sentry opens each pair of leading hash bytes, so predecessors and successors lie within a range of hashes with equal
+    first ``digits`` (up to 4): ranges are applied one by one, in groups as small as wanted. Only the numbers run through
+    a shard; they are given afterwards, by the order of what was appended, and references are looked up.
+    """
+    if not 1 <= digits <= 4:
+        raise ValueError("a sentry bounds ranges of 1 to 4 digits")
+    rows = operations.select("shard", F.col("ts").cast("timestamp").alias("ts"), "event_id", "key_hash", "op")
+    made = rows.groupBy(F.substring("key_hash", 1, digits)).applyInPandas(_replay_range(digits), _RANGE)
+    made = cut(made.withColumn("hour", F.floor(F.unix_timestamp("ts") / 3600)), "replayed")
+    log = numbered(made, ["shard"], "hour", ["ts", "event_id", "k"], "sn").withColumn("sn", F.col("sn") + 4096)
+    log = cut(log, "replayed")
+    refs = log.select("shard", "sn", F.posexplode("refs").alias("at", "ref"))
+    names = log.select((F.col("event_id") * 2 + F.col("k")).alias("ref"), F.col("sn").alias("found"))
+    found = refs.where("ref < 0").withColumn("found", -1 - F.col("ref")).unionByName(refs.where("ref >= 0").join(names, "ref").select("shard", "sn", "at", "ref", "found"))
+    dead = found.groupBy("shard", "sn").agg(F.array_sort(F.collect_list(F.struct("at", "found"))).alias("l")).select("shard", "sn", F.expr("transform(l, x -> x.found)").alias("dead"))
+    return log.join(dead, ["shard", "sn"], "left").select("shard", "sn", "key_hash", "next_key_hash", "op", F.coalesce("dead", F.expr("cast(array() AS array<bigint>)")).alias("dead"))
+
+
+def prunable_twigs(live: DataFrame, entries: DataFrame, every: int = 500, keep: int = 10, least: int = 2) -> DataFrame:
+    """(shard, start, end, prunable): the twigs that may go at the last multiple of ``every`` heights: those whose entries
+    are older than the ``keep`` heights before it and lie before the oldest active entry, and only ``least`` or more at once."""
+    bound = entries.agg((F.floor(F.max("height") / every) * every - keep).alias("bound"))  # one row
+    kept = entries.where("sn IS NOT NULL").crossJoin(F.broadcast(bound)).groupBy("shard").agg(F.min(F.when(F.col("height") >= F.col("bound"), F.col("sn"))).alias("young"), F.max("sn").alias("last"))
+    oldest = live.groupBy("shard").agg(F.min("sn").alias("oldest"))
+    rows = kept.join(oldest, "shard", "left").withColumn("end", F.shiftright(F.least(F.coalesce("young", F.col("last") + 1), F.coalesce("oldest", F.col("last") + 1)), TWIG_SHIFT))
+    return rows.select("shard", F.lit(0).cast("bigint").alias("start"), "end", (F.col("end") >= least).alias("prunable"))

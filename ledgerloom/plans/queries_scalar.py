@@ -173,7 +173,8 @@ def extra_data(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("event_id", part(0).alias("a"), part(1).alias("b"))
 
 
-@query()
+@query("""WITH c AS (SELECT c_custkey, c_name, regexp_replace(printf('%016x', c_custkey) || repeat('0', 32) || printf('%016x', CAST(abs(round(c_acctbal * 100)) AS BIGINT)), '^(00)+', '') AS b, regexp_replace(printf('%016x', c_custkey), '^(00)+', '') AS n FROM customer)
+SELECT c_custkey, printf('%02x', length(b) // 2) || b || printf('%02x', length(n) // 2) || n || CASE WHEN c_custkey % 3 = 0 THEN sha256(c_name) WHEN c_custkey % 3 = 1 THEN substr(sha256(c_name), 1, 40) ELSE '' END AS encoded, true AS same, c_custkey AS nonce FROM c""")
 def account_codec(spark: SparkSession, d: str) -> DataFrame:
     """Accounts encoded and decoded again, balances beyond 128 bits."""
     c = V.table(spark, d, "customer")

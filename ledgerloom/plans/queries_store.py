@@ -241,6 +241,14 @@ def prunable_heights(spark: SparkSession, d: str) -> DataFrame:
     return prunable(V.operations(spark, d).select("height").distinct())
 
 
+@query(f"""WITH {LIVE}, b AS (SELECT floor(max(height) / 500) * 500 - 10 AS bound FROM ops), k AS (SELECT shard, min(sn) FILTER (height >= bound) AS young, max(sn) AS top FROM entry, b WHERE sn IS NOT NULL GROUP BY shard), o AS (SELECT shard, min(sn) AS oldest FROM live GROUP BY shard)
+SELECT k.shard, CAST(0 AS BIGINT) AS start, CAST(least(coalesce(young, top + 1), coalesce(oldest, top + 1)) >> 11 AS BIGINT) AS "end", least(coalesce(young, top + 1), coalesce(oldest, top + 1)) >> 11 >= 2 AS prunable FROM k LEFT JOIN o ON o.shard = k.shard""")
+def prunable_twigs(spark: SparkSession, d: str) -> DataFrame:
+    """Twigs that the pruning policy lets go: old enough, before the oldest active entry, and two at least."""
+    e = log(spark, d)
+    return store.prunable_twigs(store.active(e), e)
+
+
 @query(f"WITH {ENTRY} SELECT height, shard, count(*) AS entries, coalesce(max(sn), -1) AS last_sn FROM entry WHERE height <= (SELECT min(height) + 100 FROM entry) GROUP BY height, shard")
 def stopped_at_height(spark: SparkSession, d: str) -> DataFrame:
     """What is committed of each shard up to a height."""

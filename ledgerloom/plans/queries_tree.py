@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import hashing as H
 from ..functions.ordered import numbered
-from ..operators import merkle as M
-from ..shared import folder, once
+from ..operators import merkle as M, store
+from ..shared import cut, folder, once
 from ..sources import views as V
 from .registry import query
 
@@ -42,10 +42,14 @@ def _pair(level: int, a: str, b: str) -> str:
     return f"sha256(unhex('{level:02x}') || unhex({a}) || unhex({b}))"
 
 
-_LEVELS = f"""{_LEAF}, span AS (SELECT shard, max(sn) >> 11 AS top FROM leaf GROUP BY shard), slot AS (SELECT shard, CAST(i AS BIGINT) AS n FROM span, unnest(range((top + 1) * 2048)) t(i)),
+def _levels(leaf: str) -> str:
+    return f"""{leaf}, span AS (SELECT shard, max(sn) >> 11 AS top FROM leaf GROUP BY shard), slot AS (SELECT shard, CAST(i AS BIGINT) AS n FROM span, unnest(range((top + 1) * 2048)) t(i)),
 l0 AS (SELECT s.shard, s.n, coalesce(hash, '{M.NULL_LEAF}') AS hash FROM slot s LEFT JOIN leaf ON leaf.shard = s.shard AND leaf.sn = s.n)""" + "".join(
-    f", l{k + 1} AS (SELECT shard, n // 2 AS n, {_pair(k, 'arg_min(hash, n)', 'arg_max(hash, n)')} AS hash FROM l{k} GROUP BY shard, n // 2)" for k in range(11)
-)
+        f", l{k + 1} AS (SELECT shard, n // 2 AS n, {_pair(k, 'arg_min(hash, n)', 'arg_max(hash, n)')} AS hash FROM l{k} GROUP BY shard, n // 2)" for k in range(11)
+    )
+
+
+_LEVELS = _levels(_LEAF)
 
 _ZERO = "'" + "00" * 32 + "'"
 _ACTIVE = f"""byte AS (SELECT l0.shard, l0.n >> 11 AS twig, (l0.n & 2047) >> 3 AS spot, bit_or(CASE WHEN coalesce(active, false) THEN 1 << (l0.n & 7)::INT ELSE 0 END) AS b FROM l0 LEFT JOIN leaf ON leaf.shard = l0.shard AND leaf.sn = l0.n GROUP BY ALL),
@@ -187,3 +191,18 @@ def evicted_twigs(spark: SparkSession, d: str) -> DataFrame:
     ends = rows.groupBy("shard").agg(F.expr("shiftright(max(twig) + 1, 1)").alias("end"))
     out = M.evicted(rows.join(ends, "shard"), F.lit(0), F.col("end"))
     return out.select("shard", F.col("level").cast("bigint").alias("level"), "n", "hash")
+
+
+_GENESIS = """two AS (SELECT n, lpad(lower(to_hex(n)), 4, '0') AS a, CASE WHEN n = 65535 THEN repeat('f', 64) ELSE rpad(lpad(lower(to_hex(n + 1)), 4, '0'), 64, '0') END AS b, printf('%04x', n % 4096) AS s FROM range(65536) t(n)),
+leaf AS (SELECT CAST(n // 4096 AS INT) AS shard, CAST(n % 4096 AS BIGINT) AS sn, sha256(unhex('2000000000' || rpad(a, 64, '0') || b || repeat('0', 16) || substr(s, 3, 2) || substr(s, 1, 2) || repeat('0', 12))) AS hash, true AS active FROM two)"""
+
+
+@query(f"WITH RECURSIVE {_levels(_GENESIS)}, {_ACTIVE}, {_UPPER} SELECT shard, level, root FROM shard_root")
+def genesis_roots(spark: SparkSession, d: str) -> DataFrame:
+    """The roots of a new store, whose leaves are the hashes of the sentries' records without padding."""
+    rows = store.sentries(spark)
+    none, key = F.unhex(F.lit("")), F.unhex("key_hash")
+    record = store.entry_record(key, none, F.unhex("next_key_hash"), F.lit(0).cast("bigint"), F.col("sn"), F.expr("cast(array() AS array<bigint>)"))
+    made = rows.select("shard", "sn", F.sha2(store.record_payload(record), 256).alias("hash"), F.lit(True).alias("active"))
+    tree = cut(M.tree(made).select("shard", "twig", "root"), "genesis")
+    return M.shard_roots(tree).select("shard", F.col("level").cast("bigint").alias("level"), "root")

@@ -1,7 +1,8 @@
 """Tasks that arrive out of order are applied in order, each shard for itself.
 
-State of a shard: the next task number, and the tasks that came early. A task that cannot be applied within the watermark
-of ``HELD`` numbers stays in the state; one below the next number was applied before and goes out as late, never lost.
+State of a shard: the next task number, and the tasks that came early. A task that cannot be applied yet stays in the
+state, however long; one below the next number was applied before and goes out as late, never lost. The state is as large
+as what came early: the source's back-pressure (``blocks``) bounds it.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -39,6 +40,12 @@ def in_order(tasks: DataFrame) -> DataFrame:
     return tasks.select("shard", "task", "value").groupBy("shard").applyInPandasWithState(_apply, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def blocks(spark: SparkSession, schema: str, path: str, in_flight: int = 2) -> DataFrame:
+    """A stream of block files of Parquet, at most ``in_flight`` of them in a micro-batch: the next ones wait until those are
+    committed. A query over it that is stopped, or runs with ``availableNow``, drains what it has begun."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", in_flight).parquet(path)
+
+
 def commit_blocks(stream: DataFrame, folder: str, checkpoint: str):
     """Writes every micro-batch's rows and then one commit row a height; a height counts once its commit row is there.
 
