@@ -111,3 +111,10 @@ def test_ordered_helpers(spark):
         n, s, p = state.get(r.g, (0, 0, None))
         assert (r.n, r.s, r.p) == (n, s, p)
         state[r.g] = (n + 1, s + r.v, r.v)
+
+
+def test_var_int_read_again(spark):
+    rows = spark.createDataFrame([(x,) for x in (0, 1, 255, 256, 0x12005600, 2**63 - 1)], "n long").withColumn("again", codecs.read_var_int(codecs.var_int(F.col("n"))))
+    assert all(r.n == r.again for r in rows.collect())
+    with pytest.raises(Exception, match="short variable-length"):
+        spark.range(1).select(codecs.read_var_int(F.lit("0212"))).collect()

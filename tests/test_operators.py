@@ -58,7 +58,7 @@ def test_frames_never_collide(spark, sf_dir, bloom):
 def test_precedence_defaults(spark):
     items = [([], ["hot"] if i in (3, 70, 200, 400) else [f"k{i}"]) for i in range(401)]
     a = accesses(spark, items)
-    got = {r.idx: r.eei for r in access.precedence(a.select("height", "idx").distinct(), a).collect()}
+    got = {r.idx: r.eei for r in access.precedence(access.standing_frames(a.select("height", "idx").distinct()), a).collect()}
     assert got[10] == -1 and got[70] == 3 and got[100] == 0 and got[130] == 1 and got[200] == 71 and got[400] == 271
     assert all(e < i for i, e in got.items())
 
@@ -125,8 +125,9 @@ def test_exact_replay(spark):
         ops.append((key, op))
     rows = [(k, o, i) for i, (k, o) in enumerate(ops)]
     df = state.with_shard(spark.createDataFrame(rows, "key string, op int, event_id long").withColumn("ts", F.lit(0)))
-    got = sorted((r.shard, r.sn, r.key_hash, r.next_key_hash, tuple(r.dead)) for r in store.replayed(df).collect())
-    assert got == sorted(model(ops))
+    for digits in (1, 3, 4):
+        got = sorted((r.shard, r.sn, r.key_hash, r.next_key_hash, tuple(r.dead)) for r in store.replayed(df, digits).collect())
+        assert got == sorted(model(ops))
 
 
 def test_admission_branches(spark):
@@ -148,10 +149,10 @@ def test_admission_branches(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 3, 1000])
 def test_nearest_rank(spark, n):
-    values = [random.Random(n).randint(0, 50) for _ in range(n)]
+    values = [random.Random(n + k).randint(0, 50) * 1000 for k in range(n)]
     got = {r.label: r.value for r in metrics.histogram(spark.createDataFrame([("x", v) for v in values], "name string, value long")).collect()}
     ranked = sorted(values)
-    assert got["count"] == n and got["min"] == ranked[0] and got["max"] == ranked[-1]
+    assert got["count"] == n and got["min"] == ranked[0] and got["max"] == ranked[-1] and abs(got["mean"] - sum(ranked) / n) <= 0.5
     for label, p in metrics.PERCENTS.items():
         assert got[label] == ranked[int(p / 100 * (n - 1) + 0.5)]
 
@@ -219,3 +220,183 @@ def test_neighbours_by_hand(spark):
     probes = [hashlib.sha256(f"p{i}".encode()).hexdigest() for i in range(300)] + live[::7]
     got = {r.probe_hash: r.prev_hash for r in store.predecessors(spark.createDataFrame([(p,) for p in probes], "probe_hash string"), df).collect()}
     assert all(got[p] == every[bisect.bisect_left(every, p) - 1] for p in probes)
+
+
+def plain_collisions(items):
+    return {(i, j) for i, (r, w) in enumerate(items) for j, (r2, w2) in enumerate(items[:i]) if set(w) & (set(r2) | set(w2)) or set(r) & set(w2)}
+
+
+def some_items(seed, count, keys):
+    rng = random.Random(seed)
+    return [([f"k{rng.randrange(keys)}" for _ in range(rng.randint(0, 2))], ["hot" if rng.random() < 0.3 else f"k{rng.randrange(keys)}"]) for _ in range(count)]
+
+
+def deduplicated(spark, items):
+    """A write covers a read of the same item."""
+    rows = {(1, i, k): 0 for i, (reads, _) in enumerate(items) for k in reads} | {(1, i, k): 1 for i, (_, writes) in enumerate(items) for k in writes}
+    return spark.createDataFrame([(*k, w) for k, w in rows.items()], "height long, idx long, k string, w int")
+
+
+def test_all_pairs_however_far_apart(spark):
+    items = some_items(4, 700, 300)
+    got = {(r.i, r.j) for r in access.collisions(deduplicated(spark, items)).collect()}
+    assert got == plain_collisions(items) and max(i - j for i, j in got) > 600
+
+
+def test_precedence_over_packed_frames(spark):
+    """Every task's wait against a plain search over its packed predecessors."""
+    items = some_items(9, 500, 60)
+    a = deduplicated(spark, items)
+    frames = schedule.packed(a, frames=6, full=8).cache()
+    place = {r.idx: r for r in frames.collect()}
+    placed = a.join(frames.select("height", "idx", "out_idx"), ["height", "idx"]).select("height", F.col("out_idx").alias("idx"), "k", "w")
+    got = {r.idx: r.eei for r in access.precedence(frames.select("height", F.col("out_idx").alias("idx"), F.col("task_out_start").alias("start")), placed).collect()}
+    out = {r.out_idx: items[r.idx] for r in place.values()}
+    start = {r.out_idx: r.task_out_start for r in place.values()}
+    assert sorted(got) == list(range(500)) and len(set(start.values())) > 20
+    for i in range(500):
+        r, w = out[i]
+        back = max(0, i - 128)
+        near = [j for j in range(back, start[i]) if set(w) & (set(out[j][0]) | set(out[j][1])) or set(r) & set(out[j][1])]
+        assert got[i] == (-1 if start[i] == 0 else near[-1] if near else max(back - 1, 0))
+
+
+def test_masks_beyond_64_frames(spark):
+    items = [([f"r{i % 50}"], [f"w{i}"]) for i in range(200)]
+    rows = deduplicated(spark, items).select("height", "idx", "w", F.col("idx").cast("int").alias("frame"), F.substring(F.sha2("k", 256), 1, 20).alias("h"))
+    masks = {}
+    for r in access.dependency_masks(rows).collect():
+        masks[r.idx] = masks.get(r.idx, 0) | (r.mask & (1 << 64) - 1) << 64 * r.word
+    bits = {(i, w): [set(schedule.bloom_bits(k)) for k in keys] for i, item in enumerate(items) for w, keys in enumerate(item)}
+    held = {(i, w): set().union(*bits[i, w]) if bits[i, w] else set() for i in range(200) for w in (0, 1)}
+    for i in range(200):
+        want = 0
+        for f in range(200):
+            hit = any(b <= held[f, 1] for w in (0, 1) for b in bits[i, w]) or any(b <= held[f, 0] for b in bits[i, 1])
+            want |= hit << f
+        assert masks.get(i, 0) == want
+    frames = access.frame_masks(rows).collect()
+    assert {r.word for r in frames} == {0, 1, 2, 3}
+
+
+def test_tasks_and_lanes(spark):
+    items = spark.createDataFrame([(1, i, i % 3) for i in range(30)], "height long, idx long, lane int")
+    a = spark.createDataFrame([(1, i, f"k{i // 9}", i % 2) for i in range(30)], "height long, idx long, k string, w int")
+    placed, sets = schedule.tasks_of(items, a)
+    got = {r.idx: r.task for r in placed.collect()}
+    assert all(got[i] == i // 3 // 4 * 4 + i % 3 for i in range(30))
+    want = {}
+    for i in range(30):
+        want[got[i], f"k{i // 9}"] = max(want.get((got[i], f"k{i // 9}"), 0), i % 2)
+    assert {(r.task, r.k): r.w for r in sets.collect()} == want
+
+
+def test_tasks_run_in_order(spark):
+    rng = random.Random(6)
+    rows = [(1, i // 4, i, f"c{rng.randrange(3)}", rng.randrange(1, 60)) for i in range(40)]
+    balances = {"c0": 100, "c1": 30}
+    got = {r.idx: (r.ok, r.before) for r in schedule.in_order(spark.createDataFrame(rows, "height long, task long, idx long, caller string, amount long"), spark.createDataFrame([(1, c, b) for c, b in balances.items()], "height long, caller string, balance long")).collect()}
+    for task in range(10):
+        left = dict(balances)
+        for _, _, i, c, amount in rows[4 * task : 4 * task + 4]:
+            had = left.get(c, 0)
+            assert got[i] == (amount <= had, had)
+            left[c] = had - amount if amount <= had else had
+
+
+def test_pools_when_a_block_is_final(spark):
+    items = some_items(2, 120, 25)
+    a = deduplicated(spark, items)
+    proposed, arrived = a.where("idx < 100"), a.where("idx >= 90")
+    included = spark.createDataFrame([(1, i) for i in range(0, 90, 4)], "height long, idx long")
+    fate = {r.idx: r.fate for r in schedule.finalized(proposed, arrived, included, frames=3).collect()}
+    assert sorted(fate) == list(range(120))
+    assert all(fate[i] == "done" for i in range(0, 90, 4)) and all(fate[i] == "pending" for i in range(100, 120))
+    # the others by hand: first of three frames whose Bloom bits leave it free
+    sets = {i: [[set(schedule.bloom_bits(k)) for k in keys] for keys in ([x for x in items[i][0] if x not in items[i][1]], items[i][1])] for i in range(100) if fate[i] != "done"}
+    held = [[set(), set()] for _ in range(3)]
+    sizes = [[0, 0] for _ in range(3)]
+    for i in sorted(sets):
+        reads, writes = sets[i]
+        free = [f for f in range(3) if not (any(b <= held[f][1] for b in reads + writes) or any(b <= held[f][0] for b in writes))]
+        assert fate[i] == ("kept" if free else "dropped")
+        if free:
+            for kind, keys in enumerate((reads, writes)):
+                held[free[0]][kind] |= set().union(*keys) if keys else set()
+                sizes[free[0]][kind] += len(keys)
+            if max(sizes[free[0]]) > schedule.MOST_KEYS:
+                held[free[0]], sizes[free[0]] = [set(), set()], [0, 0]
+    assert {"kept", "dropped"} <= set(fate.values())
+
+
+def test_derived_sets(spark):
+    t = spark.createDataFrame([(1, 0, "a", "b", True), (1, 1, "a", "b", False), (1, 2, "c", None, True)], "height long, idx long, caller string, target string, moves boolean")
+    slots = spark.createDataFrame([(1, 1, "b", 0), (1, 1, "s", 1), (1, 2, "c", 0)], "height long, idx long, k string, w int")
+    got = {(r.idx, r.k): r.w for r in access.derived(t, slots).collect()}
+    assert got == {(0, "a"): 1, (0, "b"): 1, (1, "a"): 1, (1, "b"): 0, (1, "s"): 1, (2, "c"): 1}
+
+
+def test_record_layout(spark):
+    """The golden entry of 96 bytes, and its payload without padding."""
+    rows = spark.range(1).select(store.entry_record(
+        F.lit("key").cast("binary"), F.lit("value").cast("binary"), F.unhex(F.lit("ab" * 32)), F.lit(12345).cast("bigint"), F.lit(99999).cast("bigint"), F.array(*[F.lit(x).cast("bigint") for x in (0xF1, 0xF2, 0xF3, 0xF4)]),
+    ).alias("r"))
+    got = rows.select("r", store.record_payload(F.col("r")).alias("p")).first()
+    want = "0305000004" + b"keyvalue".hex() + "ab" * 32 + "3930000000000000" + "9f86010000000000" + "".join(f"{x:02x}" + "00" * 7 for x in (0xF1, 0xF2, 0xF3, 0xF4)) + "000000"
+    assert got.r.hex() == want and len(got.r) == 96 and got.p.hex() == want[:-6]
+    long = spark.range(1).select(store.entry_record(F.lit("k").cast("binary"), F.repeat(F.lit("v"), store.MOST_BYTES).cast("binary"), F.unhex(F.lit("00" * 32)), F.lit(1).cast("bigint"), F.lit(1).cast("bigint"), F.expr("cast(array() AS array<bigint>)")))
+    with pytest.raises(Exception, match="an entry of"):
+        long.collect()
+
+
+def test_byte_ranges(spark):
+    df = spark.range(1).select(F.unhex(F.lit("00112233")).alias("b"))
+    part = lambda a, z: files.byte_range(F.col("b"), F.lit(a), F.lit(z))
+    assert [bytes(x).hex() for x in df.select(part(0, 4), part(1, 3), part(4, 4)).first()] == ["00112233", "1122", ""]
+    for a, z in ((-1, 2), (3, 2), (0, 5)):
+        with pytest.raises(Exception, match="no bytes"):
+            df.select(part(a, z)).collect()
+
+
+def test_compaction_by_hand(spark):
+    """Two entries a mutation, tested before each pair, against a model of the shard."""
+    rng = random.Random(12)
+    for live_count in (5, 12, 14, 19):
+        numbers = sorted(rng.sample(range(20), live_count))
+        entries = spark.createDataFrame([(0, n, f"k{n}") for n in range(20)], "shard int, sn long, key string")
+        live = entries.where(F.col("sn").isin(numbers))
+        got = sorted((r.sn, r.dead_sn) for r in store.compacted(live, entries, 10, 7, 10, 3).collect())
+        want, active, end = [], list(numbers), 20
+        for _ in range(3):
+            if len(active) >= 10 and not (end - active[0]) * 7 < len(active) * 10:
+                for _ in range(2):
+                    old = active.pop(0)
+                    want.append((end, old))
+                    active.append(end)
+                    end += 1
+            else:
+                break
+        assert got == want
+
+
+def test_chained_random():
+    a = workload.chained_random(b"seed", bytes(range(80)), 50)
+    assert a == workload.chained_random(b"seed", bytes(range(80)), 50) and len(set(a)) == 50
+    first = hashlib.blake2b(hashlib.blake2b(b"seed").digest() + bytes(range(32))).digest()
+    assert a[0] == int.from_bytes(first[:8], "little") and a != workload.chained_random(b"other", bytes(range(80)), 50)
+
+
+@pytest.mark.parametrize("bits", range(17, 64))
+def test_wide_registers(bits):
+    """The step's matrix has the full order: the state comes back after 2^bits - 1 steps, and not after that by any small prime."""
+    mask, whole = workload.taps(bits), (1 << bits) - 1
+    assert workload.jump(1, mask, whole, bits) == 1
+    for p in (3, 5, 7, 11, 13, 17, 31, 127):
+        if whole % p == 0 and whole > p:
+            assert workload.jump(1, mask, whole // p, bits) != 1
+
+
+def test_segment_overflow(spark):
+    log = spark.createDataFrame([(0, 0, 8), (0, 8, 24), (0, 32, 8), (0, 40, 8)], "shard int, pos long, len long")
+    got = {r.segment: (r.entries, r.first_pos, r.overflow) for r in files.segment_files(log, 16).collect()}
+    assert got == {0: (2, 0, 16), 2: (2, 32, 0)}

@@ -3,7 +3,7 @@
 import random
 
 from ledgerloom.cluster import ship
-from ledgerloom.streaming.ordered import commit_blocks, in_order, prunable
+from ledgerloom.streaming.ordered import blocks, commit_blocks, in_order, prunable
 
 
 def test_out_of_order(spark, tmp_path):
@@ -37,3 +37,12 @@ def test_block_commits(spark, tmp_path):
 def test_pruning(spark):
     heights = spark.createDataFrame([(h,) for h in range(0, 1100, 100)], "height long")
     assert sorted(r.height for r in prunable(heights).collect()) == list(range(0, 990, 100))
+
+
+def test_two_blocks_in_flight(spark, tmp_path):
+    for h in range(5):
+        spark.createDataFrame([(h, 0, h)], "height long, shard int, sn long").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    seen = []
+    q = blocks(spark, "height long, shard int, sn long", f"{tmp_path}/in").writeStream.foreachBatch(lambda df, n: seen.append(df.count())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert sum(seen) == 5 and max(seen) <= 2  # what was begun is drained
