@@ -52,9 +52,9 @@ def range_reads(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {POSITIONED}, old AS (SELECT shard, max(pos + len) // 16 * 8 AS size FROM positioned GROUP BY shard) SELECT p.shard, p.sn, p.pos FROM positioned p JOIN old o ON o.shard = p.shard WHERE p.pos >= o.size")
 def appended_since(spark: SparkSession, d: str) -> DataFrame:
     """What was appended after known sizes of the shards."""
-    log = store.positioned(log(spark, d))
-    old = log.groupBy("shard").agg((F.floor(F.max(F.col("pos") + F.col("len")) / 16) * 8).alias("size"))
-    return log.join(old, "shard").where("pos >= size").select("shard", "sn", "pos")
+    rows = store.positioned(log(spark, d))
+    old = rows.groupBy("shard").agg((F.floor(F.max(F.col("pos") + F.col("len")) / 16) * 8).alias("size"))
+    return rows.join(old, "shard").where("pos >= size").select("shard", "sn", "pos")
 
 
 @query(f"""WITH {POSITIONED} SELECT shard, pos // 16384 AS segment, count(*) AS entries, CAST(min(pos) AS BIGINT) AS first_pos, CAST(sum(len) AS BIGINT) AS bytes,
