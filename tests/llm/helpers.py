@@ -47,3 +47,20 @@ def documents(spark, rows):
     """rows of (doc_id, text) or (doc_id, text, lang, source)."""
     full = [(r[0], r[1], r[2] if len(r) > 2 else "en", r[3] if len(r) > 3 else "src0", len(r[1] or "")) for r in rows]
     return spark.createDataFrame(full, DOCUMENTS)
+
+
+def span_hash(raw):
+    """The 64-bit hash of a word of up to 64 bytes, number by number."""
+    top = (1 << 64) - 1
+
+    def mix(x):
+        x ^= x >> 33
+        x = x * 0xFF51AFD7ED558CCD & top
+        x ^= x >> 29
+        x = x * 0xC4CEB9FE1A85EC53 & top
+        return x ^ x >> 32
+
+    h = mix((len(raw) * 0xD6E8FEB86659FD93 + 0x9E3779B97F4A7C15) & top)
+    for at in range(0, len(raw), 8):
+        h = mix((h * 0xD6E8FEB86659FD93 & top) ^ int.from_bytes(raw[at : at + 8], "little"))
+    return h

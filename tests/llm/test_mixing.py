@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import raking as R
 
-from .helpers import documents, words
+from .helpers import documents, span_hash, words
 
 
 def corpus(spark, count=4000):
@@ -87,3 +87,51 @@ def test_frames_take_targets(spark, monkeypatch):
     for k, r in near.items():
         assert far[k].probability == pytest.approx(r.probability, abs=1e-6) and far[k].weight == pytest.approx(r.weight, rel=1e-5, abs=1e-9)
         assert far[k].kept == r.kept
+
+
+def test_against_plain_python(spark):
+    """Topics, cells, raked weights, capped probabilities and the choice, document by document."""
+    import xxhash
+
+    docs = corpus(spark, 600)
+    got = {r.doc_id: r for r in R.sampled_documents(docs, kept=0.6).collect()}
+    rows = docs.collect()
+    topic, size, cell = {}, {}, {}
+    for r in rows:
+        classes = [span_hash(w.encode()) % R.TOPICS for w in words(r.text) if len(w.encode()) >= 6]
+        topic[r.doc_id] = max(range(R.TOPICS), key=lambda t: (classes.count(t), -t))
+        size[r.doc_id] = len(words(r.text))
+        cell[r.doc_id] = (r.source, r.lang, topic[r.doc_id])
+    tokens = {}
+    for i, c in cell.items():
+        tokens[c] = tokens.get(c, 0) + size[i]
+    total = sum(tokens.values())
+    weight = {c: float(t) for c, t in tokens.items()}
+    for _ in range(400):
+        for m, name in enumerate(R.MARGINS):
+            own = {}
+            for c, t in tokens.items():
+                own[c[m]] = own.get(c[m], 0) + t
+            raised = {v: (t / total) ** R.TEMPER[name] for v, t in own.items() if t}
+            now = {}
+            for c, w in weight.items():
+                now[c[m]] = now.get(c[m], 0) + w
+            for c in weight:
+                aim = raised.get(c[m], 0) / sum(raised.values()) * total
+                weight[c] *= aim / now[c[m]] if now[c[m]] else 0
+    ratio = {c: weight[c] / tokens[c] if tokens[c] else 0.0 for c in tokens}
+    capped = set()
+    while True:
+        scale = (0.6 * total - sum(tokens[c] for c in capped)) / sum(ratio[c] * tokens[c] for c in tokens if c not in capped)
+        over = {c for c in tokens if c not in capped and ratio[c] * scale >= 1}
+        if not over:
+            break
+        capped |= over
+    assert capped
+    for i, r in got.items():
+        c = cell[i]
+        chance = 1.0 if not tokens[c] or c in capped else ratio[c] * scale
+        assert (r.topic, r.n_tokens) == (topic[i], size[i]) and r.probability == pytest.approx(chance, rel=1e-6) and r.weight == pytest.approx(ratio[c] if tokens[c] else 1.0, rel=1e-6)
+        h = xxhash.xxh64_intdigest((29).to_bytes(4, "little"), xxhash.xxh64_intdigest(str(i).encode(), 42))
+        h -= (h >> 63) << 64
+        assert r.kept == (h % (1 << 53) / (1 << 53) < r.probability or size[i] == 0)
