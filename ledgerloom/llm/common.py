@@ -60,7 +60,16 @@ def cut(df: DataFrame, what: str, partition_by: list[str] | None = None, few: bo
         df = df.coalesce(max(2, 2 * spark.sparkContext.defaultParallelism))
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.cut_path = path
+    return out
+
+
+def discard(table: DataFrame, part: str = "") -> None:
+    """Deletes a table that ``cut`` wrote, or a folder in it, once what is made of it has been written in its turn."""
+    jvm, conf = table.sparkSession.sparkContext._jvm, table.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{table.cut_path}/{part}" if part else table.cut_path)
+    path.getFileSystem(conf).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(links: DataFrame, what: str = "components") -> DataFrame:
@@ -16,7 +16,7 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
     A node without a link to another does not appear unless it is linked with itself.
     """
     both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{what}-links", few=True)
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")), f"{what}-0", few=True)
+    labels = table = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("root")), f"{what}-0", few=True)
     turn = 0
     while True:
         turn += 1
@@ -28,7 +28,9 @@ def components(links: DataFrame, what: str = "components") -> DataFrame:
         lower = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "other").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
         new = cut(lower.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("root")), f"{what}-{turn}", few=True)
-        changed = new.where("root <> old").limit(1).count()
+        discard(table)
+        table, changed = new, new.where("root <> old").limit(1).count()
         labels = new.select("node", "root")
         if not changed:
+            discard(both)
             return labels

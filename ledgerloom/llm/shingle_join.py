@@ -35,15 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, pack, pack_counts, prepare, release, settle, shingle_sets, slices, unpack, unpack_counts, utf8
+from .common import cut, discard, mix, pack, pack_counts, prepare, release, settle, shingle_sets, slices, unpack, unpack_counts, utf8
 from .components import components
 
 #: A bound on the broadcast list of frequent tokens (8 bytes each).
 MOST_FREQUENT = 1 << 20
 #: Sets that must hold a token to make it frequent.
 FREQUENT = 8
-#: Tokens that a task gathers before it counts them, and text bytes to a hash range.
-CHUNK_TOKENS, RANGE_BYTES = 1 << 20, 8 << 20
+#: Tokens that a task gathers before it counts them, text bytes to a hash range, and to a task at least where there are several a core.
+CHUNK_TOKENS, RANGE_BYTES, TASK_BYTES = 1 << 20, 8 << 20, 32 << 20
 #: Members of a bucket that one task holds against all of its members.
 BLOCK = 2048
 #: Slots of the broadcast filter that says whose sets are needed; it only saves work.
@@ -249,7 +249,7 @@ def _met(members: DataFrame, key: str, possible) -> DataFrame:
 
 
 def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
-    """One row per document: doc_id, n_shingles, n_links_verified is left out; component_id the smallest doc_id reachable.
+    """One row per document: doc_id, n_shingles, component_id (the smallest doc_id reachable).
 
     Two documents link when ``100 * |intersection| >= percent * |union|`` of their sets of ``size``-word shingles (64-bit
     hashes). Null or wordless text: an empty set, linked with nothing, its own component. Rows that repeat a doc_id are
@@ -261,6 +261,8 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     length = docs.agg(F.sum(F.octet_length("text")).alias("s")).first().s or 0
+    # many small files: few tasks, and so few files to write
+    docs = docs.coalesce(max(4 * spark.sparkContext.defaultParallelism, int(length) // TASK_BYTES))
     short = max(0, 64 - max(32, int(length).bit_length() + 10))  # bits of a hash that counting leaves out
     run, schema = _describe(size, max(0, (int(length) // RANGE_BYTES).bit_length()), short)
     described = cut(docs.mapInArrow(run, schema), "shingle-sets", ["kind"])
@@ -269,6 +271,7 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     # frequent tokens, the list bounded: where more qualify, the bar is raised
     run, schema = _frequent(FREQUENT)
     frequent = cut(described.where("kind = 1").select("range", "ids", "counts").groupBy("range").applyInArrow(run, schema), "shingle-frequent", few=True)
+    discard(described, "kind=1")
     steps = frequent.groupBy(F.floor(F.log2("found") * 4).cast("int").alias("step")).count().orderBy(F.desc("step")).collect()
     bar, listed_so_far = None, 0
     for r in steps:
@@ -285,11 +288,12 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     reps = classes.select(F.col("rep").alias("doc_id")).distinct()
 
     run, schema = _index(size, percent, short, listed)
-    indexed = cut(docs.where("doc_id IS NOT NULL").mapInArrow(run, schema).where("n > 0").join(reps, "doc_id", "left_semi"), "shingle-index")
+    indexed = cut(docs.where("doc_id IS NOT NULL").mapInArrow(run, schema).where("n > 0").join(reps.hint("merge"), "doc_id", "left_semi"), "shingle-index")  # shuffled at any size, as it must be at a large one
     entries = indexed.select("doc_id", F.explode("entries").alias("entry"))
     pivots = entries.groupBy("entry").agg(F.min("doc_id").alias("pivot"), F.count("*").alias("held")).where("held > 1").select("entry", "pivot")
     pivots = cut(pivots, "shingle-pivots", few=True)  # else the join could not split a large bucket
     buckets = cut(entries.join(pivots, "entry"), "shingle-buckets")
+    discard(pivots)
     release(spark)
 
     far = 1.0 - percent / 100.0 + 1e-9
@@ -309,7 +313,9 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
         blobs = cut(docs.where("doc_id IS NOT NULL").withColumn("slot", slot).mapInArrow(run, schema).join(needed, "doc_id", "left_semi"), "shingle-blobs", few=True)
         left = blobs.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
         right = blobs.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-        return cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_overlap, "a long, b long, shared long, every long"), what, few=True)
+        out = cut(pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_overlap, "a long, b long, shared long, every long"), what, few=True)
+        discard(blobs)
+        return out
 
     pairs = buckets.where("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     bounds = bounded(pairs, "shingle-bounds")
@@ -328,6 +334,7 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     placed = buckets.join(first.select(F.col("node").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
     open_buckets = placed.where("doc_id <> pivot").groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("entry")
     members = cut(placed.where("doc_id <> pivot").join(open_buckets, "entry", "left_semi").join(distance, ["pivot", "doc_id"]).join(indexed.select("doc_id", "n", "rare", "p0", "p1"), "doc_id").select("entry", "pivot", "doc_id", "n", "rare", "p0", "p1", "root", "low", "high"), "shingle-open", few=True)
+    discard(buckets)
     allowed = (F.col("x.n") + F.col("y.n")) * (100 - percent)
     bits_differ = F.bit_count(F.col("x.p0").bitwiseXOR(F.col("y.p0"))) + F.bit_count(F.col("x.p1").bitwiseXOR(F.col("y.p1")))
     differ = F.col("x.rare") + F.col("y.rare") + F.abs((F.col("x.n") - F.col("x.rare")) - (F.col("y.n") - F.col("y.rare")))
@@ -342,6 +349,8 @@ def linked_documents(documents: DataFrame, size: int = 4, percent: int = 85) ->
     by_pivot = _met(family, "pivot", possible & (differ * (100 + percent) <= allowed))
     rest = by_token.union(by_pivot).distinct()
     open_pairs = bounded(rest, "shingle-rest").where(F.col("low") <= far).select("a", "b")
+    for done in (indexed, members, bounds):
+        discard(done)
     final = first
     if open_pairs.limit(1).count():
         final = components(links.union(verified(open_pairs, "shingle-retried").where(close).select("a", "b")), "shingle-final")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 #: Words of a window, words of a run that counts, literal words that a window needs.
 WINDOW, RUN, LITERALS = 8, 13, 5
@@ -131,6 +131,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     longest = f"aggregate(sequence(low, high - 1), struct(low AS start, struct(0 AS n, -low AS first) AS run), (a, k) -> struct({start} AS start, greatest(a.run, struct(k - {start} + 1 AS n, -{start} AS first)) AS run), a -> a.run)"
     # written before the filter on it, which Catalyst would else put, with all it is made of, into every lambda
     runs = cut(flags.select("doc_id", "item_id", "shift", "low", "high", F.size("item_words").alias("item_size"), "same", "slots", F.expr(longest).alias("run")), "template-runs", few=True)
+    discard(hits)
+    discard(both)
     runs = runs.withColumn("first", F.expr("-run.first")).withColumn("need", F.expr(f"least({RUN}, item_size)")).where("run.n >= need")
     severed = "(first > low AND get(same, first - 1 - low)) OR (first + run.n < high AND get(same, first + run.n - low))"
     runs = runs.withColumn("run_words", F.expr(f"CASE WHEN {severed} THEN need ELSE run.n END"))
