@@ -150,6 +150,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (wide / np.sqrt((wide * wide).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
+def _tame(x: np.ndarray) -> np.ndarray:
+    """The vectors, those divided by their largest component whose squares would overflow or vanish: a cosine is the same."""
+    with np.errstate(all="ignore"):
+        size = np.sqrt((x * x).sum(axis=1))
+    wild = ~np.isfinite(size) | (size < 1e-140)
+    if wild.any():
+        x = x.copy()
+        x[wild] /= np.abs(x[wild]).max(axis=1, keepdims=True)
+    return x
+
+
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
@@ -171,9 +182,9 @@ def _search(k: int):
             for n in range(batch.num_rows):
                 row = {c: batch.column(c)[n].as_py() for c in ("index", "ids", "queries", "vectors")}
                 stored = dict(np.load(io.BytesIO(row["index"])))
-                x = stored.pop("vectors")
+                x = _tame(stored.pop("vectors"))
                 graph, size = Graph.load(_unit(x), stored), np.sqrt((x * x).sum(axis=1))
-                asked = np.array(row["vectors"], np.float64).reshape(len(row["queries"]), -1)
+                asked = _tame(np.array(row["vectors"], np.float64).reshape(len(row["queries"]), -1))
                 out: list[list] = [[], [], []]
                 for own, q, u in zip(row["queries"], asked, _unit(asked), strict=True):
                     near = graph.search(u, max(SEARCH_BEAM, 4 * k))
@@ -197,8 +208,8 @@ def nearest(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
     Nearest first, ties to the smaller vec_id; all candidates where there are fewer than ``k``. Vectors that are null,
     empty, zero or hold null, infinite or NaN components take no part, nor do null identifiers; only vectors of one
     length are compared. Rows that repeat an identifier are one candidate and one query, whose score is the best that their
-    vectors give. A component so large that its square overflows is not supported. Other
-    columns are not read.
+    vectors give. Vectors whose squares overflow or vanish are scaled first, which no cosine notices. Other columns are not
+    read.
     """
     spark = embeddings.sparkSession
     prepare(spark)

@@ -77,3 +77,18 @@ def test_flat_arrays_round_trip():
     g = hnsw.Graph(unit)
     again = hnsw.Graph.load(unit, g.flat())
     assert all(g.search(unit[k], 20) == again.search(unit[k], 20) for k in range(50))
+
+
+def test_extreme_components(spark):
+    """Vectors whose squares overflow or vanish have the neighbours of their directions."""
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(120, 6))
+    scale = np.where(np.arange(120) % 3 == 0, 1e300, np.where(np.arange(120) % 3 == 1, 1e-300, 1.0))
+    rows = [(i, [float(c) for c in v * s]) for i, (v, s) in enumerate(zip(unit, scale, strict=True))]
+    got = {}
+    for r in hnsw.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    want = brute([(i, list(v)) for i, v in enumerate(unit)], 10, 5)
+    assert set(got) == set(want)
+    for q, w in want.items():
+        assert [v for _, v, _ in sorted(got[q])] == [v for v, _ in w] and all(s == pytest.approx(x, abs=1e-9) for (_, _, s), (_, x) in zip(sorted(got[q]), w, strict=True))
