@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = shingle_join.linked_documents(docs, size=5, percent=80)
     kept = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("rows"))
     kept = cut(kept, "near-kept", few=True)
-    once = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi")
+    once = docs.join(kept.where("rows = 1").select("doc_id").hint("merge"), "doc_id", "left_semi")  # shuffled at any size, as it must be at a large one
     several = kept.where("rows > 1").select("doc_id")
     if several.limit(1).count():
         rest = [c for c in docs.columns if c not in ("doc_id", "text")]
