@@ -184,14 +184,21 @@ def proofs(asked: DataFrame, trees: DataFrame, tiers: list[tuple[int, DataFrame]
     of levels 8 to 10 of the active tree; ``upper``: siblings from the twig root up. ``trees``: of ``tree``, one row a twig.
     A leaf looks its siblings up by place in its twig's row; no node becomes a row of its own.
     """
-    rows = asked.select("shard", "sn", F.shiftright("sn", TWIG_SHIFT).alias("twig"), F.col("sn").bitwiseAND(F.lit(LEAVES - 1)).cast("int").alias("_i")).join(trees, ["shard", "twig"])
-    page = "(_i div 256)"
-    rows = rows.select(
-        "shard", "sn", "twig", F.expr("levels[0][_i]").alias("leaf"), F.expr(f"transform(sequence(0, {TWIG_SHIFT - 1}), l -> levels[l][shiftright(_i, l) ^ 1])").alias("left"),
-        F.expr(f"substr(bitmap, cast({page} AS int) * 64 + 1, 64)").alias("page"),
-        F.expr(f"array(substr(bitmap, (cast({page} AS int) ^ 1) * 64 + 1, 64), l1[cast({page} div 2 AS int) ^ 1], l2[cast({page} div 4 AS int) ^ 1])").alias("right"),
+    above = with_upper_paths(trees.select("shard", "twig"), tiers)
+    rows = _places(asked).join(trees.select("shard", "twig", "levels", "bitmap", "l1", "l2"), ["shard", "twig"]).join(above, ["shard", "twig"])
+    page = "cast(i div 256 AS int)"
+    each = (
+        f"struct(shiftleft(twig, {TWIG_SHIFT}) + i AS sn, levels[0][i] AS leaf, transform(sequence(0, {TWIG_SHIFT - 1}), l -> levels[l][shiftright(i, l) ^ 1]) AS left, substr(bitmap, {page} * 64 + 1, 64) AS page, "
+        f"array(substr(bitmap, ({page} ^ 1) * 64 + 1, 64), l1[cast({page} div 2 AS int) ^ 1], l2[cast({page} div 4 AS int) ^ 1]) AS right)"
     )
-    return with_upper_paths(rows, tiers).select("shard", "sn", "leaf", "left", "page", "right", "upper", F.col("shard_root").alias("root"))
+    made = rows.select("shard", "upper", "shard_root", F.expr(f"transform(places, i -> {each})").alias("each"))
+    return made.select("shard", "upper", "shard_root", F.expr("inline(each)")).select("shard", "sn", "leaf", "left", "page", "right", "upper", F.col("shard_root").alias("root"))
+
+
+def _places(asked: DataFrame) -> DataFrame:
+    """(shard, twig, places): the asked leaves of each twig, each once, so that a twig's hashes are joined to one row and not to each leaf's."""
+    rows = asked.select("shard", F.shiftright("sn", TWIG_SHIFT).alias("twig"), F.col("sn").bitwiseAND(F.lit(LEAVES - 1)).cast("int").alias("_i"))
+    return rows.groupBy("shard", "twig").agg(F.collect_set("_i").alias("places"))
 
 
 def _climb(path: str, start: str, level: int, shift: int) -> str:
@@ -256,9 +263,9 @@ def null_root(level: int) -> str:
 
 def left_paths(asked: DataFrame, level_table: DataFrame) -> DataFrame:
     """(shard, sn, level, peer, peer_at_left) of the sibling on every level of the twig, by place in the twig's row."""
-    rows = asked.select("shard", "sn", F.shiftright("sn", TWIG_SHIFT).alias("twig"), F.col("sn").bitwiseAND(F.lit(LEAVES - 1)).cast("int").alias("_i")).join(level_table.select("shard", "twig", "levels"), ["shard", "twig"])
-    peers = f"transform(sequence(0, {TWIG_SHIFT - 1}), l -> struct(l AS level, levels[l][shiftright(_i, l) ^ 1] AS peer, (shiftright(_i, l) & 1) = 1 AS peer_at_left))"
-    return rows.select("shard", "sn", F.expr(f"inline({peers})"))
+    rows = _places(asked).join(level_table.select("shard", "twig", "levels"), ["shard", "twig"])
+    each = f"transform(sequence(0, {TWIG_SHIFT - 1}), l -> struct(shiftleft(twig, {TWIG_SHIFT}) + i AS sn, l AS level, levels[l][shiftright(i, l) ^ 1] AS peer, (shiftright(i, l) & 1) = 1 AS peer_at_left))"
+    return rows.select("shard", F.expr(f"flatten(transform(places, i -> {each}))").alias("each")).select("shard", F.expr("inline(each)"))
 
 
 def store_twigs(trees: DataFrame, last_positions: DataFrame, path: str) -> None:

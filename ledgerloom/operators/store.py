@@ -136,6 +136,8 @@ def compaction_candidates(live: DataFrame, entries: DataFrame, threshold: int, r
     return live.join(shards, "shard").withColumn("nth", oldest).where(F.col("nth") <= batch).select("shard", "sn", "key", (F.col("sn_end") + F.col("nth") - 1).cast("bigint").alias("new_sn"))
 
 
+#: Operations of a range of hashes that a group should hold.
+RANGE_ROWS = 20_000
 _RANGE = "shard int, ts timestamp, event_id long, k int, key_hash string, next_key_hash string, op int, refs array<long>"
 
 
@@ -177,15 +179,19 @@ def _replay_range(digits: int):
     return run
 
 
-def replayed(operations: DataFrame, digits: int = 3) -> DataFrame:
+def replayed(operations: DataFrame, digits: int | None = None) -> DataFrame:
     """The exact log of each shard (shard, sn, key_hash, next_key_hash, op, dead): a create appends the entry and its
     predecessor again, a write the entry, a delete the predecessor again; sentries have the first 4096 numbers.
     ``operations``: shard, seq columns ts and event_id (unique), key_hash, op.
 
     A sentry opens each pair of leading hash bytes, so predecessors and successors lie within a range of hashes with equal
-    first ``digits`` (up to 4): ranges are applied one by one, in groups as small as wanted. Only the numbers run through
+    first ``digits`` (up to 4; by default as many as leave some ``RANGE_ROWS`` operations a range): each range is a group. Only the numbers run through
     a shard; they are given afterwards, by the order of what was appended, and references are looked up.
     """
+    if digits is None:
+        rows, digits = operations.count(), 1
+        while digits < 4 and rows > RANGE_ROWS * 16**digits:
+            digits += 1
     if not 1 <= digits <= 4:
         raise ValueError("a sentry bounds ranges of 1 to 4 digits")
     rows = operations.select("shard", F.col("ts").cast("timestamp").alias("ts"), "event_id", "key_hash", "op")
