@@ -52,8 +52,10 @@ def twigs(leaves: DataFrame) -> DataFrame:
 def tree(leaves: DataFrame) -> DataFrame:
     """(shard, twig, levels, bitmap, l1, l2, l3, root) from (shard, sn, hash, active), by one shuffle."""
     rows = _leaf_rows(leaves, "hash", "active").select("shard", "twig", _dense("hash", f"'{NULL_LEAF}'").alias("leaf_hashes"), _dense("active", "false").alias("flags"))
-    byte = "aggregate(sequence(0, 7), 0, (a, j) -> a + CASE WHEN flags[8 * i + j] THEN shiftleft(1, j) ELSE 0 END)"
-    rows = rows.select("shard", "twig", F.expr(_FOLD).alias("levels"), F.expr(f"array_join(transform(sequence(0, 255), i -> lower(lpad(hex({byte}), 2, '0'))), '')").alias("bitmap"))
+    # the flags are bound to a variable: Catalyst would put the expression they come from into the lambda
+    byte = "aggregate(sequence(0, 7), 0, (a, j) -> a + CASE WHEN f[8 * i + j] THEN shiftleft(1, j) ELSE 0 END)"
+    bitmap = f"transform(array(flags), f -> array_join(transform(sequence(0, 255), i -> lower(lpad(hex({byte}), 2, '0'))), ''))[0]"
+    rows = rows.select("shard", "twig", F.expr(_FOLD).alias("levels"), F.expr(bitmap).alias("bitmap"))
     rows = _active_levels(rows)
     return rows.withColumn("root", F.expr(pair_hash("11", f"levels[{TWIG_SHIFT}][0]", "l3")))
 
