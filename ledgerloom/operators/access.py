@@ -65,7 +65,8 @@ def precedence(items: DataFrame, access: DataFrame, back: int = WINDOW) -> DataF
 
     ``items``: height, idx (the place in which items run) and start, the first item of its frame: of ``standing_frames``, or
     out_idx and task_out_start of packed frames. ``access``: height, idx, k, w. -1 in the first frame; else the latest
-    collider within reach; else the item before the reach, or 0 at the start.
+    collider within reach; else the item before the reach, or 0 at the start. In a frame longer than the reach that item may
+    be one of the same frame: no collider, but what keeps items from running more than the reach ahead.
     """
     stop = F.when(F.col("idx") > back, F.col("idx") - back).otherwise(F.lit(0))
     framed = access.select("height", "idx", "k", "w").join(items.select("height", "idx", "start"), ["height", "idx"])
@@ -74,6 +75,22 @@ def precedence(items: DataFrame, access: DataFrame, back: int = WINDOW) -> DataF
     return found.select("height", "idx", F.when(F.col("start") == 0, F.lit(-1)).otherwise(F.coalesce("m", default)).cast("bigint").alias("eei"))
 
 
+def precedence_faults(waits: DataFrame, items: DataFrame, access: DataFrame, back: int = WINDOW) -> DataFrame:
+    """(height, tasks, late, wrong): what is amiss with ``waits``(height, idx, eei), by a join of the holders of keys.
+
+    ``items`` and ``access`` as for ``precedence``. ``late``: after the first frame, an item waits for itself, a later one, or
+    one within its reach that is of its own frame; the item before the reach may be of that frame. ``wrong``: eei is not -1
+    in the first frame, the nearest collider before the frame, or without one the item before the reach.
+    """
+    reach = F.greatest(F.lit(0), F.col("idx") - back)
+    met = collisions(access).select("height", F.col("i").alias("idx"), "j").join(items.select("height", "idx", "start"), ["height", "idx"])
+    near = met.where((F.col("j") < F.col("start")) & (F.col("j") >= reach)).groupBy("height", "idx").agg(F.max("j").alias("near"))
+    both = waits.select("height", "idx", "eei").join(items.select("height", "idx", "start"), ["height", "idx"]).join(near, ["height", "idx"], "left")
+    due = F.when(F.col("start") == 0, F.lit(-1)).otherwise(F.coalesce("near", F.greatest(F.lit(0), F.col("idx") - back - 1)))
+    late = (F.col("start") > 0) & (F.col("eei") >= F.greatest("start", reach))
+    return both.groupBy("height").agg(F.count("*").alias("tasks"), F.count(F.when(late, 1)).alias("late"), F.count(F.when(~F.col("eei").eqNullSafe(due), 1)).alias("wrong"))
+
+
 def frame_masks(access: DataFrame) -> DataFrame:
     """(height, word, w, bit, frames): of each Bloom bit the frames that have it set, 64 frames a word. ``access``: height, frame, w, h (short hash)."""
     flat = access.select("height", "w", "frame", F.explode(F.array(*probes(F.col("h")))).alias("bit"))

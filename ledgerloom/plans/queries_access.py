@@ -175,16 +175,14 @@ def packed_precedence(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {TX}, lanes AS (SELECT height, CAST(('0x' || right(sha256(caller), 2)) AS INT) % 4 AS lane, row_number() OVER (PARTITION BY height, CAST(('0x' || right(sha256(caller), 2)) AS INT) % 4 ORDER BY idx) - 1 AS nth FROM tx),
 t AS (SELECT height, count(DISTINCT (lane, nth // 4)) AS tasks, count(*) AS txns FROM lanes GROUP BY height) SELECT height, tasks, txns, CAST(0 AS BIGINT) AS late, CAST(0 AS BIGINT) AS wrong FROM t""")
 def precedence_invariants(spark: SparkSession, d: str) -> DataFrame:
-    """J12 over packed frames: no task waits for itself, its own frame or a later one (late), and none that waits for an
-    earlier task has a nearer collider outside its frame (wrong), found by joining holders of keys."""
+    """J12 over packed frames: no task waits for itself, a later one, or one within its reach of its own frame (late), and
+    every one waits for its nearest collider outside its frame, or without one for the task before its reach (wrong),
+    found by joining holders of keys."""
     placed, rows = _tasks(spark, d)
     frames = cut(schedule.packed(rows), "frames")
     items = cut(frames.select("height", F.col("out_idx").alias("idx"), F.col("task_out_start").alias("start")), "frames")
     access = cut(rows.join(frames.select("height", "idx", "out_idx"), ["height", "idx"]).select("height", F.col("out_idx").alias("idx"), "k", "w"), "frames")
-    waits = A.precedence(items, access).join(items, ["height", "idx"])
-    pairs = A.collisions(access).select("height", F.col("i").alias("idx"), "j").join(items, ["height", "idx"]).where("j < start AND j >= greatest(0, idx - 128)").groupBy("height", "idx").agg(F.max("j").alias("near"))
-    both = waits.join(pairs, ["height", "idx"], "left")
-    checked = both.groupBy("height").agg(F.count("*").alias("tasks"), F.count(F.when((F.col("eei") >= F.col("start")) & (F.col("start") > 0), 1)).alias("late"), F.count(F.when((F.col("start") > 0) & F.col("near").isNotNull() & (F.col("near") != F.col("eei")), 1)).alias("wrong"))
+    checked = A.precedence_faults(A.precedence(items, access), items, access)
     return checked.join(placed.groupBy("height").agg(F.count("*").alias("txns")), "height").select("height", "tasks", "txns", "late", "wrong")
 
 

@@ -5,12 +5,16 @@ import hashlib
 import json
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import access, admission, metrics, schedule, state, store, workload
+from ledgerloom.plans import catalog
 from ledgerloom.sources import files, views
 
+from .oracle import compare
+
 
 def accesses(spark, items):
     rows = [(1, i, k, w) for i, (reads, writes) in enumerate(items) for keys, w in ((reads, 0), (writes, 1)) for k in keys]
@@ -261,6 +265,37 @@ def test_precedence_over_packed_frames(spark):
         assert got[i] == (-1 if start[i] == 0 else near[-1] if near else max(back - 1, 0))
 
 
+def test_precedence_in_frames_longer_than_the_reach(spark, tmp_path):
+    """200 callers of two tasks each fill two frames of 200 tasks: the second frame's last tasks wait for one of their own frame."""
+    orders = spark.range(1600).selectExpr("id AS o_orderkey", "id div 8 AS o_custkey", "1.0D AS o_totalprice", "timestamp '1995-01-01' AS o_orderdate")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    spark.sql("SELECT 0L AS l_orderkey, 1L AS l_partkey, 1L AS l_suppkey, 'N' AS l_returnflag").write.parquet(str(tmp_path / "lineitem.parquet"))
+    duck = duckdb.connect()
+    for table in ("orders", "lineitem"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
+    got = catalog.queries()["packed_precedence"](spark, str(tmp_path)).collect()
+    assert {r.idx: r.eei for r in got} == {i: -1 if i < 200 else i - 129 for i in range(400)}
+    compare(catalog.queries()["precedence_invariants"](spark, str(tmp_path)), duck, catalog.oracle_sql()["precedence_invariants"])
+
+
+def test_precedence_faults_are_seen(spark):
+    """Two frames of 200 items, of which only 150 and 250 collide."""
+    a = accesses(spark, [([], ["hot" if i in (150, 250) else f"k{i}"]) for i in range(400)])
+    items = a.select("height", "idx").distinct().withColumn("start", F.floor(F.col("idx") / 200) * 200)
+    right = {r.idx: r.eei for r in access.precedence(items, a).collect()}
+    assert right[250] == 150 and right[199] == -1 and right[200] == 71 and right[399] == 270
+
+    def faults(**changed):
+        rows = [(1, i, changed.get(f"i{i}", e)) for i, e in right.items()]
+        (r,) = access.precedence_faults(spark.createDataFrame(rows, "height long, idx long, eei long"), items, a).collect()
+        return r.tasks, r.late, r.wrong
+
+    assert faults() == (400, 0, 0)
+    assert faults(i250=199, i251=121) == (400, 0, 2)
+    assert faults(i399=271, i398=398, i397=399, i250=200) == (400, 4, 4)
+    assert faults(i5=4) == (400, 0, 1)
+
+
 def test_masks_beyond_64_frames(spark):
     items = [([f"r{i % 50}"], [f"w{i}"]) for i in range(200)]
     rows = deduplicated(spark, items).select("height", "idx", "w", F.col("idx").cast("int").alias("frame"), F.substring(F.sha2("k", 256), 1, 20).alias("h"))
